@@ -1,0 +1,4 @@
+"""Nothing to do here: every job in this library is a batch job.
+
+The data are refreshed by re-running the batch plans over new files.
+"""
