@@ -6,18 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Year first, then month first; an optional time part is dropped.
-_YMD = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})(?:[ T].*)?$"
-_MDY = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?:[ T].*)?$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_YMD = r"^\d{4}[/.-]\d{1,2}[/.-]\d{1,2}([ T].*)?$"
+_COMPACT = r"^\d{8}$"
+_MDY = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}([ T].*)?$"
 
 
 def mixed_date(text: Column) -> Column:
     """Text to DATE; NULL where no notation fits or the day does not exist."""
     t = F.trim(text)
-
-    def built(pattern: str, y: int, m: int, d: int) -> Column:
-        parts = [F.regexp_extract(t, pattern, i) for i in (y, m, d)]
-        iso = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
-        return F.when(t.rlike(pattern), F.try_to_date(iso, "yyyy-MM-dd"))
-
-    return F.coalesce(built(_YMD, 1, 2, 3), built(_COMPACT, 1, 2, 3), built(_MDY, 3, 1, 2))
+    dashed = F.translate(t, "/.", "--")
+    compact = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+    month_first = F.regexp_replace(dashed, r"^(\d{1,2})-(\d{1,2})-(\d{4}).*$", "$3-$1-$2")
+    return (F.when(t.rlike(_YMD), dashed.try_cast("date"))
+            .when(t.rlike(_COMPACT), compact.try_cast("date"))
+            .when(t.rlike(_MDY), month_first.try_cast("date")))

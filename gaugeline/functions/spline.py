@@ -17,15 +17,16 @@ def _second_derivatives(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     up[0] -= h[0] * first
     diag[-1] += h[-1] * (1 + last)
     low[-1] -= h[-1] * last
-    m = len(diag)
-    for i in range(1, m):
-        w = low[i] / diag[i - 1]
-        diag[i] -= w * up[i - 1]
-        rhs[i] -= w * rhs[i - 1]
-    inner = np.empty(m)
-    inner[-1] = rhs[-1] / diag[-1]
-    for i in range(m - 2, -1, -1):
-        inner[i] = (rhs[i] - up[i] * inner[i + 1]) / diag[i]
+    # Plain floats: the two sweeps are sequential, and lists are faster element by element.
+    lo, di, up_, r = low.tolist(), diag.tolist(), up.tolist(), rhs.tolist()
+    for i in range(1, len(di)):
+        w = lo[i] / di[i - 1]
+        di[i] -= w * up_[i - 1]
+        r[i] -= w * r[i - 1]
+    r[-1] /= di[-1]
+    for i in range(len(di) - 2, -1, -1):
+        r[i] = (r[i] - up_[i] * r[i + 1]) / di[i]
+    inner = np.array(r)
     head = (1 + first) * inner[0] - first * inner[1]
     tail = (1 + last) * inner[-1] - last * inner[-2]
     return np.concatenate(([head], inner, [tail]))

@@ -6,7 +6,7 @@ Positions, not dates, are the abscissa; call ``to_daily`` first to make them agr
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +70,18 @@ def impute_short_gaps(df: DataFrame, value_col: str, group: str = STATION, max_g
     whole = Window.partitionBy(group)
     routed = framed.withColumn("_curved", F.max("_fill").over(whole) & (F.count(value_col).over(whole) >= 4)
                                ).drop("_prev", "_next")
-    schema = routed.schema
-
-    def spline(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        pos = pdf["_pos"].to_numpy(float)
-        y = pdf[value_col].to_numpy(float)
-        known, fill = ~np.isnan(y), pdf["_fill"].to_numpy(bool)
-        out = y.copy()
-        out[fill] = cubic_at(pos[known], y[known], pos[fill])
-        pdf["_line"] = out
-        return pdf
+    at = routed.columns.index("_line")
+
+    def spline(rows: pa.Table) -> pa.Table:
+        pos = rows["_pos"].to_numpy().astype(float)
+        y = rows[value_col].to_numpy().astype(float)
+        fill = rows["_fill"].to_numpy().astype(bool)
+        known = np.flatnonzero(~np.isnan(y))
+        known = known[np.argsort(pos[known])]
+        y[fill] = cubic_at(pos[known], y[known], pos[fill])
+        return rows.set_column(at, "_line", pa.array(y, mask=np.isnan(y)))
 
     # Only stations with something to fill cross into Python; both branches read the
     # same exchange. A group is one station, one row per day.
-    curved = routed.where("_curved").groupBy(group).applyInPandas(spline, schema)
+    curved = routed.where("_curved").groupBy(group).applyInArrow(spline, routed.schema)
     return finish(curved.unionByName(routed.where("NOT _curved")), "_line")

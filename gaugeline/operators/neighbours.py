@@ -12,7 +12,7 @@ from ..session import cut_lineage
 
 _SPLIT = 3            # bits per axis and level: a cell has 64 children
 _LEVELS = 6           # finest cell: 0.0014 by 0.0007 degrees
-_LEAF = 32            # stop refining once no cell holds more places
+_LEAF = 64            # stop refining once no cell holds more places
 _BOUNDED_LEVEL = 3    # level n has at most 64**n cells, so up to here the table is small
 _SLACK_KM = 1e-6
 _TARGETS_PER_COPY = 1000
@@ -35,11 +35,13 @@ def _centre(cell: Column, level: int) -> tuple[Column, Column]:
     return lat, lon
 
 
-def _places(stations: DataFrame, key: str, k: int) -> DataFrame:
-    """Located stations on the grid; of those at one position only the first k by key can matter."""
+def _places(others: DataFrame, key: str, k: int) -> DataFrame:
+    """Keys with their position on the grid; of those at one position only the first k can matter."""
     same = Window.partitionBy("v_lat", "v_lon").orderBy("vecino")
-    return (stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
-            .select(F.col(key).alias("vecino"), F.col("latitud").alias("v_lat"), F.col("longitud").alias("v_lon"))
+    lat, lon = (F.when(F.col("latitud").isNotNull() & F.col("longitud").isNotNull(), F.col(c))
+                for c in ("latitud", "longitud"))
+    return (others.where(F.col(key).isNotNull())
+            .select(F.col(key).alias("vecino"), lat.alias("v_lat"), lon.alias("v_lon"))
             .withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k).drop("_rn")
             .withColumn("ix", _axis(F.col("v_lon"), 360.0)).withColumn("iy", _axis(F.col("v_lat"), 180.0)))
 
@@ -64,26 +66,33 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
     all places. Ties go to the lower key. Stations or others without a position have
     no distance and come last, in key order.
     """
-    places = _places(others, key, k)
+    # Both tables are used several times; checkpoints keep whatever made the
+    # stations, such as a coverage of all series, from being run again.
+    known = cut_lineage(_places(others, key, k))
+    places = known.where(F.col("v_lat").isNotNull())
     cells = cut_lineage(_cells(places))
     # At most six rows: the largest cell of each level decides how deep to go.
     summary = cells.groupBy("level").agg(F.max("n").alias("largest"), F.sum("n").alias("n")).collect()
     largest = {r["level"]: r["largest"] for r in summary}
+    placed = sum(r["n"] for r in summary if r["level"] == 1)
     depth = next((lv for lv in range(1, _LEVELS + 1) if largest.get(lv, 0) <= _LEAF), _LEVELS)
 
-    located = stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
-    open_cells = located.select(key, "latitud", "longitud", F.lit(0).cast("long").alias("cell"))
-    mine = Window.partitionBy(key, "latitud", "longitud")
+    mine = Window.partitionBy(key)
+    targets = (stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
+               .groupBy(key).agg(F.min(F.struct("latitud", "longitud")).alias("_at"))
+               .select(key, "_at.latitud", "_at.longitud"))
     for level in range(1, depth + 1):
-        below = cells.where(F.col("level") == level).select(
-            F.col("cell").alias("child"), F.col("parent").alias("cell"), "n", "radius")
-        if level <= _BOUNDED_LEVEL:
-            below = F.broadcast(below)
+        if level == 1:   # at most 64 cells, as one array
+            top = cells.where("level = 1").agg(F.collect_list(F.struct(F.col("cell").alias("child"), "n", "radius")))
+            near = targets.select("*", F.inline(top.scalar()))
+        else:
+            below = cells.where(F.col("level") == level).select(
+                F.col("cell").alias("child"), F.col("parent").alias("cell"), "n", "radius")
+            near = open_cells.join(F.broadcast(below) if level <= _BOUNDED_LEVEL else below, "cell")
         lat, lon = _centre(F.col("child"), level)
-        middle = haversine_km(F.col("latitud"), F.col("longitud"), lat, lon)
-        near = (open_cells.join(below, "cell")
-                .withColumn("_near", middle - F.col("radius") - _SLACK_KM)
-                .withColumn("_far", middle + F.col("radius") + _SLACK_KM))
+        near = (near.withColumn("_mid", haversine_km(F.col("latitud"), F.col("longitud"), lat, lon))
+                .withColumn("_near", F.col("_mid") - F.col("radius") - _SLACK_KM)
+                .withColumn("_far", F.col("_mid") + F.col("radius") + _SLACK_KM))
         reached = F.sum("n").over(mine.orderBy("_far", "child").rowsBetween(Window.unboundedPreceding, 0))
         bound = F.min(F.when(F.col("_reached") >= k, F.col("_far"))).over(mine)
         open_cells = (near.withColumn("_reached", reached).withColumn("_bound", bound)
@@ -94,28 +103,30 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
         "dist_km", haversine_km(F.col("latitud"), F.col("longitud"), F.col("v_lat"), F.col("v_lon")))
     ranked = (found.withColumn("orden", F.row_number().over(mine.orderBy("dist_km", "vecino")))
               .where(F.col("orden") <= k).select(key, "orden", "vecino", "dist_km"))
-    placed = sum(r["n"] for r in summary if r["level"] == 1)
-    return ranked.unionByName(_without_distance(stations, others, k, key, placed))
+    return ranked.unionByName(_without_distance(stations, known, k, key, placed))
 
 
-def _first_keys(others: DataFrame, key: str, k: int) -> Column:
-    top = others.select(F.col(key).alias("_k")).orderBy("_k").limit(k)
-    return top.agg(F.sort_array(F.collect_list("_k"))).scalar()
+def _first_keys(known: DataFrame, k: int) -> Column:
+    top = known.select("vecino").orderBy("vecino").limit(k)
+    return top.agg(F.sort_array(F.collect_list("vecino"))).scalar()
 
 
-def _without_distance(stations: DataFrame, others: DataFrame, k: int, key: str, placed: int) -> DataFrame:
-    """Neighbours that no distance decides: at most k keys, shared by all stations concerned."""
-    lost = stations.where(F.col("latitud").isNull() | F.col("longitud").isNull())
-    out = _listed(lost, _first_keys(others, key, k), key, 0)
+def _without_distance(stations: DataFrame, known: DataFrame, k: int, key: str, placed: int) -> DataFrame:
+    """Neighbours that no distance decides: at most k keys, shared by all stations concerned.
+
+    Places beyond the first k of one position are not needed here either: the lowest k
+    keys of all are among the lowest k of their position.
+    """
+    at = F.col("latitud").isNotNull() & F.col("longitud").isNotNull()
+    out = _listed(stations.where(~at), _first_keys(known, k), key, 0)
     if placed < k:
-        unplaced = others.where(F.col("latitud").isNull() | F.col("longitud").isNull())
-        rest = stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
-        out = out.unionByName(_listed(rest, _first_keys(unplaced, key, k - placed), key, placed))
+        rest = _first_keys(known.where(F.col("v_lat").isNull()), k - placed)
+        out = out.unionByName(_listed(stations.where(at), rest, key, placed))
     return out
 
 
 def _listed(stations: DataFrame, keys: Column, key: str, offset: int) -> DataFrame:
-    return (stations.select(key, F.posexplode(keys).alias("_p", "vecino"))
+    return (stations.select(key).distinct().select(key, F.posexplode(keys).alias("_p", "vecino"))
             .select(key, (F.col("_p") + 1 + offset).cast("int").alias("orden"), "vecino",
                     F.lit(None).cast("double").alias("dist_km")))
 
@@ -143,6 +154,7 @@ def idw_to_station(pairs: DataFrame, climate: DataFrame, value: str = "precip_mm
     distance zero has weight 1e12. A neighbour shared by many stations is copied, each
     copy serving up to a thousand of them, so no task multiplies out all of its pairs.
     """
+    pairs = cut_lineage(pairs)   # a few rows per station, used three times
     copies = pairs.groupBy("vecino").agg(F.ceil(F.count("*") / _TARGETS_PER_COPY).cast("int").alias("_copies"))
     weight = F.when(F.col("dist_km") > 0, 1 / F.pow("dist_km", F.lit(float(power)))).otherwise(1e12)
     targets = pairs.join(copies, "vecino").select(

@@ -10,6 +10,7 @@ from ..constants import (
 )
 from ..operators.neighbours import nearest_stations, neighbour_lists
 from ..operators.report import coverage_table
+from ..session import cut_lineage
 
 
 def candidates(catalog: DataFrame, regions=PILOT_REGIONS) -> DataFrame:
@@ -33,9 +34,10 @@ def select_stations(hydro: DataFrame, climate: DataFrame, hydro_series: DataFram
                     k: int = 3, regions=PILOT_REGIONS) -> dict[str, DataFrame]:
     """Selected hydro and climate stations and the extended hydro band."""
     c = F.col("cobertura")
+    # One pass over each network's series; the station tables are used several times.
     hyd = with_coverage(candidates(hydro, regions), hydro_series, "gasto_medio_m3s", period)
     cli = with_coverage(candidates(climate, regions), climate_series, "precip_mm", period).where(c >= climate_min)
-    both = hyd.where(c >= min(extended_min, hydro_min))
+    both, cli = cut_lineage(hyd.where(c >= min(extended_min, hydro_min))), cut_lineage(cli)
     near = with_neighbours(both, cli, k)   # one search serves both bands
     return {
         "hydro": near.where(c >= hydro_min),

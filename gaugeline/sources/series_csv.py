@@ -16,10 +16,14 @@ from ..functions.text import fold_col, map_headers_col
 
 # A comma outside double quotes.
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Lines that may name the date column, accents or not; the exact test follows.
+_MAYBE_HEADER = "(?i)f[eèéêë][cç]h[aàáâãäå]"
 
 
 def _fields(line: Column) -> Column:
-    return F.transform(F.split(line, _COMMA), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    """Cells of a line; quotes are looked at only where there are any."""
+    quoted = F.transform(F.split(line, _COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def file_stem(path: Column) -> Column:
@@ -47,7 +51,7 @@ def read_lines(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataF
 def header_lines(lines: DataFrame) -> DataFrame:
     """First line of each file that has the date column as a whole field."""
     named = F.exists(F.split("line", ","), lambda c: fold_col(c) == "fecha")
-    first = lines.where(named).groupBy("file").agg(F.min_by("line", "pos").alias("header"),
+    first = lines.where(F.col("line").rlike(_MAYBE_HEADER) & named).groupBy("file").agg(F.min_by("line", "pos").alias("header"),
                                                    F.min("pos").alias("header_pos"))
     targets = map_headers_col(F.transform(_fields(F.col("header")), fold_col), SERIES_RULES)
     return first.select("file", "header_pos", targets.alias("targets"))
@@ -60,15 +64,15 @@ def parse_series_lines(lines: DataFrame) -> DataFrame:
     splits a hot file over tasks when it is not.
     """
     data = lines.join(header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
-    fields = data.select(file_stem(F.col("file")).alias(STATION), "targets",
-                         _fields(F.col("line")).alias("f"))
+    cells = _fields(F.col("line"))
 
     def cell(target: str) -> Column:
         at = F.array_position("targets", target).cast("int") - 1
-        return F.when(at >= 0, F.get("f", at))
+        return F.when(at >= 0, F.trim(F.get(cells, at)))
 
-    numbers = [to_number(cell(t)).alias(t) for t, _ in SERIES_RULES if t != DAY]
-    return fields.select(STATION, mixed_date(cell(DAY)).alias(DAY), *numbers).where(F.col(DAY).isNotNull())
+    raw = data.select(file_stem(F.col("file")).alias(STATION), *[cell(t).alias(t) for t, _ in SERIES_RULES])
+    numbers = [to_number(F.col(t)).alias(t) for t, _ in SERIES_RULES if t != DAY]
+    return raw.select(STATION, mixed_date(F.col(DAY)).alias(DAY), *numbers).where(F.col(DAY).isNotNull())
 
 
 def read_series_csv(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataFrame:
