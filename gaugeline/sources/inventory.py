@@ -12,7 +12,11 @@ VERSIONED = ("raw", "processed", "features")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content); unread columns cost no I/O."""
+    """(path, modificationTime, length, content); unread columns cost no I/O.
+
+    Spark's listing leaves out names that begin with an underscore or a dot, and a
+    file's content must fit into one row, two gigabytes.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
