@@ -82,7 +82,8 @@ def stl_components(df: DataFrame, value: str, period: int = 365, group: str = ST
     before the first value are left out. A station needs two full periods; shorter ones
     give NULL components. One group is one station with one row per day.
     """
-    schema = df.select(group, day).schema.add("trend", "double").add("seasonal", "double").add("resid", "double")
+    schema = T.StructType([*df.select(group, day).schema,
+                           *[T.StructField(n, T.DoubleType()) for n in ("trend", "seasonal", "resid")]])
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(day)

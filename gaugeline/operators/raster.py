@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -122,15 +125,77 @@ def _links(pointer: DataFrame) -> DataFrame:
                           F.when(F.col("to_row").isNotNull(), _packed("to_row", "to_col")).alias("ptr"))
 
 
-def flow_accumulation(pointer: DataFrame) -> DataFrame:
-    """(basin, row, col, acc): cells that drain through each cell, itself included.
+# --- routes inside tiles ------------------------------------------------------------
+
+TILE = 256
+
+
+def _tile(pix: str, size: int) -> Column:
+    """Tile of a packed pixel, packed the same way."""
+    col = F.col(pix).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return F.shiftleft(F.floor(F.shiftright(pix, 32) / size), 32).bitwiseOR(F.floor(col / size))
+
+
+def _on_border(pix: str, size: int) -> Column:
+    row, col = F.shiftright(pix, 32), F.col(pix).bitwiseAND(F.lit((1 << 32) - 1))
+    return (row % size).isin(0, size - 1) | (col % size).isin(0, size - 1)
 
-    Pointer doubling: after round i a cell knows the cells less than 2^i steps above
+
+def _local_routes(pix: np.ndarray, ptr: np.ndarray, weight: np.ndarray):
+    """Within one tile: what drains through each pixel and the last pixel of its path.
+
+    ``ptr`` is -1 where the path ends. Pointer doubling on arrays; the last pixel
+    points to itself.
+    """
+    order = np.argsort(pix)
+    at = np.clip(np.searchsorted(pix, ptr, sorter=order), 0, len(pix) - 1)
+    to = np.where(pix[order[at]] == ptr, order[at], np.arange(len(pix)))
+    acc, last = weight, to.copy()
+    while True:
+        moving = np.flatnonzero(to != np.arange(len(to)))
+        if not len(moving):
+            return acc, last
+        gain = np.zeros_like(acc)
+        np.add.at(gain, to[moving], acc[moving])
+        acc = acc + gain
+        last = last[last]
+        # A step that ended at a last pixel has delivered; it must not deliver again.
+        done = to[to] == to
+        to = np.where(done, np.arange(len(to)), to[to])
+
+
+def _routes(links: DataFrame, size: int) -> DataFrame:
+    """Adds to (basin, pix, ptr, ...): ``acc`` inside the tile, ``last`` pixel of the path there,
+    and ``leaves``, whether the path goes on in another tile. A group is one tile."""
+    tiled = links.withColumn("tile", _tile("pix", size))
+    schema = T.StructType([*tiled.schema, T.StructField("acc", T.LongType()), T.StructField("last", T.LongType()),
+                           T.StructField("leaves", T.BooleanType())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        pix = rows["pix"].to_numpy()
+        ptr = rows["ptr"].fill_null(-1).to_numpy()
+        acc, last = _local_routes(pix, ptr, np.ones(len(pix), np.int64))
+        return (rows.append_column("acc", pa.array(acc)).append_column("last", pa.array(pix[last]))
+                .append_column("leaves", pa.array(ptr[last] != -1)))
+
+    return tiled.groupBy("basin", "tile").applyInArrow(run, schema)
+
+
+def _exits(routes: DataFrame) -> DataFrame:
+    """Pixels that drain into another tile, with the pixel they drain into."""
+    return (routes.where(F.col("leaves") & (F.col("pix") == F.col("last")))
+            .select("basin", "pix", F.col("ptr").alias("into"), "acc"))
+
+
+def _accumulate(state: DataFrame) -> DataFrame:
+    """(basin, pix, acc) over a forest (basin, pix, ptr, acc).
+
+    Pointer doubling: after round i a node holds what lies less than 2^i steps above
     it and points 2^i steps down, so the rounds grow with the logarithm of the longest
-    path. Cells whose pointer has left the grid send nothing and are not joined again.
-    Each round ends in a checkpoint.
+    path. Nodes whose pointer has run off send nothing and are not joined again. Each
+    round ends in a checkpoint.
     """
-    state = cut_lineage(_links(pointer).withColumn("acc", F.lit(1).cast("long")))
+    state = cut_lineage(state)
     while _any_open(state):
         moving = state.where(F.col("ptr").isNotNull())
         sent = moving.groupBy("basin", F.col("ptr").alias("pix")).agg(F.sum("acc").alias("_add"))
@@ -140,7 +205,37 @@ def flow_accumulation(pointer: DataFrame) -> DataFrame:
             state.join(sent, ["basin", "pix"], "left").join(jumps, ["basin", "pix"], "left")
             .select("basin", "pix", F.col("_next").alias("ptr"),
                     (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")))
-    return _unpacked(state, "acc")
+    return state.select("basin", "pix", "acc")
+
+
+def flow_accumulation(pointer: DataFrame, tile: int = TILE) -> DataFrame:
+    """(basin, row, col, acc): cells that drain through each cell, itself included.
+
+    Tiles are solved on their own. What crosses tile borders is a forest over the
+    border pixels, a few per cent of the grid, and only that forest goes through the
+    rounds of pointer doubling. The inflow of each tile is then run down once more.
+    """
+    routes = cut_lineage(_routes(_links(pointer), tile))
+    exits = _exits(routes)
+    entries = routes.where(_on_border("pix", tile)).select(
+        "basin", F.col("pix").alias("into"), F.when(F.col("leaves"), F.col("last")).alias("ptr"))
+    totals = _accumulate(exits.join(entries, ["basin", "into"]).select("basin", "pix", "ptr", "acc"))
+    inflow = (exits.drop("acc").join(totals, ["basin", "pix"]).groupBy("basin", F.col("into").alias("pix"))
+              .agg(F.sum("acc").alias("extra"))
+              .select(F.col("basin").alias("basin"), _tile("pix", tile).alias("tile"), F.col("pix").alias("pix"), "extra"))
+
+    def run(rows: pa.Table, extra: pa.Table) -> pa.Table:
+        pix = rows["pix"].to_numpy()
+        weight = np.ones(len(pix), np.int64)
+        order = np.argsort(pix)
+        weight[order[np.searchsorted(pix, extra["pix"].to_numpy(), sorter=order)]] += extra["extra"].to_numpy()
+        acc, _ = _local_routes(pix, rows["ptr"].fill_null(-1).to_numpy(), weight)
+        return pa.table({"basin": rows["basin"], "pix": rows["pix"], "acc": pa.array(acc)})
+
+    solved = (routes.select("basin", "tile", "pix", "ptr").groupBy("basin", "tile")
+              .cogroup(inflow.groupBy("basin", "tile"))
+              .applyInArrow(run, routes.select("basin", "pix", F.lit(0).cast("long").alias("acc")).schema))
+    return _unpacked(solved, "acc")
 
 
 def extract_streams(accumulation: DataFrame, threshold: int = 1000) -> DataFrame:
@@ -167,23 +262,41 @@ def snap_points(points: DataFrame, streams: DataFrame, snap_cells: float, key: s
             .select(key, "basin", "_b.row", "_b.col"))
 
 
-def watershed(pointer: DataFrame, outlets: DataFrame, key: str = "clave") -> DataFrame:
-    """(basin, row, col, key): each cell with the first outlet downstream of it, NULL if none.
+def _spread(state: DataFrame) -> DataFrame:
+    """(basin, pix, label) over a forest (basin, pix, ptr, label): the first label downstream.
 
-    Outlets absorb: they point nowhere and carry their own label. Pointer doubling then
-    carries labels up; a cell stops being joined once it has a label or has run off
-    the grid. Of several outlets in one cell the lowest key counts.
+    Labelled nodes point nowhere. A node stops being joined once it has a label or its
+    path has ended.
     """
-    labels = outlets.groupBy("basin", _packed("row", "col").alias("pix")).agg(F.min(key).alias("label"))
-    state = cut_lineage(
-        _links(pointer).join(labels, ["basin", "pix"], "left")
-        .select("basin", "pix", F.when(F.col("label").isNull(), F.col("ptr")).alias("ptr"), "label"))
+    state = cut_lineage(state)
     while _any_open(state):
         ahead = state.select("basin", F.col("pix").alias("ptr"), F.col("ptr").alias("_next"), F.col("label").alias("_label"))
         moved = (state.where(F.col("ptr").isNotNull()).drop("label").join(ahead, ["basin", "ptr"])
                  .select("basin", "pix", F.col("_next").alias("ptr"), F.col("_label").alias("label")))
         state = cut_lineage(state.where(F.col("ptr").isNull()).unionByName(moved))
-    return _unpacked(state, F.col("label").alias(key))
+    return state.select("basin", "pix", "label")
+
+
+def watershed(pointer: DataFrame, outlets: DataFrame, key: str = "clave", tile: int = TILE) -> DataFrame:
+    """(basin, row, col, key): each cell with the first outlet downstream of it, NULL if none.
+
+    Outlets absorb: paths end there. As with the accumulation, tiles are solved first
+    and only paths between tiles are followed in rounds. Of several outlets in one cell
+    the lowest key counts.
+    """
+    labels = outlets.groupBy("basin", _packed("row", "col").alias("pix")).agg(F.min(key).alias("label"))
+    links = _links(pointer).join(labels, ["basin", "pix"], "left").select(
+        "basin", "pix", F.when(F.col("label").isNull(), F.col("ptr")).alias("ptr"))
+    routes = cut_lineage(_routes(links, tile).drop("acc"))
+    ends = labels.withColumnRenamed("pix", "last")
+    labelled = routes.where(~F.col("leaves")).join(ends, ["basin", "last"], "left").select("basin", "pix", "label")
+    exits = _exits(routes.withColumn("acc", F.lit(1)))
+    entries = (routes.where(_on_border("pix", tile)).join(ends, ["basin", "last"], "left")
+               .select("basin", F.col("pix").alias("into"), F.when(F.col("leaves"), F.col("last")).alias("ptr"), "label"))
+    found = _spread(exits.join(entries, ["basin", "into"]).select("basin", "pix", "ptr", "label"))
+    onward = (routes.where(F.col("leaves")).select("basin", "pix", "last")
+              .join(found.withColumnRenamed("pix", "last"), ["basin", "last"]).select("basin", "pix", "label"))
+    return _unpacked(labelled.unionByName(onward), F.col("label").alias(key))
 
 
 def basin_attributes(labelled: DataFrame, cell_area_km2: float, key: str = "clave",

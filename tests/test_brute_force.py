@@ -297,7 +297,8 @@ def downstream(z):
     return out
 
 
-def test_flow_and_watersheds(spark, dem):
+@pytest.mark.parametrize("tile", [4, 9, 256])
+def test_flow_and_watersheds(spark, dem, tile):
     flat = pixel_table(spark, dem).unionByName(pixel_table(spark, dem[::-1].copy(), "B"))
     pointer = raster.d8_pointer(flat)
     to = downstream(dem)
@@ -309,7 +310,7 @@ def test_flow_and_watersheds(spark, dem):
         while at is not None:
             acc[at] += 1
             at = to[at]
-    out = raster.flow_accumulation(pointer)
+    out = raster.flow_accumulation(pointer, tile)
     assert {(r.row, r.col): r.acc for r in out.where("basin = 'A'").collect()} == acc
     sinks = out.join(pointer.where("to_row IS NULL"), ["basin", "row", "col"])
     assert sinks.agg(F.sum("acc")).first()[0] == 2 * len(to)
@@ -325,7 +326,7 @@ def test_flow_and_watersheds(spark, dem):
         while at is not None and at not in labels:
             at = to[at]
         want[cell] = labels.get(at)
-    sheds = raster.watershed(pointer, points)
+    sheds = raster.watershed(pointer, points, tile=tile)
     assert {(r.row, r.col): r.clave for r in sheds.where("basin = 'A'").collect()} == want
 
     attrs = {r.clave: r for r in raster.basin_attributes(sheds.join(flat, ["basin", "row", "col"]), 0.25).collect()}
@@ -345,9 +346,9 @@ def test_flow_and_watersheds(spark, dem):
 
 
 def test_long_river(spark):
-    """A path of a thousand cells takes ten rounds, and everything ends in one cell."""
+    """A path of a thousand cells over 125 tiles; everything ends in one cell."""
     z = np.arange(1000, dtype=float)[None, :]
-    out = raster.flow_accumulation(raster.d8_pointer(pixel_table(spark, z)))
+    out = raster.flow_accumulation(raster.d8_pointer(pixel_table(spark, z)), 8)
     assert {r.col: r.acc for r in out.collect()} == {c: 1000 - c for c in range(1000)}
 
 
