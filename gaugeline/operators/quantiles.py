@@ -25,12 +25,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     """(by..., prob, quantile) with linear interpolation between ranks; NULL groups are dropped."""
     by = list(by)
     v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    for c in by:
+    base = df.select(*by, v.alias("_v"), _bucket(v).alias("_b"))
+    # The join below asks for keys that are not NULL. Asking here as well keeps the
+    # counts one plan for both uses, so they are computed and shuffled once.
+    for c in (*by, "_v", "_b"):
         base = base.where(F.col(c).isNotNull())
     # Equal values collapse before the shuffle, and the shuffle key holds the value,
     # so neither a hot group nor a hot value lands in one task.
-    counts = base.groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_b", _bucket(F.col("_v")))
+    counts = base.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_n"))
 
     hist = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
     run = Window.partitionBy(*by).orderBy("_b")

@@ -9,6 +9,7 @@ from ..constants import (
     COVERAGE_CLIMATE, COVERAGE_HYDRO, DAY, QUALITY, QUALITY_LABELS, STATION, WET_MONTHS,
 )
 from ..functions.numeric import ordered, pearson
+from ..session import join_small
 from .calendar import in_period
 from .quantiles import quantile_columns
 
@@ -85,15 +86,16 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     basic = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                    F.min(col).alias("min"), F.max(col).alias("max"))
     marks = quantile_columns(df, col, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
-    # Two one-row tables side by side.
-    return (basic.withColumn("_k", F.lit(1)).join(marks.withColumn("_k", F.lit(1)), "_k", "left").drop("_k"))
+    # Two one-row tables side by side, as a scalar subquery.
+    row = marks.select(F.struct(*marks.columns)).scalar()
+    return basic.withColumn("_m", row).select("*", "_m.*").drop("_m")
 
 
 def boxplot_by(df: DataFrame, col: str, by: str = "region_hidrologica") -> DataFrame:
     """Quartiles per group, with whisker ends at 1.5 interquartile ranges that exist in the data."""
     q = quantile_columns(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, (by,))
     fence = (F.col("q3") - F.col("q1")) * 1.5
-    marked = df.where(F.col(col).isNotNull()).join(q, by)
+    marked = join_small(df.where(F.col(col).isNotNull()), q, by)
     v = F.col(col)
     return marked.groupBy(by).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),

@@ -17,6 +17,11 @@ def candidates(catalog: DataFrame, regions=PILOT_REGIONS) -> DataFrame:
     return catalog.where(F.col("region_hidrologica").isin(*regions))
 
 
+def only_stations(series: DataFrame, stations: DataFrame) -> DataFrame:
+    """Series of the listed stations."""
+    return series.join(stations.select(F.col("clave").alias(STATION)).distinct(), STATION, "left_semi")
+
+
 def with_coverage(stations: DataFrame, series: DataFrame, value_col: str, period=DEFAULT_PERIOD) -> DataFrame:
     """Coverage of the period per candidate; stations without series get 0."""
     cov = coverage_table(series, value_col, start=period[0], end=period[1]).select(

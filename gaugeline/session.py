@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "gaugeline", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -51,3 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def join_small(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """Join with an aggregate that is usually tiny.
+
+    The side is computed once and counted. Up to ``rows`` it is broadcast, so the large
+    side is not shuffled by a key that may be hot; beyond that Spark joins by shuffle and
+    splits skewed partitions.
+    """
+    side = cut_lineage(side)
+    return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)

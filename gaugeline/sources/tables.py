@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> str:
-    """Overwrite a table.
+    """Overwrite a table, rows grouped by partition value.
 
-    Rows of one partition value are spread over tasks by a second, derived key, so
-    that a year with most of the rows does not end in one writer.
+    The rebalance hint lets adaptive execution split a partition value that holds most
+    of the rows over several writers and put small ones together.
     """
     if partition_cols:
-        # REBALANCE lets adaptive execution split large partition values and join small ones.
         df = df.hint("rebalance", *[F.col(c) for c in partition_cols])
         df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
     else:

@@ -344,6 +344,8 @@ ORACLE = {
     "spei_z": q("monthly", _spi("(precip_mm - pet_mm)", "spei3")),
     "select_candidates": q("catalog", f"""SELECT clave, nombre, {r6('latitud', 'longitud')}, altitud, estado, region_hidrologica
         FROM catalog WHERE region_hidrologica IN ('12', '18', '26')"""),
+    "series_of_candidates": q("hydro catalog", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad FROM hydro
+        WHERE clave_estacion IN (SELECT clave FROM catalog WHERE region_hidrologica IN ('12', '18', '26'))"""),
     "coverage_of_candidates": q("hydro catalog coverage hydro_scored", f"SELECT clave, {r6('cobertura')} FROM hydro_scored"),
     "select_refined": q(SEL, f"SELECT clave, {r6('cobertura')}, vecinos_clima FROM hydro_scored LEFT JOIN selected_lists USING (clave) WHERE cobertura >= 0.40"),
     "select_climate": q("climate climate_catalog climate_selected", f"SELECT clave, {r6('cobertura')} FROM climate_selected"),
@@ -422,6 +424,7 @@ ORACLE = {
         FROM w GROUP BY 1"""),
     "tiles_for_boxes": q("catalog boxes0 estado_boxes", """SELECT s_name AS tile, estado AS cuenca FROM boxes0 JOIN estado_boxes
         ON NOT (x0 + 2 < a1 OR x0 > a2 OR y0 + 2 < b1 OR y0 > b2)"""),
+    "basin_slug": "SELECT s_name AS cuenca, REPLACE(REPLACE(LOWER(s_name), ' ', '_'), '-', '_') AS archivo FROM supplier",
     "pour_points": q("catalog", """SELECT clave, CAST(FLOOR((33.0::DOUBLE - latitud) / 0.03::DOUBLE) AS INTEGER) AS "row",
         CAST(FLOOR((longitud - -118.5::DOUBLE) / 0.03::DOUBLE) AS INTEGER) AS col FROM catalog"""),
     "raster_mosaic": q("tiles", """SELECT basin, "row", col, ROUND(ARG_MIN(z, path), 6) AS z FROM tiles GROUP BY ALL"""),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.constants import DAY, PILOT_BASINS, STATION
+from gaugeline.functions.text import slug
 from gaugeline.operators import calendar, climate, features, gaps, neighbours, quality, quantiles, raster, report, spatial
 from gaugeline.plans import selection
 from gaugeline.plans.canonical import build_canonical
@@ -128,6 +129,7 @@ QUERIES = {
     "stl": lambda s, d: climate.stl_components(V.monthly(s, d), "precip_mm", 12, day="mes_inicio"),
     # selection and neighbours
     "select_candidates": lambda s, d: selection.candidates(V.catalog(s, d)),
+    "series_of_candidates": lambda s, d: selection.only_stations(V.hydro(s, d), selection.candidates(V.catalog(s, d))),
     "coverage_of_candidates": lambda s, d: selection.with_coverage(
         selection.candidates(V.catalog(s, d)), V.hydro(s, d), GASTO, PERIOD).select("clave", "cobertura"),
     "select_refined": lambda s, d: _selected(s, d)["hydro"].select("clave", "cobertura", "vecinos_clima"),
@@ -185,6 +187,7 @@ QUERIES = {
         V.polygons(s, d).select(F.col("cuenca").alias("tile"), F.col("ring")[0]["x"].alias("min_lon"), F.col("ring")[0]["y"].alias("min_lat"),
                                 (F.col("ring")[0]["x"] + 2).alias("max_lon"), (F.col("ring")[0]["y"] + 2).alias("max_lat")),
         spatial.bbox_from_latlon(V.catalog(s, d), 0.0, ("estado",)).withColumnRenamed("estado", "cuenca")),
+    "basin_slug": lambda s, d: V.polygons(s, d).select("cuenca", slug(F.col("cuenca")).alias("archivo")),
     "pour_points": lambda s, d: spatial.pour_points(V.catalog(s, d), -118.5, 33.0, 0.03),
     # grids
     "raster_mosaic": lambda s, d: raster.mosaic(V.tiles(s, d)),
