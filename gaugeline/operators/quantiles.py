@@ -1,9 +1,11 @@
 """Exact quantiles of large groups.
 
 ``percentile`` keeps a group's distinct values in one task. That is right for a
-station with one value per day and wrong for a region or a whole table. Here the
-values are counted, the bucket that holds the wanted rank is found from bucket
-counts, and only that bucket is put in order.
+station with one value per day and wrong for a region or a whole table. Here one pass
+counts values per bucket, the bucket that holds the wanted rank is found from the
+counts, and a second pass puts only the values of that bucket in order. As long as the
+groups are few enough to send the wanted buckets to the rows, neither pass shuffles the
+other values.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, cut_lineage
+
 _STEPS = 2048.0          # buckets per factor e: values in one bucket differ by 0.05 %
 _SHIFT = 1 << 21         # above 745 * 2048, the largest |ln| of a double in steps
 
@@ -25,16 +29,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     """(by..., prob, quantile) with linear interpolation between ranks; NULL groups are dropped."""
     by = list(by)
     v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("_v"), _bucket(v).alias("_b"))
-    # The join below asks for keys that are not NULL. Asking here as well keeps the
-    # counts one plan for both uses, so they are computed and shuffled once.
-    for c in (*by, "_v", "_b"):
+    base = df.select(*by, v.alias("_v"), _bucket(v).alias("_b")).where(F.col("_v").isNotNull())
+    for c in by:
         base = base.where(F.col(c).isNotNull())
-    # Equal values collapse before the shuffle, and the shuffle key holds the value,
-    # so neither a hot group nor a hot value lands in one task.
-    counts = base.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_n"))
 
-    hist = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    hist = base.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     run = Window.partitionBy(*by).orderBy("_b")
     hist = (hist.withColumn("_end", F.sum("_n").over(run))
             .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by))))
@@ -46,11 +45,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
                    for side, rank in ((0, F.floor(pos)), (1, F.ceil(pos)))]
     here = F.filter(F.array(*wanted), lambda r: (r["rank"] >= F.col("_end") - F.col("_n"))
                     & (r["rank"] < F.col("_end")))
-    # At most two rows per group and quantile.
-    picks = hist.select(*by, "_b", (F.col("_end") - F.col("_n")).alias("_before"), here.alias("_ranks")
-                        ).where(F.size("_ranks") > 0)
-
-    inside = counts.join(picks, [*by, "_b"])
+    # At most two rows per group and quantile. While they are few, as with regions or
+    # seasons, they go to the rows; with very many groups the rows are counted first.
+    picks = cut_lineage(
+        hist.select(*by, "_b", (F.col("_end") - F.col("_n")).alias("_before"), here.alias("_ranks"))
+        .where(F.size("_ranks") > 0))
+    few = picks.count() <= BROADCAST_ROWS
+    side = F.broadcast(picks) if few else picks
+    wanted_rows = base.join(F.broadcast(picks.select(*by, "_b")), [*by, "_b"], "left_semi") if few else base
+    # Equal values collapse before the shuffle, and the shuffle key holds the value, so
+    # neither a hot group nor a hot value lands in one task.
+    counts = wanted_rows.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_n"))
+    inside = counts.join(side, [*by, "_b"])
     order = Window.partitionBy(*by, "_b").orderBy("_v")
     inside = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(order))
     hit = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_end") - F.col("_n")) & (r["rank"] < F.col("_end")))

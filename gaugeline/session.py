@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Largest side that is broadcast after its rows have been counted.
+BROADCAST_ROWS = 200_000
+
 
 def local_session(app: str = "gaugeline", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks; on a cluster the submitted settings rule."""
@@ -54,7 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_small(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
+def join_small(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with an aggregate that is usually tiny.
 
     The side is computed once and counted. Up to ``rows`` it is broadcast, so the large
