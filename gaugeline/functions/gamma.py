@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 
-_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+
+def _log_gamma(a: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, a.tolist()), float, len(a))
 
 
 def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -27,7 +29,7 @@ def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _scale(a, x):
-    return np.exp(a * np.log(x) - x - _log_gamma(a).astype(float))
+    return np.exp(a * np.log(x) - x - _log_gamma(a))
 
 
 def _series(a, x, rounds: int = 500):

@@ -11,6 +11,7 @@ from ..constants import (
 from ..operators.neighbours import nearest_stations, neighbour_lists
 from ..operators.report import coverage_table
 from ..session import cut_lineage
+from ..sources.catalog_csv import write_csv
 
 
 def candidates(catalog: DataFrame, regions=PILOT_REGIONS) -> DataFrame:
@@ -50,3 +51,11 @@ def select_stations(hydro: DataFrame, climate: DataFrame, hydro_series: DataFram
         "extended": near.where((c >= extended_min) & (c < hydro_min))
         .withColumn("uso_recomendado", F.lit("sensibilidad_reconstruccion")),
     }
+
+
+def write_selection(selected: dict[str, DataFrame], folder: str) -> None:
+    """The three station sets as CSV under ``folder``."""
+    for name, path in (("hydro", "estaciones_seleccionadas_hidrometricas"),
+                       ("climate", "estaciones_seleccionadas_climatologicas"),
+                       ("extended", "estaciones_extendidas_hidrometricas")):
+        write_csv(selected[name], f"{folder}/{path}.csv")

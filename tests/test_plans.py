@@ -56,8 +56,8 @@ def test_files_to_features(spark, archive, tmp_path):
     hydro = sel["hydro"].collect()
     assert [(r.clave, r.vecinos_clima) for r in hydro] == [("H1", "C4,C1"), ("H2", "C2,C1")]
     assert sel["extended"].count() == 0 and sel["climate"].count() == 4
-    catalog_csv.write_csv(sel["hydro"], str(tmp_path / "sel"))
-    stations = catalog_csv.read_station_set(spark, str(tmp_path / "sel"))
+    selection.write_selection(sel, str(tmp_path / "sel"))
+    stations = catalog_csv.read_station_set(spark, str(tmp_path / "sel" / "estaciones_seleccionadas_hidrometricas.csv"))
 
     table = feature_table.build_features(selection.only_stations(hid, stations), "gasto_medio_m3s", cli, stations, sel["climate"])
     stats = table.groupBy("clave_estacion").agg(F.avg("gasto_medio_m3s").alias("m"), F.stddev("gasto_medio_m3s").alias("s"),
