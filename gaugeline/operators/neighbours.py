@@ -10,10 +10,10 @@ from ..constants import DAY, STATION
 from ..functions.geo import haversine_km
 from ..session import cut_lineage
 
-_SPLIT = 3            # bits per axis and level: a cell has 64 children
-_LEVELS = 6           # finest cell: 0.0014 by 0.0007 degrees
+_SPLIT = 2            # bits per axis and level: a cell has 16 children
+_LEVELS = 9           # finest cell: 0.0014 by 0.0007 degrees
 _LEAF = 64            # stop refining once no cell holds more places
-_BOUNDED_LEVEL = 3    # level n has at most 64**n cells, so up to here the table is small
+_BOUNDED_LEVEL = 4    # level n has at most 16**n cells, so up to here the table is small
 _SLACK_KM = 1e-6
 _TARGETS_PER_COPY = 1000
 
@@ -71,20 +71,21 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
     known = cut_lineage(_places(others, key, k))
     places = known.where(F.col("v_lat").isNotNull())
     cells = cut_lineage(_cells(places))
-    # At most six rows: the largest cell of each level decides how deep to go.
+    # One row per level: the largest cell of each level decides how deep to go.
     summary = cells.groupBy("level").agg(F.max("n").alias("largest"), F.sum("n").alias("n")).collect()
     largest = {r["level"]: r["largest"] for r in summary}
     placed = sum(r["n"] for r in summary if r["level"] == 1)
     depth = next((lv for lv in range(1, _LEVELS + 1) if largest.get(lv, 0) <= _LEAF), _LEVELS)
 
     mine = Window.partitionBy(key)
+    within = F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))
     targets = (stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
                .groupBy(key).agg(F.min(F.struct("latitud", "longitud")).alias("_at"))
                .select(key, "_at.latitud", "_at.longitud"))
     for level in range(1, depth + 1):
-        if level == 1:   # at most 64 cells, as one array
+        if level == 1:   # at most 16 cells, as one array
             top = cells.where("level = 1").agg(F.collect_list(F.struct(F.col("cell").alias("child"), "n", "radius")))
-            near = targets.select("*", F.inline(top.scalar()))
+            near = targets.select("*", F.lit(None).cast("double").alias("_bound"), F.inline(top.scalar()))
         else:
             below = cells.where(F.col("level") == level).select(
                 F.col("cell").alias("child"), F.col("parent").alias("cell"), "n", "radius")
@@ -92,12 +93,12 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
         lat, lon = _centre(F.col("child"), level)
         near = (near.withColumn("_mid", haversine_km(F.col("latitud"), F.col("longitud"), lat, lon))
                 .withColumn("_near", F.col("_mid") - F.col("radius") - _SLACK_KM)
-                .withColumn("_far", F.col("_mid") + F.col("radius") + _SLACK_KM))
+                .withColumn("_far", F.col("_mid") + F.col("radius") + _SLACK_KM)
+                .where(within))   # by the bound of the level above, before anything is sorted
         reached = F.sum("n").over(mine.orderBy("_far", "child").rowsBetween(Window.unboundedPreceding, 0))
         bound = F.min(F.when(F.col("_reached") >= k, F.col("_far"))).over(mine)
-        open_cells = (near.withColumn("_reached", reached).withColumn("_bound", bound)
-                      .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-                      .select(key, "latitud", "longitud", F.col("child").alias("cell")))
+        open_cells = (near.withColumn("_reached", reached).withColumn("_bound", F.least("_bound", bound))
+                      .where(within).select(key, "latitud", "longitud", "_bound", F.col("child").alias("cell")))
 
     found = open_cells.join(places.withColumn("cell", _cell(depth)), "cell").withColumn(
         "dist_km", haversine_km(F.col("latitud"), F.col("longitud"), F.col("v_lat"), F.col("v_lon")))
