@@ -1,7 +1,7 @@
 """The registered queries as SQL over the same tables.
 
-Queries left out have no practical SQL form: the spline, the gamma index, the
-decomposition and the file inventory are tested against brute force instead.
+Queries left out have no practical SQL form: the gamma index, the decomposition and the
+file inventory are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -213,6 +213,37 @@ def _resample(scale: float) -> str:
             f"JOIN ({axis.format(n=f'FLOOR({w} / {scale})', m=w)}) c ON c.i = px.col GROUP BY ALL")
 
 
+# Not-a-knot cubic through the valid rows of each station: the tridiagonal system for the
+# second derivatives, swept forwards and backwards by recursion over the points.
+CTE |= {
+    "lin": _linear("climate_full", "precip_mm", 7),
+    "numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY clave_estacion ORDER BY fecha) AS rn FROM climate_full",
+    "pts": """SELECT *, LEAD(x) OVER w - x AS h, (LEAD(y) OVER w - y) / (LEAD(x) OVER w - x) AS d FROM (
+        SELECT clave_estacion AS st, CAST(rn AS DOUBLE) AS x, precip_mm AS y, ROW_NUMBER() OVER (PARTITION BY clave_estacion ORDER BY rn) AS i,
+          COUNT(*) OVER (PARTITION BY clave_estacion) AS n FROM numbered WHERE precip_mm IS NOT NULL)
+        WHERE n >= 4 WINDOW w AS (PARTITION BY st ORDER BY i)""",
+    "sys": """SELECT b.st, b.i, b.n, a.h - CASE WHEN b.i = b.n - 1 THEN b.h * b.h / a.h ELSE 0 END AS lo,
+        2 * (a.h + b.h) + CASE WHEN b.i = 2 THEN a.h * (1 + a.h / b.h) ELSE 0 END
+          + CASE WHEN b.i = b.n - 1 THEN b.h * (1 + b.h / a.h) ELSE 0 END AS di,
+        b.h - CASE WHEN b.i = 2 THEN a.h * a.h / b.h ELSE 0 END AS up, 6 * (b.d - a.d) AS r
+        FROM pts a JOIN pts b ON b.st = a.st AND b.i = a.i + 1 WHERE b.i < b.n""",
+    "fwd": """SELECT st, i, n, up / di AS c, r / di AS g FROM sys WHERE i = 2
+        UNION ALL SELECT s.st, s.i, s.n, s.up / (s.di - s.lo * f.c), (s.r - s.lo * f.g) / (s.di - s.lo * f.c)
+        FROM fwd f JOIN sys s ON s.st = f.st AND s.i = f.i + 1""",
+    "bwd": """SELECT st, i, g AS m FROM fwd WHERE i = n - 1
+        UNION ALL SELECT f.st, f.i, f.g - f.c * b.m FROM bwd b JOIN fwd f ON f.st = b.st AND f.i = b.i - 1""",
+    "curve": """SELECT * FROM bwd
+        UNION ALL SELECT a.st, 1, (1 + a.h / b.h) * m2.m - a.h / b.h * m3.m FROM pts a JOIN pts b ON b.st = a.st AND a.i = 1 AND b.i = 2
+          JOIN bwd m2 ON m2.st = a.st AND m2.i = 2 JOIN bwd m3 ON m3.st = a.st AND m3.i = 3
+        UNION ALL SELECT a.st, a.n, (1 + b.h / a.h) * m2.m - b.h / a.h * m3.m FROM pts a JOIN pts b ON b.st = a.st AND a.i = a.n - 2 AND b.i = a.n - 1
+          JOIN bwd m2 ON m2.st = a.st AND m2.i = a.n - 1 JOIN bwd m3 ON m3.st = a.st AND m3.i = a.n - 2""",
+    "cubic": """SELECT k.clave_estacion, k.fecha,
+        (c1.m * POW(b.x - k.rn, 3) + c2.m * POW(k.rn - a.x, 3)) / (6 * a.h) + (a.y / a.h - c1.m * a.h / 6) * (b.x - k.rn)
+          + (b.y / a.h - c2.m * a.h / 6) * (k.rn - a.x) AS v
+        FROM numbered k JOIN pts a ON a.st = k.clave_estacion JOIN pts b ON b.st = a.st AND b.i = a.i + 1 AND k.rn > a.x AND k.rn < b.x
+        JOIN curve c1 ON c1.st = a.st AND c1.i = a.i JOIN curve c2 ON c2.st = b.st AND c2.i = b.i""",
+}
+
 LIN = ("SELECT {key}, ROUND({v}, 6) + 0.0 AS {v}, filled AS calidad FROM ({sub})")
 
 _PAIRED = f"""SELECT lag, ROUND(AVG(r), 6) + 0.0 AS corr FROM (
@@ -301,6 +332,10 @@ ORACLE = {
         CASE WHEN gasto_medio_m3s < 0 OR gasto_medio_m3s > 3 * q999 THEN 2 ELSE 0 END AS calidad FROM flow JOIN flow_limits USING (clave_estacion)"""),
     "outlier_limits": q("flow flow_limits", f"SELECT clave_estacion, {r6('q999')} FROM flow_limits"),
     "impute_linear": q("climate climate_full", LIN.format(key=KEY, v="precip_mm", sub=_linear("climate_full", "precip_mm", 7))),
+    "impute_cubic": q("climate climate_full lin numbered pts sys fwd bwd curve cubic", """
+        SELECT clave_estacion, CAST(fecha AS VARCHAR) AS fecha, filled AS calidad,
+          ROUND(CASE WHEN filled = 1 AND v IS NOT NULL THEN v ELSE precip_mm END, 6) + 0.0 AS precip_mm
+        FROM lin LEFT JOIN cubic USING (clave_estacion, fecha)"""),
     "impute_linear_whole": q("climate climate_full", LIN.format(key=KEY, v="precip_mm", sub=_linear("climate_full", "precip_mm", 3, True))),
     "canonical": q("flow flow_full flow_full_limits canonical", f"SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio FROM canonical"),
     "canonical_table": q("flow flow_full flow_full_limits canonical", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio

@@ -6,9 +6,11 @@ keys are unique and the operators' ``unique=True`` holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.calendar import to_daily
+
 GRID_COLS = 40
 # Unit factors; they also keep averages of two-decimal inputs off exact rounding ties.
 CUBIC_FOOT = 0.028316846592
@@ -133,17 +135,17 @@ def polygons(spark, sf_dir) -> DataFrame:
 
 def raw_lines(spark, sf_dir) -> DataFrame:
     """Flow series written back as station files: metadata, header, one line per calendar day."""
-    from gaugeline.operators.calendar import to_daily
     days = to_daily(hydro(spark, sf_dir), unique=True)
-    file = F.concat(F.lit("file:/raw/Hidros/"), F.col("clave_estacion"), F.lit(".csv"))
     value = F.coalesce(F.round("gasto_medio_m3s", 4).cast("string"), F.lit("-"))
-    data = days.select(file.alias("file"), (F.datediff("fecha", F.lit("1970-01-01").cast("date")) + 100).cast("long").alias("n"),
-                       F.concat(F.date_format("fecha", "yyyy/MM/dd"), F.lit(",-,"), value).alias("line"))
+    data = F.struct((F.datediff("fecha", F.lit("1970-01-01").cast("date")) + 100).alias("n"),
+                    F.concat(F.date_format("fecha", "yyyy/MM/dd"), F.lit(",-,"), value).alias("line"))
     head = ["Comisión Nacional", "Estación: de prueba", "Estado: ninguno", "", "Fecha, Nivel(m), Gasto(m³/s)"]
-    heads = days.groupBy("clave_estacion").agg(F.lit(0)).select(file.alias("file"), F.posexplode(
-        F.array(*[F.lit(h) for h in head])).alias("n", "line"))
-    both = heads.withColumn("n", F.col("n").cast("long")).unionByName(data)
-    return both.select("file", F.struct(F.lit(0).cast("long").alias("offset"), F.col("n").alias("id")).alias("pos"), "line")
+    heads = [F.struct(F.lit(i).alias("n"), F.lit(text).alias("line")) for i, text in enumerate(head)]
+    first = F.lag("fecha").over(Window.partitionBy("clave_estacion").orderBy("fecha")).isNull()
+    lines = days.withColumn("first", first).select(
+        F.concat(F.lit("file:/raw/Hidros/"), F.col("clave_estacion"), F.lit(".csv")).alias("file"),
+        F.inline(F.when(F.col("first"), F.array(*heads, data)).otherwise(F.array(data))))
+    return lines.select("file", F.struct(F.lit(0).cast("long").alias("offset"), F.col("n").cast("long").alias("id")).alias("pos"), "line")
 
 
 def raw_catalog(spark, sf_dir) -> DataFrame:
