@@ -63,12 +63,13 @@ def parse_series_lines(lines: DataFrame) -> DataFrame:
     The header side has one row per file. Spark broadcasts it when it is small and
     splits a hot file over tasks when it is not.
     """
-    data = lines.join(header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
-    cells = _fields(F.col("line"))
+    # Lines are split below the join: expressions above it would be repeated per column.
+    split = lines.select("file", "pos", _fields(F.col("line")).alias("cells"))
+    data = split.join(header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
 
     def cell(target: str) -> Column:
         at = F.array_position("targets", target).cast("int") - 1
-        return F.when(at >= 0, F.trim(F.get(cells, at)))
+        return F.when(at >= 0, F.trim(F.get("cells", at)))
 
     raw = data.select(file_stem(F.col("file")).alias(STATION), *[cell(t).alias(t) for t, _ in SERIES_RULES])
     numbers = [to_number(F.col(t)).alias(t) for t, _ in SERIES_RULES if t != DAY]
