@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Year first, then month first; an optional time part is dropped.
-_YMD = r"^\d{4}[/.-]\d{1,2}[/.-]\d{1,2}([ T].*)?$"
+# Year first, eight digits, month first; a time part may follow where there are separators.
+_YMD = r"^\d{4}-\d{1,2}-\d{1,2}($|[ T])"
 _COMPACT = r"^\d{8}$"
-_MDY = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}([ T].*)?$"
+_MDY = r"^(\d{1,2})-(\d{1,2})-(\d{4})($|[ T].*$)"
 
 
 def mixed_date(text: Column) -> Column:
-    """Text to DATE; NULL where no notation fits or the day does not exist."""
-    t = F.trim(text)
-    dashed = F.translate(t, "/.", "--")
-    compact = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
-    month_first = F.regexp_replace(dashed, r"^(\d{1,2})-(\d{1,2})-(\d{4}).*$", "$3-$1-$2")
-    return (F.when(t.rlike(_YMD), dashed.try_cast("date"))
-            .when(t.rlike(_COMPACT), compact.try_cast("date"))
-            .when(t.rlike(_MDY), month_first.try_cast("date")))
+    """Trimmed text to DATE; NULL where no notation fits or the day does not exist.
+
+    Slashes and points count as dashes. The expression names its input few times, which
+    keeps the generated code small enough to be compiled.
+    """
+    dashed = F.translate(text, "/.", "--")
+    return (F.when(dashed.rlike(_YMD), dashed.try_cast("date"))
+            .when(text.rlike(_COMPACT), F.try_to_date(text, "yyyyMMdd"))
+            .when(dashed.rlike(_MDY), F.regexp_replace(dashed, _MDY, "$3-$1-$2").try_cast("date")))

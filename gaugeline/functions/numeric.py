@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-
 
 def to_number(text: Column) -> Column:
-    """Text to DOUBLE; anything that is not a finite decimal number is NULL."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Trimmed text to DOUBLE; anything that is not a decimal number is NULL.
+
+    Numbers end in a digit or a point, which keeps out "-", "NaN", "Infinity" and Java
+    suffixes before the cast is tried; the only other form Java reads is hexadecimal.
+    """
+    return F.when(text.rlike("^[^xX]*[0-9.]$"), text.try_cast("double"))
 
 
 def nan_to_null(col: Column) -> Column:

@@ -18,7 +18,7 @@ def canonical_catalog(raw: DataFrame) -> DataFrame:
     def column(target: str):
         text = F.col(f"`{found[target]}`")
         if target in CATALOG_RANGES:
-            return to_number(text).alias(target)
+            return to_number(F.trim(text)).alias(target)
         return (F.trim(text) if target in ("clave", "region_hidrologica") else text).alias(target)
 
     return raw.select(*[column(c) for c in CATALOG_COLUMNS if c in found])

@@ -21,9 +21,9 @@ _MAYBE_HEADER = "(?i)f[eèéêë][cç]h[aàáâãäå]"
 
 
 def _fields(line: Column) -> Column:
-    """Cells of a line; quotes are looked at only where there are any."""
-    quoted = F.transform(F.split(line, _COMMA), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
+    """Trimmed cells of a line; quotes are looked at only where there are any."""
+    quoted = F.transform(F.split(line, _COMMA), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(F.trim(line), r"\s*,\s*"))
 
 
 def file_stem(path: Column) -> Column:
@@ -50,11 +50,17 @@ def read_lines(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataF
 
 def header_lines(lines: DataFrame) -> DataFrame:
     """First line of each file that has the date column as a whole field."""
-    named = F.exists(F.split("line", ","), lambda c: fold_col(c) == "fecha")
-    first = lines.where(F.col("line").rlike(_MAYBE_HEADER) & named).groupBy("file").agg(F.min_by("line", "pos").alias("header"),
-                                                   F.min("pos").alias("header_pos"))
+    line = F.col("line")
+    named = F.exists(F.split(line, ","), lambda c: fold_col(c) == "fecha")
+    # Lines of numbers drop out at the first, cheap test.
+    maybe = (line.contains("h") | line.contains("H")) & line.rlike(_MAYBE_HEADER)
+    first = lines.where(maybe & named).groupBy("file").agg(F.min_by("line", "pos").alias("header"),
+                                                           F.min("pos").alias("header_pos"))
     targets = map_headers_col(F.transform(_fields(F.col("header")), fold_col), SERIES_RULES)
-    return first.select("file", "header_pos", targets.alias("targets"))
+    # Per file: where each target stands, -1 where the file has no such column.
+    where = [(F.array_position("targets", t).cast("int") - 1).alias(f"at_{t}") for t, _ in SERIES_RULES]
+    return (first.withColumn("targets", targets)
+            .select("file", file_stem(F.col("file")).alias(STATION), "header_pos", *where))
 
 
 def parse_series_lines(lines: DataFrame) -> DataFrame:
@@ -68,12 +74,11 @@ def parse_series_lines(lines: DataFrame) -> DataFrame:
     data = split.join(header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
 
     def cell(target: str) -> Column:
-        at = F.array_position("targets", target).cast("int") - 1
-        return F.when(at >= 0, F.trim(F.get("cells", at)))
+        return F.get("cells", F.col(f"at_{target}"))
 
-    raw = data.select(file_stem(F.col("file")).alias(STATION), *[cell(t).alias(t) for t, _ in SERIES_RULES])
-    numbers = [to_number(F.col(t)).alias(t) for t, _ in SERIES_RULES if t != DAY]
-    return raw.select(STATION, mixed_date(F.col(DAY)).alias(DAY), *numbers).where(F.col(DAY).isNotNull())
+    row = F.struct(mixed_date(cell(DAY)).alias(DAY), *[to_number(cell(t)).alias(t) for t, _ in SERIES_RULES if t != DAY])
+    # A generator, so that the test for a date is not moved into the join and worked out twice.
+    return data.select(STATION, F.inline(F.array(row))).where(F.col(DAY).isNotNull())
 
 
 def read_series_csv(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataFrame:
