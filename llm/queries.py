@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import quality_classifier, quality_rules, simhash
 from .common import table
 
 
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -14,5 +18,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op9_quality_classifier, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
