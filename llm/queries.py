@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, simhash
+from . import quality_classifier, quality_rules, simhash, substring_dedup
 from .common import table
 
 
@@ -10,6 +10,11 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,5 +23,19 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op9_quality_classifier, op10_quality_rules)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+
+ORACLE: dict[str, str] = {
+    "op8_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i0 FROM d),
+        k AS (SELECT doc_id, i0, md5(array_to_string(w[i0:i0 + 34], ' ')) AS h FROM p),
+        r AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT doc_id, list(DISTINCT i) AS gone
+              FROM (SELECT doc_id, unnest(range(i0, i0 + 35)) AS i FROM k JOIN r USING (h)) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+                   list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
+}
