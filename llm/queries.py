@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, simhash, substring_dedup
+import public_tokenizers
+
+from gaugeline.session import scratch_table
+
+from . import quality_classifier, quality_rules, simhash, substring_dedup, token_files
 from .common import table
 
 
+def op1_token_files(spark, sf_dir):
+    return token_files.token_table(table(spark, sf_dir, "documents"), scratch_table(spark, "tokens"),
+                                   public_tokenizers.path("word_bpe_49k.json"), by_word=True)
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -23,8 +32,8 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
-WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
     "op8_substring_dedup": f"""
@@ -36,6 +45,6 @@ ORACLE: dict[str, str] = {
               FROM (SELECT doc_id, unnest(range(i0, i0 + 35)) AS i FROM k JOIN r USING (h)) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
-                   list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]) END, ' '), '')) AS kept_sha256
+                   list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
 }
