@@ -6,7 +6,7 @@ import public_tokenizers
 
 from gaugeline.session import scratch_table
 
-from . import quality_classifier, quality_rules, simhash, substring_dedup, token_files
+from . import quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_token_files(spark, sf_dir):
                                    public_tokenizers.path("word_bpe_49k.json"), by_word=True)
 
 
+def op2_warc(spark, sf_dir):
+    return (warc.archive_pages(table(spark, sf_dir, "pages"), scratch_table(spark, "archive"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -32,10 +37,19 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+        SELECT page_id, payload_bytes,
+               translate(upper(array_to_string(list_transform(range(8), lambda i: to_base(('0x' || substr(x, 5 * i + 1, 5))::BIGINT, 32, 4)), '')),
+                         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM h""",
     "op8_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i0 FROM d),
