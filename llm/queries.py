@@ -6,7 +6,7 @@ import public_tokenizers
 
 from gaugeline.session import scratch_table
 
-from . import quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
+from . import decontaminate, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
@@ -37,7 +41,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op6_decontaminate, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
