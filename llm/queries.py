@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from gaugeline.session import scratch_table
 
-from . import decontaminate, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
+from . import decontaminate, licenses, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 
@@ -24,10 +25,19 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return (line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5")))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
@@ -41,10 +51,12 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op6_decontaminate, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
+    "op5_license_scan": licenses.oracle_sql(),
+    "op7_line_dedup": line_dedup.oracle_sql(),
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS top FROM p)
