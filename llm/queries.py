@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import scratch_table
 
-from . import decontaminate, licenses, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
+from . import decontaminate, licenses, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -51,10 +55,11 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op4_mixing, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules)}
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.oracle_sql(WORDS),
     "op5_license_scan": licenses.oracle_sql(),
     "op7_line_dedup": line_dedup.oracle_sql(),
     "op2_warc": """
