@@ -43,7 +43,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_substring_dedup(spark, sf_dir):
-    return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import join_small
 
-from .common import per_text, stored, utf8
+from .common import stored, utf8
 
 ANCHOR = 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD_CACHE = 400_000
+_WORD_CACHE = 200_000
 
 
 class _WordHash(dict):
@@ -86,11 +86,11 @@ def window_anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return np.where(grams[left] <= grams[right], left, right)
 
 
-def runs_of(text: bytes, length: int, known: _WordHash) -> list[dict]:
+def runs_of(text: bytes, length: int, known: _WordHash) -> list[np.ndarray]:
     """Runs of windows with one anchor: first window, number of windows, hashes of anchor and run."""
     words = text.split()
     if len(words) < length:
-        return []
+        return [np.empty(0, np.int64)] * 4
     hashed = word_hashes(words, known)
     grams, windows = gram_hashes(hashed, ANCHOR), gram_hashes(hashed, length)
     anchor = window_anchors(grams, length - ANCHOR + 1)
@@ -99,8 +99,14 @@ def runs_of(text: bytes, length: int, known: _WordHash) -> list[dict]:
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(windows, dtype=np.uint64)])
         run = _mix(total[first + count] - total[first] + count.astype(np.uint64) * _BASE)
-    return [{"at": a, "n": n, "anchor": g, "run": r} for a, n, g, r in zip(
-        first.tolist(), count.tolist(), grams[anchor[first]].view(np.int64).tolist(), run.view(np.int64).tolist(), strict=True)]
+    return [first, count, grams[anchor[first]].view(np.int64), run.view(np.int64)]
+
+
+def _lists(each: list[list[np.ndarray]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """One list of structs per row from its columns; no Python object per struct."""
+    offsets = np.concatenate([[0], np.cumsum([len(c[0]) for c in each])]).astype(np.int32)
+    columns = [pa.array(np.concatenate([c[i] for c in each]) if each else [], type=kind) for i, (_, kind) in enumerate(fields)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in fields]))
 
 
 def cut_repeats(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int, list[bytes]]:
@@ -129,12 +135,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(key, spans): for each row with a repeated window the runs of repeated windows (at, n)."""
-    def runs(text: bytes) -> tuple:
-        return (runs_of(text, length, cache),)
+    @F.arrow_udf("array<struct<at: int, n: int, anchor: long, run: long>>")
+    def runs(texts: pa.Array) -> pa.Array:
+        known = _WordHash()
+        return _lists([runs_of(t.as_py(), length, known) for t in texts],
+                      [("at", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("run", pa.int64())])
 
-    cache = _WordHash()
-    one = per_text(runs, "runs array<struct<at: int, n: int, anchor: long, run: long>>")
-    found = stored(rows.select("key", "copies", F.explode(one(utf8("text"))["runs"]).alias("r")).select("key", "copies", "r.*"), "runs")
+    found = stored(rows.select("key", "copies", F.explode(runs(utf8("text"))).alias("r")).select("key", "copies", "r.*"), "runs")
     seeds = stored(found.groupBy("anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor"), "seeds")
     seeded = stored(found.join(seeds, "anchor"), "seeded")
     kinds = stored(seeded.groupBy("anchor", "run").agg(F.sum("copies").alias("c"), F.min(F.struct("key", "at", "n")).alias("first")), "kinds")
@@ -151,10 +158,12 @@ def _extended(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     def windows(texts: pa.Array, wanted: pa.Array) -> pa.Array:
         known, out = _WordHash(), []
         for text, runs in zip(texts, wanted, strict=True):
+            runs = runs.as_py()
             grams = gram_hashes(word_hashes(text.as_py().split(), known), length).view(np.int64)
-            out.append([{"anchor": r["anchor"], "window": w, "at": r["at"] + i, "c": r["c"]}
-                        for r in runs.as_py() for i, w in enumerate(grams[r["at"]:r["at"] + r["n"]].tolist())])
-        return pa.array(out, type=pa.list_(pa.struct([("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("c", pa.int64())])))
+            spread = lambda field: np.repeat(np.array([r[field] for r in runs], np.int64), [r["n"] for r in runs])  # noqa: B023, E731
+            at = np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs])
+            out.append([spread("anchor"), grams[at], at, spread("c")])
+        return _lists(out, [("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("c", pa.int64())])
 
     each = stored(join_small(rows.select("key", "text"), wanted, "key")
                   .select("key", F.explode(windows(utf8("text"), F.col("wanted"))).alias("w")).select("key", "w.*"), "windows")
@@ -167,9 +176,9 @@ def _merge(spans: DataFrame) -> DataFrame:
     @F.arrow_udf("array<struct<at: int, n: int>>")
     def joined(lists: pa.Array) -> pa.Array:
         out = []
-        for spans in lists.to_pylist():
+        for spans in lists:
             mine: list[dict] = []
-            for s in sorted(spans, key=lambda s: s["at"]):
+            for s in sorted(spans.as_py(), key=lambda s: s["at"]):
                 if mine and s["at"] <= mine[-1]["at"] + mine[-1]["n"]:
                     mine[-1]["n"] = max(mine[-1]["n"], s["at"] + s["n"] - mine[-1]["at"])
                 else:
@@ -180,10 +189,11 @@ def _merge(spans: DataFrame) -> DataFrame:
     return spans.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("all")).select("key", joined("all").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept_text``, ``repeats``.
 
-    ``repeats`` lists the maximal repeats as (first word, words).
+    ``repeats`` lists the maximal repeats as (first word, words). Without ``texts`` the column
+    ``kept_text`` is null.
 
     Defined results: null and empty texts have no words and the digest of the empty string;
     texts shorter than ``length`` keep all words; repeated rows are documents of their own, so
@@ -195,12 +205,12 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
     spans = repeated_spans(rows, length)
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept_sha256: string, kept_text: string>")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def cut(bodies: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for text, mine in zip(texts, spans.to_pylist(), strict=True):
-            n, gone, kept = cut_repeats(text.as_py(), [(s["at"], s["n"]) for s in mine or ()], length)
+        for text, mine in zip(bodies, spans, strict=True):
+            n, gone, kept = cut_repeats(text.as_py(), [(s["at"], s["n"]) for s in mine.as_py() or ()], length)
             body = b" ".join(kept)
-            out.append({"n_words": n, "n_removed": gone, "kept_sha256": hashlib.sha256(body).hexdigest(), "kept_text": body.decode(errors="replace")})
+            out.append({"n_words": n, "n_removed": gone, "kept_sha256": hashlib.sha256(body).hexdigest(), "kept_text": body.decode(errors="replace") if texts else None})
         return pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
 
     done = (join_small(rows, spans, "key", "left")
