@@ -136,8 +136,7 @@ def _moments(stats: DataFrame, knots: list[np.ndarray]) -> dict[bool, np.ndarray
     return out
 
 
-def minimise(m_all: np.ndarray, m_pos: np.ndarray, prior: float, ridge: float = 1e-3, steps: int = 3000,
-             rate: float = 0.5) -> np.ndarray:
+def minimise(m_all: np.ndarray, m_pos: np.ndarray, prior: float, ridge: float, steps: int = 3000, rate: float = 0.5) -> np.ndarray:
     """Weights of least non-negative risk; ``m_*`` are mean products, feature 0 is constant one.
 
     Steps are preconditioned by the moments of all text. Where the bracketed part of the risk
@@ -175,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     marked = stats.join(known.where("positive"), "id", "left").select("stats", F.coalesce("positive", F.lit(False)).alias("positive"))
     sums = _moments(marked, knots)
     n_all, n_pos = sums[False][0, 0], sums[True][0, 0]
-    weights = minimise(sums[False] / n_all, sums[True] / n_pos, prior) if n_all and n_pos else None
+    # few positives have noisy moments: the penalty shrinks as they grow in number
+    weights = minimise(sums[False] / n_all, sums[True] / n_pos, prior, 1e-3 + 3 / n_pos) if n_all and n_pos else None
     return Model(knots, weights, prior), stats
 
 
