@@ -33,27 +33,43 @@ MAGIC = b"S8BTOK1\n"
 GROUP_IDS = 1 << 19        # a group ends with the document that reaches this
 DICTIONARY = 1 << 16
 END_ID = 1
+_DENSE = 1 << 22
 _WORD_CACHE = 600_000
 _LETTERS = re.compile(rb"[A-Za-z]+|[^A-Za-z]+")
 
 
 # ---- tokens -----------------------------------------------------------------------------
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell each byte as one printable character, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _WordIds(dict):
     """Ids (as bytes) of each word met, by the tokenizer; emptied when it gets large."""
 
     def __init__(self, tokenizer, specials: list[bytes]):
         super().__init__()
         self.tokenizer, self.specials = tokenizer, specials
+        self.model, self.normal, self.letters = tokenizer.model, tokenizer.normalizer, _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _WORD_CACHE:
             self.clear()
-        ids = b"".join(map(self.__getitem__, p)) if len(p := self.pieces(word)) > 1 else np.array(
-            self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+        parts = self.pieces(word)
+        ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else np.array(self.encode(word.decode(errors="replace")), np.uint32).tobytes()
         self[word] = ids
         return ids
 
+    def encode(self, word: str) -> list[int]:
+        """A word of letters is one piece, so the model takes it at once; others go through the whole tokenizer."""
+        plain = word if word.isascii() and word.islower() else self.normal.normalize_str(word)
+        if plain.isalpha():
+            return [t.id for t in self.model.tokenize(plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def pieces(self, word: bytes) -> list[bytes]:
         """Parts of a word that the tokenizer splits anyway: letters from what follows them."""
         if b"'" in word or any(s in word for s in self.specials):
@@ -68,8 +84,8 @@ def token_ids(spark: SparkSession, text: str | Column, tokenizer: str, by_word:
     """Ids of a text and ``end_id``, as bytes of little-endian 32-bit integers.
 
     ``tokenizer`` is the path of a tokenizers file on the driver; its content is sent once to
-    each executor. ``by_word`` encodes each distinct word of a worker once; it is right only
-    for tokenizers that drop white space, lower-case, and split letters from marks.
+    each executor. ``by_word`` encodes each distinct word of a worker once; it is right only for
+    byte-level tokenizers that drop white space, lower-case, and split letters from marks.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
@@ -107,11 +123,19 @@ def token_ids(spark: SparkSession, text: str | Column, tokenizer: str, by_word:
 def pack_group(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     lengths = np.array([len(b) // 4 for b in ids], np.int64)
     stream = np.frombuffer(b"".join(ids), "<u4")
-    known, place, count = np.unique(stream, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(known), np.int64)
-    rank[order] = np.arange(len(known))
-    values = rank[place]
+    if len(stream) and stream.max() < _DENSE:   # a vocabulary: count without sorting
+        counts = np.bincount(stream)
+        known = np.flatnonzero(counts)
+        order = np.argsort(-counts[known], kind="stable")
+        rank = np.empty(len(counts), np.int64)
+        rank[known[order]] = np.arange(len(known))
+        values = rank[stream]
+    else:
+        known, place, counts = np.unique(stream, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        values = rank[place]
     rare = values >= DICTIONARY
     packed = pack(np.where(rare, stream, values), rare)
     head = np.array([len(ids), len(stream), len(packed.blocks), len(packed.words), len(packed.escapes), min(len(known), DICTIONARY)], "<i8")
