@@ -13,6 +13,7 @@ Content-Length and the record's digest are those of the full payload, and no pay
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -217,7 +218,7 @@ class _Reader(DataSourceReader):
         fs, path = filesystem(partition.path)
         packed = path.endswith(".gz")
         with fs.open_input_file(path) as raw:
-            stream = gzip.GzipFile(fileobj=raw) if packed else raw
+            stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw)
             rows, held = [], 0
             for row in parse(stream, self._wanted, self.payload, seekable=not packed):
                 rows.append(row)
