@@ -41,14 +41,13 @@ def form_topic(text: Column, words: Column) -> Column:
             .when(words < 500, "article").otherwise("long"))
 
 
-def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with a struct ``mix`` of source, lang, topic (null as empty) and tokens."""
-    text = F.coalesce("text", F.lit(""))
+def described(text: Column, source: Column, lang: Column, topic: Column | None = None) -> Column:
+    """Struct of source, lang, topic (null as empty) and tokens."""
+    text = F.coalesce(text, F.lit(""))
     words = count_words(text)
     topic = form_topic(text, words) if topic is None else topic
-    return docs.select("*", F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in
-                                       (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))],
-                                     words.cast("long").alias("tokens")).alias("mix"))
+    named = (("source", source), ("lang", lang), ("topic", topic))
+    return F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in named], words.cast("long").alias("tokens"))
 
 
 def _shares(sums: dict[str, float], wanted: dict[str, float] | float) -> dict[str, float]:
@@ -153,19 +152,25 @@ def mix(docs: DataFrame, targets: dict | None = None, keep: float = 0.6, seed: s
     no tokens; cells without tokens, or without a target, have weight and probability zero;
     equal ids are sampled together; an empty table gives no rows.
     """
-    slim = stored(described(docs.select("doc_id", "text", "source", "lang"), topic).select("doc_id", "mix"), "mix-documents")
-    cell = F.struct(*[F.col(f"mix.{d}").alias(d) for d in DIMENSIONS])
-    return (join_small(slim.withColumn("cell", cell), _cells(slim, targets, keep), "cell")
+    slim = stored(docs.select("doc_id", _described(docs, topic).alias("mix")), "mix-documents")
+    return (join_small(slim.withColumn("cell", _cell("mix")), _cells(slim, targets, keep), "cell")
             .select("doc_id", "cell.*", "mix.tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"),
                     (chance(seed) < F.col("probability")).alias("sampled")))
 
 
+def _described(docs: DataFrame, topic: Column | None) -> Column:
+    return described(docs["text"], docs["source"], docs["lang"], topic)
+
+
+def _cell(mix: str) -> Column:
+    return F.struct(*[F.col(f"{mix}.{d}").alias(d) for d in DIMENSIONS])
+
+
 def keep_mixed(docs: DataFrame, targets: dict | None = None, keep: float = 0.6, seed: str = "mix-1", topic: Column | None = None) -> DataFrame:
     """The sampled documents, columns unchanged; the texts stay where they are unless there are very many cells."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    mixed = described(docs, topic).select(whole, "mix", F.struct(*[F.col(f"mix.{d}").alias(d) for d in DIMENSIONS]).alias("cell"))
-    cells = _cells(described(docs.select("text", "source", "lang"), topic).select("mix"), targets, keep)
-    return join_small(mixed, cells, "cell").where(chance(seed, "doc.doc_id") < F.col("probability")).select("doc.*")
+    mixed = docs.select(_described(docs, topic).alias("mix"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    cells = _cells(docs.select(_described(docs, topic).alias("mix")), targets, keep)
+    return join_small(mixed.withColumn("cell", _cell("mix")), cells, "cell").where(chance(seed, "doc.doc_id") < F.col("probability")).select("doc.*")
 
 
 def oracle_sql(words: str, keep: float = 0.6, seed: str = "mix-1", rounds: int = 40, steps: int = 12) -> str:
