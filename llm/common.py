@@ -59,6 +59,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Most rows and list entries of a side that is broadcast: of some 25 bytes each, about 50 MB.
+BROADCAST_ENTRIES = 2_000_000
+
+
+def join_lists(df: DataFrame, side: DataFrame, on: str, lists: str, how: str = "inner") -> DataFrame:
+    """Join with rows that carry a list of small structs; broadcast only after rows and entries were counted."""
+    side = stored(side, "lists")
+    n = side.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return df.join(F.broadcast(side) if n <= BROADCAST_ENTRIES else side, on, how)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, on the driver or an executor."""
     if "://" in path or path.startswith("file:"):

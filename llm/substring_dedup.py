@@ -27,9 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.session import join_small
-
-from .common import stored, utf8
+from .common import join_lists, stored, utf8
 
 ANCHOR = 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -165,7 +163,7 @@ def _extended(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             out.append([spread("anchor"), grams[at], at, spread("c")])
         return _lists(out, [("anchor", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("c", pa.int64())])
 
-    each = stored(join_small(rows.select("key", "text"), wanted, "key")
+    each = stored(join_lists(rows.select("key", "text"), wanted, "key", "wanted")
                   .select("key", F.explode(windows(utf8("text"), F.col("wanted"))).alias("w")).select("key", "w.*"), "windows")
     again = stored(each.groupBy("anchor", "window").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "window"), "again")
     return each.where("c = 1").join(again, ["anchor", "window"]).select("key", "at", F.lit(1).alias("n"))
@@ -213,7 +211,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
             out.append({"n_words": n, "n_removed": gone, "kept_sha256": hashlib.sha256(body).hexdigest(), "kept_text": body.decode(errors="replace") if texts else None})
         return pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
 
-    done = (join_small(rows, spans, "key", "left")
+    done = (join_lists(rows, spans, "key", "spans", "left")
             .select("id", "copies", cut(utf8("text"), F.col("spans")).alias("r"),
                     F.transform("spans", lambda s: F.struct(s["at"].alias("word"), (s["n"] + length - 1).alias("words"))).alias("repeats")))
     return (done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
