@@ -28,39 +28,59 @@ def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+_STIRLING = 64.0   # from here on the asymptotic form has all digits
+
+
 def _scale(a, x):
-    return np.exp(a * np.log(x) - x - _log_gamma(a))
+    """x^a e^-x / Gamma(a). Large shapes by Stirling's form, whose terms do not cancel."""
+    far = (x - a) / a
+    big = np.sqrt(a / (2 * np.pi)) * np.exp(-a * (far - np.log1p(far)) - 1 / (12 * a) + 1 / (360 * a ** 3) - 1 / (1260 * a ** 5))
+    return np.where(a >= _STIRLING, big, np.exp(a * np.log(x) - x - _log_gamma(a)))
 
 
-def _series(a, x, rounds: int = 500):
+def _series(a, x):
+    """Sum of x^k / (a (a+1) .. (a+k)). Terms fall from the start, as x < a + 1, so it always ends;
+    values that have converged leave the loop."""
+    out = np.empty_like(x)
+    left = np.arange(len(x))
     term = 1 / a
-    total = term.copy()
-    for k in range(1, rounds):
+    total, k = term.copy(), 0
+    while len(left):
+        k += 1
         term = term * x / (a + k)
-        total += term
-        if np.all(np.abs(term) < np.abs(total) * 1e-16):
-            break
-    return total
+        total = total + term
+        done = np.abs(term) < np.abs(total) * 1e-17
+        if not np.isfinite(term).all():
+            raise ArithmeticError("the gamma series has left the range of doubles")
+        out[left[done]] = total[done]
+        left, a, x, term, total = (v[~done] for v in (left, a, x, term, total))
+    return out
 
 
-def _fraction(a, x, rounds: int = 500):
-    """Continued fraction of the upper part, evaluated from the front (Lentz)."""
+def _fraction(a, x):
+    """Continued fraction of the upper part, evaluated from the front (Lentz), until it stands still."""
     tiny = 1e-300
+    out = np.empty_like(x)
+    left = np.arange(len(x))
     b = x + 1 - a
     c = np.full_like(x, 1 / tiny)
     d = 1 / b
-    h = d.copy()
-    for k in range(1, rounds):
+    h, k = d.copy(), 0
+    while len(left):
+        k += 1
         step = -k * (k - a)
         b = b + 2
         d = step * d + b
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
         c = b + step / c
         c = np.where(np.abs(c) < tiny, tiny, c)
-        h *= d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
+        h = h * d * c
+        if not np.isfinite(h).all():
+            raise ArithmeticError("the continued fraction has left the range of doubles")
+        done = np.abs(d * c - 1) < 4e-16
+        out[left[done]] = h[done]
+        left, a, b, c, d, h = (v[~done] for v in (left, a, b, c, d, h))
+    return out
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:

@@ -78,8 +78,8 @@ def stl_components(df: DataFrame, value: str, period: int = 365, group: str = ST
                    robust: bool = True) -> DataFrame:
     """(group, day, trend, seasonal, resid) per station.
 
-    Gaps are filled by straight lines first, trailing ones by the last value, and rows
-    before the first value are left out. A station needs two full periods; shorter ones
+    Gaps are filled by straight lines first, trailing ones by the last value; rows before
+    the first value keep NULL components. A station needs two full periods; shorter ones
     give NULL components. One group is one station with one row per day.
     """
     schema = T.StructType([*df.select(group, day).schema,
@@ -89,9 +89,13 @@ def stl_components(df: DataFrame, value: str, period: int = 365, group: str = ST
         pdf = pdf.sort_values(day)
         y = pdf[value].astype(float).interpolate().to_numpy()
         keep = ~np.isnan(y)
-        out = pdf.loc[keep, [group, day]].copy()
+        out = pdf[[group, day]].copy()
         parts = stl(y[keep], period, robust=robust) if keep.sum() >= 2 * period else (None, None, None)
-        out["trend"], out["seasonal"], out["resid"] = parts
+        for name, part in zip(("trend", "seasonal", "resid"), parts, strict=True):
+            out[name] = None
+            if part is not None:
+                out.loc[keep, name] = part
+            out[name] = out[name].astype(float)
         return out
 
     return df.select(group, day, value).groupBy(group).applyInPandas(decompose, schema)

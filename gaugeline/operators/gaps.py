@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,21 +68,42 @@ def impute_short_gaps(df: DataFrame, value_col: str, group: str = STATION, max_g
     if method != "cubic":
         raise ValueError(f"unknown method {method!r}")
 
-    whole = Window.partitionBy(group)
-    routed = framed.withColumn("_curved", F.max("_fill").over(whole) & (F.count(value_col).over(whole) >= 4)
-                               ).drop("_prev", "_next")
-    at = routed.columns.index("_line")
-
-    def spline(rows: pa.Table) -> pa.Table:
-        pos = rows["_pos"].to_numpy().astype(float)
-        y = rows[value_col].to_numpy().astype(float)
-        fill = rows["_fill"].to_numpy().astype(bool)
-        known = np.flatnonzero(~np.isnan(y))
+    # One pass: stations are cut out of batches that hold many of them, in the partitioning
+    # that the windows have made; the values of a station stand together and in order.
+    # The sort costs nothing where the windows' own order is in place; it states what is relied on.
+    rows = framed.drop("_prev", "_next").sortWithinPartitions(group)
+    at = rows.columns.index("_line")
+
+    def splines(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = pc.fill_null(batch.column(group).cast(pa.string()), "")
+            # all but the last station are complete; a null key counts as one station
+            last = pc.index(pc.equal(keys, keys[-1]), True).as_py() if len(keys) else 0
+            if held and len(keys) and pc.fill_null(held[-1].column(group).cast(pa.string()), "")[-1].as_py() == keys[-1].as_py() and last == 0:
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, last)])
+            if len(done):
+                yield from _curved(done, group, value_col, at).to_batches()
+            held = [batch.slice(last)]
+        if held:
+            yield from _curved(pa.Table.from_batches(held), group, value_col, at).to_batches()
+
+    return finish(rows.mapInArrow(splines, rows.schema), "_line")
+
+
+def _curved(rows: pa.Table, group: str, value_col: str, at: int) -> pa.Table:
+    """Whole stations with the filled values of those that have at least four known ones on their spline."""
+    keys = pc.fill_null(rows[group].cast(pa.string()), "").to_numpy(zero_copy_only=False)
+    pos = rows["_pos"].to_numpy().astype(float)
+    y = rows[value_col].to_numpy().astype(float)
+    line = rows["_line"].to_numpy().astype(float)
+    fill = rows["_fill"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
+        mine, known = np.flatnonzero(fill[a:b]) + a, np.flatnonzero(~np.isnan(y[a:b])) + a
         known = known[np.argsort(pos[known])]
-        y[fill] = cubic_at(pos[known], y[known], pos[fill])
-        return rows.set_column(at, "_line", pa.array(y, mask=np.isnan(y)))
-
-    # Only stations with something to fill cross into Python; both branches read the
-    # same exchange. A group is one station, one row per day.
-    curved = routed.where("_curved").groupBy(group).applyInArrow(spline, routed.schema)
-    return finish(curved.unionByName(routed.where("NOT _curved")), "_line")
+        if len(mine) and len(known) >= 4:
+            line[mine] = cubic_at(pos[known], y[known], pos[mine])
+    return rows.set_column(at, "_line", pa.array(line, mask=np.isnan(line)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DAY, STATION
 from ..functions.geo import haversine_km
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, cut_lineage
 
 _SPLIT = 2            # bits per axis and level: a cell has 16 children
 _LEVELS = 9           # finest cell: 0.0014 by 0.0007 degrees
@@ -147,22 +147,32 @@ def neighbour_pairs(stations: DataFrame, places: DataFrame, key: str = "clave")
     return split.join(other, "vecino").select(STATION, "vecino", dist.alias("dist_km"))
 
 
+def _weight(power: float) -> Column:
+    return F.when(F.col("dist_km") > 0, 1 / F.pow("dist_km", F.lit(float(power)))).otherwise(1e12)
+
+
+def _weighted_mean(joined: DataFrame, day: str, name: str) -> DataFrame:
+    w = F.when(F.col("_v").isNotNull(), F.col("_w"))
+    return joined.groupBy(STATION, day).agg(F.try_divide(F.sum(w * F.col("_v")), F.sum(w)).alias(name))
+
+
 def idw_to_station(pairs: DataFrame, climate: DataFrame, value: str = "precip_mm", power: float = 2,
                    name: str = "idw", day: str = DAY) -> DataFrame:
     """(station, day, name): neighbour values weighted by 1/d^power, over the neighbours that have one.
 
     A day known to some neighbour without a value from any is NULL; a neighbour at
-    distance zero has weight 1e12. A neighbour shared by many stations is copied, each
+    distance zero has weight 1e12. Pairs too many to be broadcast are joined by shuffle: a neighbour shared by many stations is copied, each
     copy serving up to a thousand of them, so no task multiplies out all of its pairs.
     """
-    pairs = cut_lineage(pairs)   # a few rows per station, used three times
+    pairs = cut_lineage(pairs)   # a few rows per station, counted and then used
+    if pairs.count() <= BROADCAST_ROWS:   # sent to the readings, which are then shuffled once, as partial sums
+        weighted = pairs.select(STATION, "vecino", _weight(power).alias("_w"))
+        values = climate.select(F.col(STATION).alias("vecino"), F.col(day), F.col(value).alias("_v"))
+        return _weighted_mean(values.join(F.broadcast(weighted), "vecino"), day, name)
     copies = pairs.groupBy("vecino").agg(F.ceil(F.count("*") / _TARGETS_PER_COPY).cast("int").alias("_copies"))
-    weight = F.when(F.col("dist_km") > 0, 1 / F.pow("dist_km", F.lit(float(power)))).otherwise(1e12)
     targets = pairs.join(copies, "vecino").select(
-        STATION, "vecino", weight.alias("_w"), F.pmod(F.xxhash64(STATION), "_copies").cast("int").alias("_copy"))
+        STATION, "vecino", _weight(power).alias("_w"), F.pmod(F.xxhash64(STATION), "_copies").cast("int").alias("_copy"))
     values = (climate.select(F.col(STATION).alias("vecino"), F.col(day), F.col(value).alias("_v"))
               .join(copies, "vecino")
               .select("vecino", day, "_v", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")))
-    w = F.when(F.col("_v").isNotNull(), F.col("_w"))
-    return (values.join(targets, ["vecino", "_copy"]).groupBy(STATION, day)
-            .agg(F.try_divide(F.sum(w * F.col("_v")), F.sum(w)).alias(name)))
+    return _weighted_mean(values.join(targets, ["vecino", "_copy"]), day, name)

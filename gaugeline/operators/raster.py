@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, join_small
 
 PIXEL = ("basin", "row", "col")
 
@@ -40,16 +40,19 @@ def clip(pixels: DataFrame, box: tuple[float, float, float, float], west: float,
     return pixels.where(F.col("row").between(*rows) & F.col("col").between(*cols))
 
 
-def resample(pixels: DataFrame, scale: float, height: int, width: int) -> DataFrame:
+def resample(pixels: DataFrame, scale: float, sizes: DataFrame | None = None) -> DataFrame:
     """Grid with cells ``scale`` times as large: area mean when coarser, bilinear when finer.
 
-    ``height`` and ``width`` are the source size; the result has the whole cells that
-    fit. Pixels without data carry no weight.
+    ``sizes`` (basin, height, width) are the source sizes, by default up to the last row and
+    column of each basin; basins without a size keep no cell. The result has the whole cells
+    that fit. Pixels without data carry no weight.
     """
-    new_h, new_w = max(1, int(height / scale)), max(1, int(width / scale))
+    if sizes is None:
+        sizes = pixels.groupBy("basin").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    whole = [F.greatest(F.lit(1), F.floor(F.col(c) / scale)).cast("int").alias(n) for c, n in (("height", "_h"), ("width", "_w"))]
     known = pixels.where(F.col("z").isNotNull())
 
-    def shares(axis: str, size: int) -> Column:
+    def shares(axis: str, size: Column) -> Column:
         """Target indexes that a source pixel contributes to, with its weight along one axis."""
         i = F.col(axis)
         if scale >= 1:
@@ -63,12 +66,13 @@ def resample(pixels: DataFrame, scale: float, height: int, width: int) -> DataFr
 
             def weight(t):
                 return 1 - F.abs((t + 0.5) * scale - 0.5 - i)
-        inside = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(size - 1)).cast("int"))
-        listed = F.when(F.greatest(low, F.lit(0)) <= F.least(high, F.lit(size - 1)), inside)
+        inside = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, size - 1).cast("int"))
+        listed = F.when(F.greatest(low, F.lit(0)) <= F.least(high, size - 1), inside)
         return F.filter(F.transform(listed, lambda t: F.struct(t.alias("i"), weight(t).alias("w"))),
                         lambda s: s["w"] > 0)
 
-    parts = (known.select("basin", "z", shares("row", new_h).alias("rs"), shares("col", new_w).alias("cs"))
+    sized = join_small(known, sizes.select("basin", *whole), "basin")
+    parts = (sized.select("basin", "z", shares("row", F.col("_h")).alias("rs"), shares("col", F.col("_w")).alias("cs"))
              .select("basin", "z", F.explode("rs").alias("r"), "cs")
              .select("basin", "z", "r", F.explode("cs").alias("c")))
     w = F.col("r.w") * F.col("c.w")
@@ -116,8 +120,19 @@ def _unpacked(df: DataFrame, *keep: str) -> DataFrame:
                      F.col("pix").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("col"), *keep)
 
 
-def _any_open(state: DataFrame) -> bool:
-    return not state.where(F.col("ptr").isNotNull()).isEmpty()
+class CycleError(ValueError):
+    """Pointers that lead back to where they came from."""
+
+
+def _rounds(state: DataFrame):
+    """Counts rounds of pointer doubling while a pointer is open; paths without a cycle end in log2(nodes) + 1."""
+    most, done = None, 0
+    while not state().where(F.col("ptr").isNotNull()).isEmpty():
+        most = math.ceil(math.log2(max(2, state().count()))) + 1 if most is None else most
+        if done > most:
+            raise CycleError("the pointers have a cycle between tiles")
+        done += 1
+        yield done
 
 
 def _links(pointer: DataFrame) -> DataFrame:
@@ -151,7 +166,7 @@ def _local_routes(pix: np.ndarray, ptr: np.ndarray, weight: np.ndarray):
     at = np.clip(np.searchsorted(pix, ptr, sorter=order), 0, len(pix) - 1)
     to = np.where(pix[order[at]] == ptr, order[at], np.arange(len(pix)))
     acc, last = weight, to.copy()
-    while True:
+    for _ in range(len(pix).bit_length() + 2):   # a path of n pixels ends after log2(n) + 1 doublings
         moving = np.flatnonzero(to != np.arange(len(to)))
         if not len(moving):
             return acc, last
@@ -162,6 +177,7 @@ def _local_routes(pix: np.ndarray, ptr: np.ndarray, weight: np.ndarray):
         # A step that ended at a last pixel has delivered; it must not deliver again.
         done = to[to] == to
         to = np.where(done, np.arange(len(to)), to[to])
+    raise CycleError(f"the pointers have a cycle at pixel {int(pix[np.flatnonzero(to != np.arange(len(to)))[0]])}")
 
 
 def _routes(links: DataFrame, size: int) -> DataFrame:
@@ -196,7 +212,7 @@ def _accumulate(state: DataFrame) -> DataFrame:
     round ends in a checkpoint.
     """
     state = cut_lineage(state)
-    while _any_open(state):
+    for _ in _rounds(lambda: state):
         moving = state.where(F.col("ptr").isNotNull())
         sent = moving.groupBy("basin", F.col("ptr").alias("pix")).agg(F.sum("acc").alias("_add"))
         ahead = state.select("basin", F.col("pix").alias("ptr"), F.col("ptr").alias("_next"))
@@ -269,7 +285,7 @@ def _spread(state: DataFrame) -> DataFrame:
     path has ended.
     """
     state = cut_lineage(state)
-    while _any_open(state):
+    for _ in _rounds(lambda: state):
         ahead = state.select("basin", F.col("pix").alias("ptr"), F.col("ptr").alias("_next"), F.col("label").alias("_label"))
         moved = (state.where(F.col("ptr").isNotNull()).drop("label").join(ahead, ["basin", "ptr"])
                  .select("basin", "pix", F.col("_next").alias("ptr"), F.col("_label").alias("label")))
@@ -293,9 +309,10 @@ def watershed(pointer: DataFrame, outlets: DataFrame, key: str = "clave", tile:
     exits = _exits(routes.withColumn("acc", F.lit(1)))
     entries = (routes.where(_on_border("pix", tile)).join(ends, ["basin", "last"], "left")
                .select("basin", F.col("pix").alias("into"), F.when(F.col("leaves"), F.col("last")).alias("ptr"), "label"))
-    found = _spread(exits.join(entries, ["basin", "into"]).select("basin", "pix", "ptr", "label"))
+    # an exit into a pixel that the table does not have, as after a clip, ends there without a label
+    found = _spread(exits.join(entries, ["basin", "into"], "left").select("basin", "pix", "ptr", "label"))
     onward = (routes.where(F.col("leaves")).select("basin", "pix", "last")
-              .join(found.withColumnRenamed("pix", "last"), ["basin", "last"]).select("basin", "pix", "label"))
+              .join(found.withColumnRenamed("pix", "last"), ["basin", "last"], "left").select("basin", "pix", "label"))
     return _unpacked(labelled.unionByName(onward), F.col("label").alias(key))
 
 
@@ -320,7 +337,7 @@ def basin_attributes(labelled: DataFrame, cell_area_km2: float, key: str = "clav
 
     gy = gradient("row", "_r0", "_r1", "n0", "n1")
     gx = gradient("col", "_c0", "_c1", "n2", "n3")
-    slopes = near.join(edge, [key, "basin"]).withColumn("_s", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
+    slopes = join_small(near, edge, [key, "basin"]).withColumn("_s", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
     return slopes.groupBy(key).agg(
         F.count("*").alias("celdas"), (F.count("*") * cell_area_km2).alias("area_km2"),
         F.avg("z").alias("elevacion_media"), F.avg("_s").alias("pendiente_media"))

@@ -34,7 +34,7 @@ def coverage_table(df: DataFrame, value_col: str, group: str = STATION, start: s
                    end: str | None = None, only_observed: bool = False, day: str = DAY) -> DataFrame:
     """Share of days with a value: of the period if both bounds are given, else of the station's span.
 
-    ``only_observed`` leaves out imputed values.
+    The highest share comes first, equal ones by key. ``only_observed`` leaves out imputed values.
     """
     d = in_period(df, start, end, day)
     value = F.col(value_col) if value_col in df.columns else F.lit(None)
@@ -47,7 +47,7 @@ def coverage_table(df: DataFrame, value_col: str, group: str = STATION, start: s
         first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     days = F.datediff(last, first) + 1
     return counted.select(group, "n_obs", days.alias("dias_periodo"),
-                          F.try_divide("n_obs", days).alias("cobertura"), "inicio", "fin")
+                          F.try_divide("n_obs", days).alias("cobertura"), "inicio", "fin").orderBy(F.desc_nulls_last("cobertura"), group)
 
 
 def quality_summary(df: DataFrame) -> DataFrame:

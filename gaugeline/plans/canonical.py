@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SOURCE
 from ..operators.calendar import to_daily, with_year
 from ..operators.gaps import impute_short_gaps
-from ..operators.quality import flag_outliers, replace_sentinels, with_quality
+from ..operators.features import pick_column
+from ..operators.quality import flag_outliers, replace_sentinels, validate_series, with_quality
 from ..sources.series_csv import read_series_csv
 from ..sources.tables import write_parquet
 
@@ -29,5 +32,17 @@ def build_canonical(raw: DataFrame, value_col: str, source: str = "SIH", sentine
     return with_year(with_quality(df))
 
 
-def run(spark: SparkSession, raw_path: str, out_path: str, value_col: str) -> str:
-    return write_parquet(build_canonical(read_series_csv(spark, raw_path), value_col), out_path, ["anio"])
+def run(spark: SparkSession, raw_path: str, out_path: str, value_col: str | list[str]) -> str:
+    """Raw files to the stored canonical table; of several value columns the first with a value is taken.
+
+    Violations of the contract do not stop the stage; a warning names how many there are.
+    """
+    raw = read_series_csv(spark, raw_path)
+    if not isinstance(value_col, str):
+        filled = raw.agg(*[F.count(c).alias(c) for c in value_col if c in raw.columns]).first().asDict()
+        value_col = pick_column(raw.select(*[c for c, n in filled.items() if n]), value_col)
+    path = write_parquet(build_canonical(raw, value_col), out_path, ["anio"])
+    broken = validate_series(spark.read.parquet(path)).count()
+    if broken:
+        warnings.warn(f"{broken} violations of the series contract in {path}", stacklevel=2)
+    return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -11,7 +11,11 @@ from ..constants import (
 from ..operators.neighbours import nearest_stations, neighbour_lists
 from ..operators.report import coverage_table
 from ..session import cut_lineage
-from ..sources.catalog_csv import write_csv
+from ..sources.catalog_csv import read_catalog, read_station_set, write_csv
+
+
+_FILES = (("hydro", "estaciones_seleccionadas_hidrometricas"), ("climate", "estaciones_seleccionadas_climatologicas"),
+          ("extended", "estaciones_extendidas_hidrometricas"))
 
 
 def candidates(catalog: DataFrame, regions=PILOT_REGIONS) -> DataFrame:
@@ -53,9 +57,18 @@ def select_stations(hydro: DataFrame, climate: DataFrame, hydro_series: DataFram
     }
 
 
+def run(spark: SparkSession, hydro_catalog: str, climate_catalog: str, hydro_table: str, climate_table: str, out: str, **options) -> str:
+    """Catalogue files and canonical tables to the three station sets under ``out``."""
+    write_selection(select_stations(read_catalog(spark, hydro_catalog), read_catalog(spark, climate_catalog),
+                                    spark.read.parquet(hydro_table), spark.read.parquet(climate_table), **options), out)
+    return out
+
+
+def read_selection(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: read_station_set(spark, f"{folder}/{path}.csv") for name, path in _FILES}
+
+
 def write_selection(selected: dict[str, DataFrame], folder: str) -> None:
     """The three station sets as CSV under ``folder``."""
-    for name, path in (("hydro", "estaciones_seleccionadas_hidrometricas"),
-                       ("climate", "estaciones_seleccionadas_climatologicas"),
-                       ("extended", "estaciones_extendidas_hidrometricas")):
+    for name, path in _FILES:
         write_csv(selected[name], f"{folder}/{path}.csv")

@@ -13,6 +13,7 @@ from ..constants import DAY, PUBLISHER_BASE, PUBLISHER_CATALOGS, PUBLISHER_DIRS,
 from ..functions.dates import mixed_date
 from ..functions.numeric import to_number
 from ..functions.text import fold_col, map_headers_col
+from ..session import join_small
 
 # A comma outside double quotes.
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -66,12 +67,12 @@ def header_lines(lines: DataFrame) -> DataFrame:
 def parse_series_lines(lines: DataFrame) -> DataFrame:
     """Canonical rows from (file, pos, line); files without a header give none.
 
-    The header side has one row per file. Spark broadcasts it when it is small and
-    splits a hot file over tasks when it is not.
+    The header side has one row per file. It is worked out and counted first: up to the
+    broadcast limit no line is shuffled, beyond it Spark splits the files that are hot.
     """
     # Lines are split below the join: expressions above it would be repeated per column.
     split = lines.select("file", "pos", _fields(F.col("line")).alias("cells"))
-    data = split.join(header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
+    data = join_small(split, header_lines(lines), "file").where(F.col("pos") > F.col("header_pos"))
 
     def cell(target: str) -> Column:
         return F.get("cells", F.col(f"at_{target}"))

@@ -363,7 +363,8 @@ def test_snap(spark):
 def test_resample(spark):
     z = np.random.default_rng(4).random((7, 9))
     def run(scale):
-        return {(r.row, r.col): r.z for r in raster.resample(pixel_table(spark, z), scale, *z.shape).collect()}
+        return {(r.row, r.col): r.z for r in raster.resample(
+            pixel_table(spark, z), scale, spark.createDataFrame([("A", *z.shape)], "basin string, height int, width int")).collect()}
     coarse = run(2.0)
     assert set(coarse) == set(np.ndindex(3, 4))
     for (r, c), v in coarse.items():

@@ -1,13 +1,14 @@
 """The registered queries as SQL over the same tables.
 
-Queries left out have no practical SQL form: the gamma index, the decomposition and the
-file inventory are tested against brute force instead.
+The decomposition has no practical SQL form; it is tested against brute force instead.
 """
 
 from __future__ import annotations
 
 import math
 
+from gaugeline.constants import PILOT_BASINS
+
 DAYS = "CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE)"
 
 
@@ -124,6 +125,8 @@ CTE = {
         CROSS JOIN national y LEFT JOIN national x ON x.rn = y.rn - lag WHERE n >= 30 GROUP BY 1""",
     "px": """SELECT 'A' AS basin, CAST(p_partkey // 40 AS INTEGER) AS "row", CAST(p_partkey % 40 AS INTEGER) AS col,
         p_retailprice + p_size * 0.2::DOUBLE AS z FROM part""",
+    "grids": """SELECT * FROM px UNION ALL SELECT 'B', CAST(s_suppkey // 3 AS INTEGER), CAST(s_suppkey % 3 AS INTEGER),
+        s_suppkey * 1.7::DOUBLE + s_nationkey FROM supplier""",
     "steps": "SELECT * FROM (VALUES (-1,-1), (-1,0), (-1,1), (0,-1), (0,1), (1,-1), (1,0), (1,1)) t(dr, dc)",
     "pointer": f"""SELECT p.basin, p."row", p.col, p.z, b.to_row, b.to_col FROM px p LEFT JOIN (
         SELECT * FROM (SELECT p.basin, p."row", p.col, n."row" AS to_row, n.col AS to_col, ROW_NUMBER() OVER (
@@ -151,6 +154,12 @@ CTE = {
     "hydro_cat": """SELECT h.*, c.latitud, c.longitud, c.region_hidrologica, c.estado FROM hydro h LEFT JOIN catalog c ON c.clave = h.clave_estacion""",
     "estado_boxes": """SELECT estado, MIN(longitud) AS a1, MIN(latitud) AS b1, MAX(longitud) AS a2, MAX(latitud) AS b2 FROM catalog GROUP BY 1""",
 }
+CTE["pointer_c"] = "SELECT * FROM pointer WHERE col < 20"
+CTE["outlets_c"] = "SELECT * FROM outlets WHERE col < 20"
+for _name in ("trail", "sheds"):
+    CTE[f"{_name}_c"] = CTE[_name].replace("pointer", "pointer_c").replace("trail", "trail_c").replace("outlets", "outlets_c")
+
+
 def q(names: str, body: str) -> str:
     parts = [f"{n} AS ({CTE[n]})" for n in names.split()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
@@ -206,11 +215,12 @@ def _resample(scale: float) -> str:
         span = f"LEAST((t + 1) * {scale}, i + 1) - GREATEST(t * {scale}, i)"
     else:
         span = f"1 - ABS((t + 0.5) * {scale} - 0.5 - i)"
-    axis = (f"SELECT t, i, w FROM (SELECT t, i, CAST({span} AS DOUBLE) AS w FROM range(CAST({{n}} AS BIGINT)) a(t), range({{m}}) b(i)) WHERE w > 0")
-    h, w = '(SELECT MAX("row") + 1 FROM px)', "(SELECT MAX(col) + 1 FROM px)"
-    return (f"SELECT basin, CAST(r.t AS INTEGER) AS \"row\", CAST(c.t AS INTEGER) AS col, ROUND(SUM(r.w * c.w * z) / SUM(r.w * c.w), 6) AS z "
-            f"FROM px JOIN ({axis.format(n=f'FLOOR({h} / {scale})', m=h)}) r ON r.i = px.\"row\" "
-            f"JOIN ({axis.format(n=f'FLOOR({w} / {scale})', m=w)}) c ON c.i = px.col GROUP BY ALL")
+    axis = (f"SELECT basin, t, i, w FROM (SELECT basin, t, i, CAST({span} AS DOUBLE) AS w FROM (SELECT basin, t, unnest(range({{m}})) AS i FROM "
+            f"(SELECT basin, {{m}}, unnest(range(CAST(FLOOR({{m}} / {scale}) AS BIGINT))) AS t FROM sz))) WHERE w > 0")
+    return (f", sz AS (SELECT basin, MAX(\"row\") + 1 AS h, MAX(col) + 1 AS v FROM grids GROUP BY 1) "
+            f"SELECT basin, CAST(r.t AS INTEGER) AS \"row\", CAST(c.t AS INTEGER) AS col, ROUND(SUM(r.w * c.w * z) / SUM(r.w * c.w), 6) AS z "
+            f"FROM grids JOIN ({axis.format(m='h')}) r USING (basin) JOIN ({axis.format(m='v')}) c USING (basin) "
+            f"WHERE r.i = grids.\"row\" AND c.i = grids.col GROUP BY ALL")
 
 
 # Not-a-knot cubic through the valid rows of each station: the tridiagonal system for the
@@ -244,6 +254,32 @@ CTE |= {
         JOIN curve c1 ON c1.st = a.st AND c1.i = a.i JOIN curve c2 ON c2.st = b.st AND c2.i = b.i""",
 }
 
+# The same over the flow series.
+_FLOW = (("climate_full", "flow_full"), ("precip_mm", "gasto_medio_m3s"), ("numbered", "numbered_f"), ("pts", "pts_f"), ("sys", "sys_f"),
+         ("fwd", "fwd_f"), ("bwd", "bwd_f"), ("curve", "curve_f"))
+for _name in ("numbered", "pts", "sys", "fwd", "bwd", "curve", "cubic"):
+    _sql = CTE[_name]
+    for _a, _b in _FLOW:
+        _sql = _sql.replace(_a, _b)
+    CTE[f"{_name}_f"] = _sql
+
+# The gamma index: both distribution functions as sums of positive terms, the normal quantile by bisection.
+_GAMMA = """, s AS (SELECT *, CASE WHEN COUNT(precip_mm) OVER w = 3 THEN SUM(precip_mm) OVER w END AS s FROM monthly
+    WINDOW w AS (PARTITION BY clave_estacion ORDER BY mes_inicio ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  m AS (SELECT *, AVG(CASE WHEN s > 0 THEN s END) OVER p AS mean, LN(AVG(CASE WHEN s > 0 THEN s END) OVER p) - AVG(CASE WHEN s > 0 THEN LN(s) END) OVER p AS k,
+      COUNT(CASE WHEN s = 0 THEN 1 END) OVER p / NULLIF(COUNT(s) OVER p, 0) AS zero FROM s WINDOW p AS (PARTITION BY clave_estacion, MONTH(mes_inicio))),
+  g AS (SELECT clave_estacion, mes_inicio, a, s * a / mean AS x, zero FROM
+      (SELECT *, CASE WHEN k > 0 THEN (1 + SQRT(1 + 4 * k / 3)) / (4 * k) END AS a FROM m)),
+  r AS (SELECT *, CASE WHEN x <= 0 THEN 0 ELSE list_sum(list_transform(range(CAST(CEIL(GREATEST(x - a, 0) + 12 * SQRT(x + 40) + 40) AS BIGINT)),
+      lambda n: EXP((a + n) * LN(x) - x - LGAMMA(a + n + 1)))) END AS cdf FROM g),
+  b AS (SELECT clave_estacion, mes_inicio, zero + (1 - zero) * cdf AS p, -8.0::DOUBLE AS low, 8.0::DOUBLE AS high, 0 AS step FROM r
+      UNION ALL SELECT clave_estacion, mes_inicio, p, CASE WHEN f < p THEN mid ELSE low END, CASE WHEN f < p THEN high ELSE mid END, step + 1 FROM (
+        SELECT *, CASE WHEN mid < 0 THEN 0.5 - half ELSE 0.5 + half END AS f FROM (
+          SELECT *, CASE WHEN mid = 0 THEN 0 ELSE list_sum(list_transform(range(CAST(CEIL(mid * mid / 2 + 12 * SQRT(mid * mid / 2 + 10)) AS BIGINT)),
+            lambda n: EXP((0.5 + n) * LN(mid * mid / 2) - mid * mid / 2 - LGAMMA(n + 1.5)))) / 2 END AS half
+          FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE step < 52))))
+SELECT clave_estacion, CAST(mes_inicio AS VARCHAR) AS mes_inicio, CASE WHEN p IS NOT NULL THEN ROUND(GREATEST(-3.09, LEAST(3.09, (low + high) / 2)), 6) + 0.0 END AS spi3 FROM b WHERE step = 52"""
+
 LIN = ("SELECT {key}, ROUND({v}, 6) + 0.0 AS {v}, filled AS calidad FROM ({sub})")
 
 _PAIRED = f"""SELECT lag, ROUND(AVG(r), 6) + 0.0 AS corr FROM (
@@ -259,17 +295,18 @@ def _bbox(margin: float, by: str = "") -> str:
     return f"SELECT {by + ', ' if by else ''}{agg} FROM catalog" + (f" GROUP BY {by}" if by else "")
 
 
-PILOT = (
-    ("Cutzamala", -100.7, 18.4, -99.4, 19.7), ("Lerma Alto", -100.6, 19.2, -99.4, 20.0),
-    ("Bajio", -103.5, 20.0, -100.5, 21.5), ("Santiago", -105.7, 20.5, -102.0, 22.7),
-    ("Panuco", -100.7, 18.9, -97.5, 24.1), ("Alta del Balsas", -99.5, 18.0, -97.6, 19.5),
-)
-_PILOT = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, a, b, c, d in PILOT)
+_PILOT = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, _, (a, b, c, d), *_ in PILOT_BASINS)
+
+def _value(v: str) -> str:
+    """A value as number where it is one, else as text."""
+    return (f"ROUND(TRY_CAST(CAST({v} AS VARCHAR) AS DOUBLE), 6) + 0.0 AS number, "
+            f"CASE WHEN TRY_CAST(CAST({v} AS VARCHAR) AS DOUBLE) IS NULL THEN CAST({v} AS VARCHAR) END AS text")
+
 
 _SERIES_RULES = [
-    ("clave_estacion", "str_matches", "clave LIKE 'no valida%'"), ("gasto_medio_m3s", "ge(0)", "value - 5.0 < 0"),
-    ("tmax_c", "in_range(-30, 60)", "value NOT BETWEEN -30 AND 60"), ("fuente", "isin", "event_type = 'error'"),
-    ("calidad", "isin", "event_id % 4 = 3"),
+    ("clave_estacion", "str_matches", "clave LIKE 'no valida%'", "clave"), ("gasto_medio_m3s", "ge(0)", "value - 5.0 < 0", "value - 5.0"),
+    ("tmax_c", "in_range(-30, 60)", "value NOT BETWEEN -30 AND 60", "value"), ("fuente", "isin", "event_type = 'error'", "'OTRA'"),
+    ("calidad", "isin", "event_id % 4 = 3", "event_id % 4"),
 ]
 _MESSY = ("SELECT *, CASE WHEN user_id % 10 = 0 THEN 'no valida ' || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS clave, "
           "CAST(CAST(ts AS DATE) AS VARCHAR) AS fecha FROM events")
@@ -319,6 +356,7 @@ def _metrics() -> str:
     parts += _metric("media_anual", {g: f"AVG({g})"}, "FROM hydro GROUP BY YEAR(fecha)", "YEAR(fecha)")
     parts += _metric("precip_gasto", {"lag_max_correlacion_dias": "ARG_MAX(lag, corr)", "correlacion_max": "MAX(corr)",
                                       "n_fechas_comunes": "MAX(n_fechas)"}, "FROM national_corr")
+    parts += _metric("subcuencas", {"n_subcuencas": "COUNT(*)"}, "FROM supplier GROUP BY ROLLUP (s_nationkey)", "COALESCE(CAST(s_nationkey AS VARCHAR), 'total')")
     return ("SELECT section, name, key, ROUND(TRY_CAST(value AS DOUBLE), 6) + 0.0 AS number, "
             "CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS text FROM (" + " UNION ALL ".join(parts) + ")")
 
@@ -338,13 +376,30 @@ ORACLE = {
         FROM lin LEFT JOIN cubic USING (clave_estacion, fecha)"""),
     "impute_linear_whole": q("climate climate_full", LIN.format(key=KEY, v="precip_mm", sub=_linear("climate_full", "precip_mm", 3, True))),
     "canonical": q("flow flow_full flow_full_limits canonical", f"SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio FROM canonical"),
+    "canonical_cubic": q("flow flow_full flow_full_limits canonical numbered_f pts_f sys_f fwd_f bwd_f curve_f cubic_f", """
+        SELECT c.clave_estacion, CAST(c.fecha AS VARCHAR) AS fecha, ROUND(CASE WHEN f.gasto_medio_m3s IS NULL AND c.gasto_medio_m3s IS NOT NULL AND v IS NOT NULL
+          THEN v ELSE c.gasto_medio_m3s END, 6) + 0.0 AS gasto_medio_m3s, fuente, calidad, anio
+        FROM canonical c JOIN flow_full f USING (clave_estacion, fecha) LEFT JOIN cubic_f v USING (clave_estacion, fecha)"""),
     "canonical_table": q("flow flow_full flow_full_limits canonical", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio
         FROM canonical WHERE fecha BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'"""),
     "validate_series": " UNION ALL ".join(
-        f"SELECT clave AS clave_estacion, fecha, '{c}' AS \"column\", '{k}' AS \"check\" FROM ({_MESSY}) WHERE {w}" for c, k, w in _SERIES_RULES),
+        f"SELECT clave AS clave_estacion, fecha, '{c}' AS \"column\", '{k}' AS \"check\", {_value(v)} FROM ({_MESSY}) WHERE {w}" for c, k, w, v in _SERIES_RULES),
     "validate_catalog": " UNION ALL ".join(
-        [f"SELECT clave, '{c}' AS \"column\", '{k}' AS \"check\" FROM ({_CAT_MESSY}) WHERE {w}" for c, k, w in _CAT_RULES]
-        + [f"SELECT clave, 'clave' AS \"column\", 'unique' AS \"check\" FROM ({_CAT_MESSY}) GROUP BY 1 HAVING COUNT(*) > 1"]),
+        [f"SELECT clave, '{c}' AS \"column\", '{k}' AS \"check\", {_value(c)} FROM ({_CAT_MESSY}) WHERE {w}" for c, k, w in _CAT_RULES]
+        + [f"SELECT clave, 'clave' AS \"column\", 'unique' AS \"check\", {_value('COUNT(*)')} FROM ({_CAT_MESSY}) GROUP BY clave HAVING COUNT(*) > 1"]),
+    "manifest": """SELECT CAST(c_nationkey AS VARCHAR) AS nation, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes FROM (
+        SELECT c_nationkey, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1)""",
+    "manifest_summary": """SELECT COUNT(DISTINCT c_nationkey) AS n_files, CAST(SUM(strlen(c_name) + 1) AS BIGINT) AS total_bytes FROM customer""",
+    "storage_report": """WITH z AS (SELECT CAST(c_nationkey AS VARCHAR) AS zone, CAST(SUM(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY 1)
+        SELECT zone, bytes, bytes AS bytes_no_npz, CAST(NULL AS BOOLEAN) AS over_cap FROM z
+        UNION ALL SELECT NULL, CAST(SUM(bytes) AS BIGINT), CAST(COALESCE(SUM(bytes) FILTER (zone IN ('1', '2', '3')), 0) AS BIGINT),
+          COALESCE(SUM(bytes) FILTER (zone IN ('1', '2', '3')), 0) / 1e9 > 1e-6 FROM z""",
+    "series_files": q("hydro hydro_full", f"""SELECT {KEY}, CAST(NULL AS DOUBLE) AS nivel_m,
+        ROUND(gasto_medio_m3s, 4) + 0.0 AS gasto_medio_m3s FROM hydro_full"""),
+    "catalog_file": q("catalog", f"""SELECT clave, nombre, {r6('latitud', 'longitud')}, CASE WHEN altitud <= 2500 THEN altitud END AS altitud,
+        estado, region_hidrologica FROM catalog"""),
+    "station_set": q("hydro catalog coverage hydro_scored", f"SELECT LPAD(clave, 7, '0') AS clave, nombre, {r6('latitud', 'cobertura')} FROM hydro_scored"),
+    "mixed_dates": "SELECT event_id, CASE WHEN event_id % 7 < 6 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS fecha FROM events",
     "parse_roundtrip": q("hydro hydro_full", f"""SELECT {KEY}, CAST(NULL AS DOUBLE) AS nivel_m,
         ROUND(gasto_medio_m3s, 4) + 0.0 AS gasto_medio_m3s FROM hydro_full"""),
     "catalog_roundtrip": q("catalog", f"""SELECT clave, nombre, {r6('latitud', 'longitud')}, CASE WHEN altitud <= 2500 THEN altitud END AS altitud,
@@ -376,6 +431,7 @@ ORACLE = {
         FROM n s JOIN n x ON x.clave_estacion = s.clave_estacion AND x.rn BETWEEN s.rn AND s.rn + 4
         JOIN n y ON y.clave_estacion = s.clave_estacion AND y.rn = s.rn + 6"""),
     "spi_z": q("monthly", _spi("precip_mm", "spi3")),
+    "spi_gamma": q("monthly", _GAMMA),
     "spei_z": q("monthly", _spi("(precip_mm - pet_mm)", "spei3")),
     "select_candidates": q("catalog", f"""SELECT clave, nombre, {r6('latitud', 'longitud')}, altitud, estado, region_hidrologica
         FROM catalog WHERE region_hidrologica IN ('12', '18', '26')"""),
@@ -434,6 +490,9 @@ ORACLE = {
     "cross_source": q("hydro source_b", f"""SELECT clave_estacion, COUNT(*) AS n, ROUND({_corr('a.gasto_medio_m3s', 'b.gasto_medio_m3s')}, 6) + 0.0 AS corr,
         ROUND(AVG(a.gasto_medio_m3s - b.gasto_medio_m3s), 6) + 0.0 AS sesgo FROM hydro a JOIN source_b b USING (clave_estacion, fecha)
         GROUP BY 1 HAVING COUNT(*) >= 5"""),
+    "cross_source_default": q("hydro source_b", f"""SELECT clave_estacion, COUNT(*) AS n, ROUND({_corr('a.gasto_medio_m3s', 'b.gasto_medio_m3s')}, 6) + 0.0 AS corr,
+        ROUND(AVG(a.gasto_medio_m3s - b.gasto_medio_m3s), 6) + 0.0 AS sesgo FROM hydro a JOIN source_b b USING (clave_estacion, fecha)
+        GROUP BY 1 HAVING COUNT(*) >= 10"""),
     "common_stations": q("hydro source_b", "SELECT clave_estacion FROM hydro INTERSECT SELECT clave_estacion FROM source_b"),
     "dataset_summary": q("hydro", """SELECT COUNT(DISTINCT clave_estacion) AS n_estaciones, COUNT(*) AS n_filas, CAST(MIN(fecha) AS VARCHAR) AS fecha_min,
         CAST(MAX(fecha) AS VARCHAR) AS fecha_max FROM hydro"""),
@@ -465,8 +524,8 @@ ORACLE = {
     "raster_mosaic": q("tiles", """SELECT basin, "row", col, ROUND(ARG_MIN(z, path), 6) AS z FROM tiles GROUP BY ALL"""),
     "raster_clip": q("px", """SELECT basin, "row", col, ROUND(z, 6) AS z FROM px WHERE -100.5 + (col + 0.5) * 0.03 BETWEEN -100.3 AND -99.6
         AND 20.0 - ("row" + 0.5) * 0.03 BETWEEN 19.6 AND 19.95"""),
-    "raster_coarser": q("px", _resample(2.0)),
-    "raster_finer": q("px", _resample(0.5)),
+    "raster_coarser": q("px grids", _resample(2.0)),
+    "raster_finer": q("px grids", _resample(0.5)),
     "d8_pointer": q("px steps pointer", 'SELECT basin, "row", col, ROUND(z, 6) AS z, to_row, to_col FROM pointer'),
     "flow_accumulation": q("px steps pointer walk acc", 'SELECT basin, "row", col, acc FROM acc'),
     "extract_streams": q("px steps pointer walk acc", 'SELECT basin, "row", col, acc FROM acc WHERE acc >= 5'),
@@ -475,6 +534,7 @@ ORACLE = {
           ORDER BY POW(a."row" - o."row", 2) + POW(a.col - o.col, 2), a."row", a.col) AS k
         FROM outlets o JOIN acc a ON a.basin = o.basin AND a.acc >= 5
           AND POW(a."row" - o."row", 2) + POW(a.col - o.col, 2) <= 9) WHERE k = 1"""),
+    "watershed_clipped": q("px steps pointer pointer_c outlets outlets_c trail_c sheds_c", 'SELECT basin, "row", col, clave FROM sheds_c'),
     "watershed": q("px steps pointer outlets trail sheds", 'SELECT basin, "row", col, clave FROM sheds'),
     "basin_attributes": q("px steps pointer outlets trail sheds", f""", sz AS (SELECT s.*, p.z FROM sheds s JOIN px p USING (basin, "row", col) WHERE clave IS NOT NULL),
         e AS (SELECT clave, basin, MIN("row") AS r0, MAX("row") AS r1, MIN(col) AS c0, MAX(col) AS c1 FROM sz GROUP BY ALL)

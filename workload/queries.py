@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.constants import DAY, PILOT_BASINS, STATION
+from gaugeline.functions.dates import mixed_date
 from gaugeline.functions.text import slug
 from gaugeline.operators import calendar, climate, features, gaps, neighbours, quality, quantiles, raster, report, spatial
 from gaugeline.plans import selection
@@ -78,9 +79,55 @@ def _written(spark, sf):
     return calendar.in_period(tables.read_parquet(spark, path), "1997-03-01", "1998-02-28")
 
 
-def _grid_size(spark, sf):
-    size = V.pixels(spark, sf).agg(F.max("row"), F.max("col")).first()
-    return size[0] + 1, size[1] + 1
+def _clipped_pointer(spark, sf):
+    """Pointers of a grid cut off at column 20: some lead out of the table."""
+    return _pointer(spark, sf).where("col < 20")
+
+
+def _as_number(df: DataFrame) -> DataFrame:
+    """A text column ``value`` as number where it is one, else as text."""
+    number = F.col("value").try_cast("double")
+    return df.withColumn("number", number).withColumn("text", F.when(number.isNull(), F.col("value"))).drop("value")
+
+
+def _files(spark, sf):
+    """Customer names as text files, one per nation, in a fresh folder."""
+    path = scratch_table(spark, "bundle")
+    (V.table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("value")).repartition("c_nationkey")
+     .sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path))
+    return inventory.list_files(spark, path)
+
+
+def _nation(path: str = "path"):
+    return F.regexp_extract(path, r"/c_nationkey=(\d+)/", 1)
+
+
+def _raw_series(spark, sf):
+    """The station files of ``raw_lines`` written as Latin-1 text, read back from disk.
+
+    One folder per station: the writer chooses the file names, so the key is taken from the folder.
+    """
+    path = scratch_table(spark, "raw")
+    lines = V.raw_lines(spark, sf).select(F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("station"), "pos", "line")
+    (lines.repartition("station").sortWithinPartitions("station", "pos.id").select("station", "line")
+     .write.partitionBy("station").option("encoding", "ISO-8859-1").option("quote", "").option("sep", "\x01").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    keyed = (series_csv.read_lines(spark, f"{path}/*/*.csv")
+             .withColumn("file", F.concat(F.lit("file:/"), F.regexp_extract("file", r"station=([^/]+)/", 1), F.lit(".csv"))))
+    return series_csv.parse_series_lines(keyed)
+
+
+def _catalog_file(spark, sf):
+    path = scratch_table(spark, "catalog")
+    V.raw_catalog(spark, sf).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return path
+
+
+def _station_set(spark, sf):
+    path = scratch_table(spark, "stations")
+    catalog_csv.write_csv(selection.with_coverage(selection.candidates(V.catalog(spark, sf)), V.hydro(spark, sf), GASTO, PERIOD)
+                          .withColumn("clave", F.lpad("clave", 7, "0")), path)
+    return catalog_csv.read_station_set(spark, path)
 
 
 QUERIES = {
@@ -100,19 +147,23 @@ QUERIES = {
         _climate_full(s, d), "precip_mm", max_gap=3, method="linear", mode="whole"),
     "impute_cubic": lambda s, d: gaps.impute_short_gaps(_climate_full(s, d), "precip_mm"),
     "canonical": lambda s, d: build_canonical(V.flow(s, d), GASTO, method="linear", unique=True),
+    "canonical_cubic": lambda s, d: build_canonical(V.flow(s, d), GASTO, unique=True),
     "canonical_table": _written,
-    "validate_series": lambda s, d: quality.validate_series(V.messy_series(s, d)).drop("value"),
-    "validate_catalog": lambda s, d: quality.validate_catalog(V.messy_catalog(s, d)).drop("value"),
+    "validate_series": lambda s, d: _as_number(quality.validate_series(V.messy_series(s, d))),
+    "validate_catalog": lambda s, d: _as_number(quality.validate_catalog(V.messy_catalog(s, d))),
     # sources
     "parse_roundtrip": lambda s, d: series_csv.parse_series_lines(V.raw_lines(s, d)).select(STATION, DAY, "nivel_m", GASTO),
     "catalog_roundtrip": lambda s, d: catalog_csv.canonical_catalog(V.raw_catalog(s, d)),
     "series_urls": lambda s, d: V.catalog(s, d).select("clave", series_csv.series_url("hidrometricas", F.col("clave")).alias("url")),
     "region_sample": lambda s, d: catalog_csv.region_sample(V.catalog(s, d)),
     "catalog_keys": lambda s, d: catalog_csv.catalog_keys(V.catalog(s, d)),
-    "manifest": lambda s, d: inventory.manifest(inventory.bundle_files(inventory.list_files(s, d))).select("path", "sha256", "bytes"),
-    "manifest_summary": lambda s, d: inventory.manifest_summary(inventory.manifest(inventory.list_files(s, d))),
-    "storage_report": lambda s, d: inventory.storage_report(
-        inventory.list_files(s, d), F.regexp_extract("path", r"/([a-z]+)\.parquet$", 1), ("events", "orders", "lineitem")),
+    "manifest": lambda s, d: inventory.manifest(inventory.bundle_files(_files(s, d))).select(_nation().alias("nation"), "sha256", "bytes"),
+    "manifest_summary": lambda s, d: inventory.manifest_summary(inventory.manifest(_files(s, d))),
+    "storage_report": lambda s, d: inventory.storage_report(_files(s, d), _nation(), ("1", "2", "3"), cap_gb=1e-6),
+    "series_files": lambda s, d: _raw_series(s, d).select(STATION, DAY, "nivel_m", GASTO),
+    "catalog_file": lambda s, d: catalog_csv.read_catalog(s, _catalog_file(s, d)),
+    "station_set": lambda s, d: _station_set(s, d).select("clave", "nombre", "latitud", "cobertura"),
+    "mixed_dates": lambda s, d: V.dated_text(s, d).select("event_id", mixed_date(F.col("text")).alias("fecha")),
     # features
     "add_lags": lambda s, d: features.add_lags(_daily_full(s, d), "v", lags=(1, 3, 7)),
     "add_rolling": lambda s, d: features.add_rolling(_daily_full(s, d), "v"),
@@ -167,12 +218,13 @@ QUERIES = {
     "national_lag_corr": lambda s, d: report.national_lag_corr(V.climate(s, d), V.hydro(s, d)),
     "best_lag": lambda s, d: report.best_lag(report.national_lag_corr(V.climate(s, d), V.hydro(s, d))),
     "cross_source": lambda s, d: report.cross_source_agreement(V.hydro(s, d), V.source_b(s, d), GASTO, min_days=5),
+    "cross_source_default": lambda s, d: report.cross_source_agreement(V.hydro(s, d), V.source_b(s, d), GASTO),
     "common_stations": lambda s, d: report.common_stations(V.hydro(s, d), V.source_b(s, d)),
     "dataset_summary": lambda s, d: report.dataset_summary(V.hydro(s, d)),
     "located_stations": lambda s, d: report.located_stations(
         report.attach_catalog(V.hydro(s, d), V.catalog(s, d))).select(STATION, DAY, "latitud", "longitud"),
     "sub_basin_counts": lambda s, d: report.sub_basin_counts(V.polygons(s, d), "region_hidrologica"),
-    "report_metrics": lambda s, d: metrics_plan(V.hydro(s, d), V.climate(s, d), V.catalog(s, d), period=PERIOD)
+    "report_metrics": lambda s, d: metrics_plan(V.hydro(s, d), V.climate(s, d), V.catalog(s, d), period=PERIOD, basins=V.polygons(s, d))
     .select("section", "name", "key", F.col("value").try_cast("double").alias("number"),
             F.when(F.col("value").try_cast("double").isNull(), F.col("value")).alias("text")),
     # geometry
@@ -192,13 +244,14 @@ QUERIES = {
     # grids
     "raster_mosaic": lambda s, d: raster.mosaic(V.tiles(s, d)),
     "raster_clip": lambda s, d: raster.clip(V.pixels(s, d), (-100.3, 19.6, -99.6, 19.95), -100.5, 20.0, 0.03),
-    "raster_coarser": lambda s, d: raster.resample(V.pixels(s, d), 2.0, *_grid_size(s, d)),
-    "raster_finer": lambda s, d: raster.resample(V.pixels(s, d), 0.5, *_grid_size(s, d)),
+    "raster_coarser": lambda s, d: raster.resample(V.two_grids(s, d), 2.0),
+    "raster_finer": lambda s, d: raster.resample(V.two_grids(s, d), 0.5),
     "d8_pointer": lambda s, d: _pointer(s, d),
     "flow_accumulation": lambda s, d: raster.flow_accumulation(_pointer(s, d)),
     "extract_streams": lambda s, d: _streams(s, d),
     "snap_points": lambda s, d: raster.snap_points(V.outlets(s, d), _streams(s, d), 3.0),
     "watershed": lambda s, d: _watershed(s, d),
+    "watershed_clipped": lambda s, d: raster.watershed(_clipped_pointer(s, d), V.outlets(s, d).where("col < 20")),
     "basin_attributes": lambda s, d: raster.basin_attributes(
         _watershed(s, d).join(V.pixels(s, d), ["basin", "row", "col"]), 0.0009),
 }

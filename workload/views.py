@@ -1,6 +1,6 @@
 """The given tables seen as station series, catalogues, grids and polygons.
 
-Every view reads a whole table. Daily views aggregate on (station, day), so their
+Views read whole tables; the two networks are events of their own kinds. Daily views aggregate on (station, day), so their
 keys are unique and the operators' ``unique=True`` holds.
 """
 
@@ -100,6 +100,23 @@ def pixels(spark, sf_dir) -> DataFrame:
         (F.col("p_retailprice") + F.col("p_size") * 0.2).alias("z"))
 
 
+def two_grids(spark, sf_dir) -> DataFrame:
+    """The grid of parts, and one of another size from the suppliers."""
+    small = table(spark, sf_dir, "supplier").select(
+        F.lit("B").alias("basin"), F.expr("int(s_suppkey div 3)").alias("row"), F.expr("int(s_suppkey % 3)").alias("col"),
+        (F.col("s_suppkey") * 1.7 + F.col("s_nationkey")).alias("z"))
+    return pixels(spark, sf_dir).unionByName(small)
+
+
+def dated_text(spark, sf_dir) -> DataFrame:
+    """Days of events in the notations that files mix."""
+    ts, n = F.col("ts"), F.col("event_id") % 7
+    day_first = F.when(F.dayofmonth(ts) > 12, F.date_format(ts, "dd/MM/yyyy")).otherwise(F.date_format(ts, "M/d/yyyy"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(n == 0, F.date_format(ts, "yyyy/MM/dd")).when(n == 1, F.date_format(ts, "yyyyMMdd"))
+        .when(n == 2, day_first).when(n == 3, F.date_format(ts, "dd-MMM-yyyy")).when(n == 4, F.date_format(ts, "MMMM d, yyyy"))
+        .when(n == 5, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("sin fecha")).alias("text"))
+
+
 def tiles(spark, sf_dir) -> DataFrame:
     """Seven overlapping tiles; a tile has one value per pixel it covers."""
     return (table(spark, sf_dir, "lineitem")
