@@ -13,9 +13,12 @@ index, MAGIC. All numbers are little-endian.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +37,9 @@ GROUP_IDS = 1 << 19        # a group ends with the document that reaches this
 DICTIONARY = 1 << 16
 END_ID = 1
 _DENSE = 1 << 22
-_WORD_CACHE = 600_000
-_LETTERS = re.compile(rb"[A-Za-z]+|[^A-Za-z]+")
+_CACHE = 400_000
+# Letters, a contraction, a digit, or marks: where this family of tokenizers cuts lower-cased text.
+_PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
 
 
 # ---- tokens -----------------------------------------------------------------------------
@@ -47,77 +51,85 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _WordIds(dict):
-    """Ids (as bytes) of each word met, by the tokenizer; emptied when it gets large."""
+class _PieceIds(dict):
+    """Ids (as bytes) of each piece met, by the tokenizer; emptied when it gets large."""
 
-    def __init__(self, tokenizer, specials: list[bytes]):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.specials = tokenizer, specials
-        self.model, self.normal, self.letters = tokenizer.model, tokenizer.normalizer, _byte_letters()
+        self.tokenizer, self.model, self.normal, self.letters = tokenizer, tokenizer.model, tokenizer.normalizer, _byte_letters()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _WORD_CACHE:
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= _CACHE:
             self.clear()
-        parts = self.pieces(word)
-        ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else np.array(self.encode(word.decode(errors="replace")), np.uint32).tobytes()
-        self[word] = ids
-        return ids
-
-    def encode(self, word: str) -> list[int]:
-        """A word of letters is one piece, so the model takes it at once; others go through the whole tokenizer."""
-        plain = word if word.isascii() and word.islower() else self.normal.normalize_str(word)
+        # a run of letters goes to the model as it is, anything else through the whole tokenizer
+        ids = [t.id for t in self.model.tokenize(piece.decode())] if piece.isalpha() and piece.islower() else self.encode(piece.decode(errors="replace"))
+        value = self[piece] = array("I", ids).tobytes()
+        return value
+
+    def encode(self, piece: str) -> list[int]:
+        plain = self.normal.normalize_str(piece)
         if plain.isalpha():
-            return [t.id for t in self.model.tokenize(plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.letters))]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
 
-    def pieces(self, word: bytes) -> list[bytes]:
-        """Parts of a word that the tokenizer splits anyway: letters from what follows them."""
-        if b"'" in word or any(s in word for s in self.specials):
-            return [word]
-        if word.isascii():
-            return _LETTERS.findall(word)
-        core = word.rstrip(b".,;:!?")
-        return [core, word[len(core):]] if len(core) < len(word) and core.decode(errors="replace").isalpha() else [word]
+@functools.cache
+def _stays_letter(c: str) -> bool:
+    """ASCII, or a letter that is one still when composed and lower-cased (a dotted capital I is not)."""
+    return c < "\x80" or unicodedata.normalize("NFC", c).lower().isalpha()
 
 
-def token_ids(spark: SparkSession, text: str | Column, tokenizer: str, by_word: bool = False, end_id: int = END_ID) -> Column:
-    """Ids of a text and ``end_id``, as bytes of little-endian 32-bit integers.
+class Encoder:
+    """Texts to ids as bytes of little-endian 32-bit integers, ``end_id`` last.
 
-    ``tokenizer`` is the path of a tokenizers file on the driver; its content is sent once to
-    each executor. ``by_word`` encodes each distinct word of a worker once; it is right only for
-    byte-level tokenizers that drop white space, lower-case, and split letters from marks.
+    ``by_word`` encodes each distinct piece once. It is right only for byte-level tokenizers that
+    drop white space, lower-case, and split at the places of ``_PIECES``; texts with other
+    characters than ASCII and letters, or with a special token, are cut at white space only.
     """
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
-    sent = spark.sparkContext.broadcast(spec)
-    parsed = json.loads(spec)
-    specials = [t["content"].encode() for t in parsed["added_tokens"]]
-    tail = np.array([end_id], "<u4").tobytes()
-    name = f"word_ids_{uuid.uuid5(uuid.NAMESPACE_OID, spec).hex}"
 
-    @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
+    def __init__(self, spec: str, by_word: bool, end_id: int = END_ID):
         import tokenizers
 
+        self.specials = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
+        self.by_word, self.tail = by_word, np.array([end_id], "<u4").tobytes()
         # kept on the library's module, so that it lives as long as the worker and serves all its tasks
-        known = vars(tokenizers).get(name)
-        if known is None:
-            known = _WordIds(tokenizers.Tokenizer.from_str(sent.value), specials)
-            setattr(tokenizers, name, known)
-        if not by_word:
-            return pa.array([np.array(known.tokenizer.encode(t.as_py().decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes() + tail
-                             for t in texts], type=pa.binary())
-        out = []
-        for t in texts:
-            body = t.as_py()
-            # the tokenizer lower-cases, so fewer distinct words do; its special strings stay as they are
-            body = body if any(s in body for s in specials) else body.lower()
-            out.append(b"".join(map(known.__getitem__, body.split())) + tail)
-        return pa.array(out, type=pa.binary())
+        name = f"piece_ids_{uuid.uuid5(uuid.NAMESPACE_OID, spec).hex}"
+        self.known = vars(tokenizers).get(name)
+        if self.known is None:
+            self.known = _PieceIds(tokenizers.Tokenizer.from_str(spec))
+            setattr(tokenizers, name, self.known)
+
+    def __call__(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return np.array(self.known.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes() + self.tail
+        return b"".join(map(self.known.__getitem__, self.pieces(text))) + self.tail
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        if any(s in text for s in self.specials):
+            return text.split()
+        text = text.lower()   # A to Z only: the tokenizer does so too
+        if text.isascii() or all(map(_stays_letter, set(text.decode(errors="replace")))):
+            return _PIECES.findall(text)
+        return text.split()
+
+
+def token_ids(spark: SparkSession, text: str | Column, tokenizer: str, by_word: bool = False) -> Column:
+    """The same as a column. ``tokenizer`` is the path of a tokenizers file on the driver; its content is sent to the executors."""
+    sent = spark.sparkContext.broadcast(_spec(tokenizer))
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        encode = Encoder(sent.value, by_word)
+        return pa.array([encode(t.as_py()) for t in texts], type=pa.binary())
 
     return run(utf8(text))
 
 
+def _spec(tokenizer: str) -> str:
+    with open(tokenizer, encoding="utf-8") as f:
+        return f.read()
+
+
 # ---- groups of documents ----------------------------------------------------------------
 
 def pack_group(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -199,7 +211,8 @@ class _File(InputPartition):
 
 
 class TokenFiles(DataSource):
-    """Format ``simple8b``. Written rows are (doc_id, ids as bytes); read rows follow SCHEMA."""
+    """Format ``simple8b``. Written rows are (doc_id, ids as bytes), or (doc_id, text as bytes) with the
+    options ``tokenizer`` (path on the driver) and ``by_word``; read rows follow SCHEMA."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,14 +225,16 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"])
+        tokenizer = self.options.get("tokenizer")
+        return _Writer(self.options["path"], _spec(tokenizer) if tokenizer else None, self.options.get("by_word", "false").lower() == "true")
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spec: str | None, by_word: bool):
+        self.path, self.spec, self.by_word = path, spec, by_word
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        encode = Encoder(self.spec, self.by_word) if self.spec else bytes
         fs, folder = filesystem(self.path)
         fs.create_dir(folder, recursive=True)
         order = TaskContext.get().partitionId()
@@ -239,9 +254,9 @@ class _Writer(DataSourceArrowWriter):
                     doc_ids, ids, held = [], [], 0
 
             for batch in batches:
-                for doc_id, mine in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
+                for doc_id, mine in zip(batch.column("doc_id"), batch.column("text" if self.spec else "ids"), strict=True):
                     doc_ids.append(doc_id.as_py())
-                    ids.append(mine.as_py())
+                    ids.append(encode(mine.as_py()))
                     docs, total, held = docs + 1, total + len(ids[-1]) // 4, held + len(ids[-1]) // 4
                     if held >= GROUP_IDS:
                         flush()
@@ -312,8 +327,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, by_word: bool = Fal
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
     (rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-     .select("doc_id", token_ids(spark, "text", tokenizer, by_word).alias("ids"))
-     .write.format("simple8b").mode("append").save(path))
+     .select("doc_id", utf8("text").alias("text"))
+     .write.format("simple8b").option("tokenizer", tokenizer).option("by_word", by_word).mode("append").save(path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -114,18 +114,23 @@ def test_token_table(spark, by_word):
 
 
 @functools.cache
-def word_ids():
-    return token_files._WordIds(Tokenizer.from_file(TOKENIZER), [b"<|startoftext|>", b"<|endoftext|>"])
+def encoder():
+    return token_files.Encoder(token_files._spec(TOKENIZER), True)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aBzé’'.,-—!?1²٣ \n\t  \x1ćİßΣA<|>endoftx"), max_size=60))
 def test_words_encode_like_texts(text):
-    known = word_ids()
-    body = text.encode()
-    body = body if any(s in body for s in known.specials) else body.lower()
-    want = known.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(b"".join(map(known.__getitem__, body.split())), np.uint32).tolist() == want
+    want = encoder().known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder()(text.encode()), np.uint32).tolist() == [*want, 1]
+
+
+def test_ids_can_be_written_as_they_are(spark, tmp_path):
+    spark.dataSource.register(token_files.TokenFiles)
+    ids = frame(spark).select("doc_id", token_files.token_ids(spark, "text", TOKENIZER).alias("ids"))
+    ids.write.format("simple8b").mode("append").save(str(tmp_path))
+    got = token_files.read_tokens(spark, str(tmp_path)).select("doc_id", "n_tokens", F.crc32("ids"))
+    assert rows_of(got) == Counter(expected_tokens(CASES))
 
 
 def test_cut_token_file_is_found(spark, tmp_path):
