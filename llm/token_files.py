@@ -13,7 +13,6 @@ index, MAGIC. All numbers are little-endian.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -73,10 +72,12 @@ class _PieceIds(dict):
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
 
-@functools.cache
-def _stays_letter(c: str) -> bool:
-    """ASCII, or a letter that is one still when composed and lower-cased (a dotted capital I is not)."""
-    return c < "\x80" or unicodedata.normalize("NFC", c).lower().isalpha()
+class _StaysLetter(dict):
+    """By character: ASCII, or a letter that is one still when composed and lower-cased (a dotted capital I is not)."""
+
+    def __missing__(self, c: str) -> bool:
+        value = self[c] = c < "\x80" or unicodedata.normalize("NFC", c).lower().isalpha()
+        return value
 
 
 class Encoder:
@@ -91,6 +92,7 @@ class Encoder:
         import tokenizers
 
         self.specials = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
+        self.letter = _StaysLetter()
         self.by_word, self.tail = by_word, np.array([end_id], "<u4").tobytes()
         # kept on the library's module, so that it lives as long as the worker and serves all its tasks
         name = f"piece_ids_{uuid.uuid5(uuid.NAMESPACE_OID, spec).hex}"
@@ -108,7 +110,7 @@ class Encoder:
         if any(s in text for s in self.specials):
             return text.split()
         text = text.lower()   # A to Z only: the tokenizer does so too
-        if text.isascii() or all(map(_stays_letter, set(text.decode(errors="replace")))):
+        if text.isascii() or all(map(self.letter.__getitem__, set(text.decode(errors="replace")))):
             return _PIECES.findall(text)
         return text.split()
 
