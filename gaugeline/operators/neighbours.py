@@ -11,7 +11,8 @@ from ..functions.geo import haversine_km
 from ..session import BROADCAST_ROWS, cut_lineage
 
 _SPLIT = 2            # bits per axis and level: a cell has 16 children
-_LEVELS = 9           # finest cell: 0.0014 by 0.0007 degrees
+_LEVELS = 15          # finest cell: some centimetres
+_FIRST_LEVELS = 9     # 0.0014 by 0.0007 degrees; finer ones only where such a cell is still full
 _LEAF = 64            # stop refining once no cell holds more places
 _BOUNDED_LEVEL = 4    # level n has at most 16**n cells, so up to here the table is small
 _SLACK_KM = 1e-6
@@ -46,10 +47,10 @@ def _places(others: DataFrame, key: str, k: int) -> DataFrame:
             .withColumn("ix", _axis(F.col("v_lon"), 360.0)).withColumn("iy", _axis(F.col("v_lat"), 180.0)))
 
 
-def _cells(places: DataFrame) -> DataFrame:
+def _cells(places: DataFrame, first: int, last: int) -> DataFrame:
     """(level, cell, parent, n, radius): how many places, and how far from the centre they reach."""
     rows = []
-    for level in range(1, _LEVELS + 1):
+    for level in range(first, last + 1):
         lat, lon = _centre(_cell(level), level)
         rows.append(F.struct(F.lit(level).alias("level"), _cell(level).alias("cell"), _cell(level - 1).alias("parent"),
                              haversine_km(lat, lon, F.col("v_lat"), F.col("v_lon")).alias("d")))
@@ -70,11 +71,15 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
     # stations, such as a coverage of all series, from being run again.
     known = cut_lineage(_places(others, key, k))
     places = known.where(F.col("v_lat").isNotNull())
-    cells = cut_lineage(_cells(places))
+    cells = cut_lineage(_cells(places, 1, _FIRST_LEVELS))
     # One row per level: the largest cell of each level decides how deep to go.
     summary = cells.groupBy("level").agg(F.max("n").alias("largest"), F.sum("n").alias("n")).collect()
     largest = {r["level"]: r["largest"] for r in summary}
     placed = sum(r["n"] for r in summary if r["level"] == 1)
+    if largest.get(_FIRST_LEVELS, 0) > _LEAF:
+        finer = cut_lineage(_cells(places, _FIRST_LEVELS + 1, _LEVELS))
+        largest |= {r["level"]: r["largest"] for r in finer.groupBy("level").agg(F.max("n").alias("largest")).collect()}
+        cells = cells.unionByName(finer)
     depth = next((lv for lv in range(1, _LEVELS + 1) if largest.get(lv, 0) <= _LEAF), _LEVELS)
 
     mine = Window.partitionBy(key)

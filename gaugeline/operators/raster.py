@@ -1,8 +1,7 @@
 """Elevation grids as pixel tables (basin, row, col, z); NULL or absent means no data.
 
-Neighbourhood operators send each pixel's value to the pixels around it and
-aggregate by receiving pixel, so the shuffle key is the pixel and a basin with most
-of the pixels is spread like any other.
+Neighbourhood operators work tile by tile, each tile with a border one pixel wide, so
+a basin with most of the pixels is spread over its tiles.
 """
 
 from __future__ import annotations
@@ -80,19 +79,40 @@ def resample(pixels: DataFrame, scale: float, sizes: DataFrame | None = None) ->
             .agg((F.sum(w * F.col("z")) / F.sum(w)).alias("z")))
 
 
+TILE = 256
+
+
 def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STEPS) -> DataFrame:
-    """Adds columns n0.. with the value at each step; rows stay the pixels that exist.
+    """Adds columns n0.. with the value at each step; rows are the pixels that have a value.
 
-    Nine narrow rows per pixel enter a hash aggregate. Pixels stored near each other
-    meet in the same map task, which combines most of them before the shuffle.
+    A tile gets its own pixels and a border one pixel wide from the tiles around, under two
+    per cent more rows, so one exchange by tile is all; inside, neighbours are array shifts.
+    Of repeated pixels the greatest value counts. A group is one tile.
     """
-    targets = [F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(i).alias("i"))
-               for i, (dr, dc) in enumerate([(0, 0), *steps])]
-    sent = pixels.select(*keys, "basin", F.col(value).alias("v"), F.inline(F.array(*targets)))
-    cols = [F.max(F.when(F.col("i") == i, F.col("v"))).alias("v" if i == 0 else f"n{i - 1}")
-            for i in range(len(steps) + 1)]
-    return (sent.groupBy(*keys, *PIXEL).agg(*cols).where(F.col("v").isNotNull())
-            .withColumnRenamed("v", value))
+    r, c, size = F.col("row"), F.col("col"), TILE
+
+    def sides(at: Column) -> Column:
+        """Tiles along one axis that see the pixel: its own, and the next one where it lies on the edge."""
+        own, place = F.floor(at / size).cast("int"), F.pmod(at, F.lit(size))
+        return F.filter(F.array(own, F.when(place == 0, own - 1), F.when(place == size - 1, own + 1)), lambda t: t.isNotNull())
+
+    sent = (pixels.where(F.col(value).isNotNull()).select(*keys, *PIXEL, F.col(value).cast("double").alias(value), sides(r).alias("_tr"), sides(c).alias("_tc"))
+            .withColumn("_tr", F.explode("_tr")).withColumn("_tc", F.explode("_tc")))
+    schema = T.StructType([*sent.drop("_tr", "_tc").schema, *[T.StructField(f"n{i}", T.DoubleType()) for i in range(len(steps))]])
+
+    def shift(rows: pa.Table) -> pa.Table:
+        top, left = (rows[t][0].as_py() * size - 1 for t in ("_tr", "_tc"))
+        grid = np.full((size + 2, size + 2), np.nan)
+        at = (rows["row"].to_numpy() - top, rows["col"].to_numpy() - left)
+        np.fmax.at(grid, at, rows[value].to_numpy())
+        mine = np.argwhere(~np.isnan(grid[1:-1, 1:-1])) + 1
+        y, x = mine.T
+        around = [grid[y + dr, x + dc] for dr, dc in steps]
+        first = [pa.repeat(rows[k][0], len(y)) for k in (*keys, "basin")]
+        return pa.Table.from_arrays([*first, pa.array((y + top).astype(np.int32)), pa.array((x + left).astype(np.int32)), pa.array(grid[y, x]),
+                                     *[pa.array(v, mask=np.isnan(v)) for v in around]], names=[f.name for f in schema])
+
+    return sent.groupBy(*keys, "basin", "_tr", "_tc").applyInArrow(shift, schema)
 
 
 def d8_pointer(pixels: DataFrame) -> DataFrame:
@@ -142,8 +162,6 @@ def _links(pointer: DataFrame) -> DataFrame:
 
 # --- routes inside tiles ------------------------------------------------------------
 
-TILE = 256
-
 
 def _tile(pix: str, size: int) -> Column:
     """Tile of a packed pixel, packed the same way."""

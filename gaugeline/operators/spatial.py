@@ -106,23 +106,38 @@ def pour_points(stations: DataFrame, west: float, north: float, cell: float, key
         F.floor((F.col(lon) - west) / cell).cast("int").alias("col"))
 
 
-def tiles_for_boxes(tiles: DataFrame, boxes: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+def tiles_for_boxes(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
     """(tile, box) pairs that touch. Both tables have min_lon, min_lat, max_lon, max_lat.
 
-    Both sides are put on grid cells; a pair is kept in the one cell that holds the
-    lower left corner of its intersection, so nothing has to be made distinct.
+    Each side is put on cells of the size that suits it, at most 4 by 4, and on the coarser
+    ones that the other side uses. A pair meets at the coarser of its two levels, so many small tiles
+    and boxes in one place meet on small cells, and a large box has few cells. It is kept in
+    the one cell that holds the lower left corner of its intersection.
     """
-    def on_cells(df: DataFrame, prefix: str) -> DataFrame:
+    def sized(df: DataFrame, prefix: str) -> DataFrame:
         named = df.withColumnsRenamed({c: f"{prefix}{c}" for c in ("min_lon", "min_lat", "max_lon", "max_lat")})
+        extent = F.greatest(F.col(f"{prefix}max_lon") - F.col(f"{prefix}min_lon"), F.col(f"{prefix}max_lat") - F.col(f"{prefix}min_lat"), F.lit(1e-6))
+        return named.withColumn(f"{prefix}own", F.greatest(F.least(F.floor(F.log2(1080.0 / extent)), F.lit(_FINEST)), F.lit(0)).cast("int"))
+
+    def on_cells(df: DataFrame, prefix: str, other: Column) -> DataFrame:
+        own = F.col(f"{prefix}own")
+        # its own level, and the other side's levels above it
+        levels = F.array_union(F.array(own), F.filter("_used", lambda level: level < own))
+        leveled = df.withColumn("_used", other).withColumn("_level", F.explode(levels)).drop("_used")
 
         def span(axis: str) -> Column:
-            return F.sequence(F.floor(F.col(f"{prefix}min_{axis}") / cell_deg), F.floor(F.col(f"{prefix}max_{axis}") / cell_deg))
+            s = _cell_size(F.col("_level"))
+            return F.sequence(F.floor(F.col(f"{prefix}min_{axis}") / s), F.floor(F.col(f"{prefix}max_{axis}") / s))
 
-        return named.withColumn("_cx", F.explode(span("lon"))).withColumn("_cy", F.explode(span("lat")))
+        return leveled.withColumn("_cx", F.explode(span("lon"))).withColumn("_cy", F.explode(span("lat")))
 
-    pairs = on_cells(tiles, "_t_").join(on_cells(boxes, "_b_"), ["_cx", "_cy"])
+    t, b = sized(tiles, "_t_"), sized(boxes, "_b_")
+    used = {p: df.agg(F.collect_set(f"{p}own")).scalar() for p, df in (("_t_", t), ("_b_", b))}   # at most 21 numbers each
+    pairs = on_cells(t, "_t_", used["_b_"]).join(on_cells(b, "_b_", used["_t_"]), ["_level", "_cx", "_cy"])
     low_x = F.greatest("_t_min_lon", "_b_min_lon")
     low_y = F.greatest("_t_min_lat", "_b_min_lat")
     touching = (low_x <= F.least("_t_max_lon", "_b_max_lon")) & (low_y <= F.least("_t_max_lat", "_b_max_lat"))
-    here = (F.floor(low_x / cell_deg) == F.col("_cx")) & (F.floor(low_y / cell_deg) == F.col("_cy"))
-    return pairs.where(touching & here).select("tile", "cuenca")
+    size = _cell_size(F.col("_level"))
+    here = (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy"))
+    coarser = F.col("_level") == F.least("_t_own", "_b_own")
+    return pairs.where(coarser & touching & here).select("tile", "cuenca")

@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import STORAGE_CAP_GB
 
 ZONES = ("raw", "interim", "processed", "features")
+_BLOCK = 8 << 20
 VERSIONED = ("raw", "processed", "features")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content); unread columns cost no I/O.
+    """(path, modificationTime, length); no content is read.
 
-    Spark's listing leaves out names that begin with an underscore or a dot, and a
-    file's content must fit into one row, two gigabytes.
+    Spark's listing leaves out names that begin with an underscore or a dot.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
+
+
+@F.arrow_udf(T.StringType())
+def file_sha256(paths: pa.Array) -> pa.Array:
+    """Digest of each file, read in blocks where the task runs, so no file has to fit into a row."""
+    out = []
+    for path in paths.to_pylist():
+        uri = "file://" + path.removeprefix("file:") if path.startswith("file:") and not path.startswith("file://") else path
+        fs, name = pafs.FileSystem.from_uri(uri)
+        digest = hashlib.sha256()
+        with fs.open_input_file(name) as f:
+            while block := f.read(_BLOCK):
+                digest.update(block)
+        out.append(digest.hexdigest())
+    return pa.array(out, pa.string())
 
 
 def bundle_files(files: DataFrame) -> DataFrame:
@@ -33,7 +53,7 @@ def manifest(files: DataFrame, root: str = "", url_base: str | None = None) -> D
         relative = F.regexp_replace(relative, F.lit("^.*?" + root.strip("/") + "/"), F.lit(""))
     out = files.select(
         relative.alias("path"),
-        F.sha2("content", 256).alias("sha256"),
+        file_sha256("path").alias("sha256"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("recorded_at"))
     return out if url_base is None else out.withColumn("url", F.concat(F.lit(url_base), "path"))
