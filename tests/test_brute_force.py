@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.functions.dates import mixed_date
 from gaugeline.functions.gamma import gamma_cdf, normal_quantile
 from gaugeline.functions.geo import lcc_xy, ring_area, within_ring
 from gaugeline.functions.spline import cubic_at
@@ -118,6 +119,16 @@ def test_gamma_and_normal():
     assert np.allclose(cdf, p, rtol=1e-10)
 
 
+def test_gamma_of_large_shapes():
+    """P(a, a) = 1/2 + 1/(3 sqrt(2 pi a)) up to a term that falls with a^(3/2)."""
+    a = np.array([5e4, 1e5, 3e5, 1e6])
+    want = 0.5 + 1 / (3 * np.sqrt(2 * np.pi * a))
+    assert np.allclose(gamma_cdf(a, a), want, rtol=0, atol=1e-9)
+    x = np.array([1e6 - 3000, 1e6 - 1000, 1e6 + 1000, 1e6 + 3000])   # both branches, beside the normal limit
+    z = 3 * math.sqrt(1e6) * ((x / 1e6) ** (1 / 3) - 1 + 1 / 9e6)     # Wilson and Hilferty
+    assert np.allclose(gamma_cdf(np.full(4, 1e6), x), [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], atol=1e-6)
+
+
 def test_spi_gamma(spark):
     rng = np.random.default_rng(3)
     months = pd.date_range("1990-01-01", periods=240, freq="MS")
@@ -280,6 +291,49 @@ def pixel_table(spark, z, basin="A"):
     return spark.createDataFrame(rows, "basin string, row int, col int, z double")
 
 
+def test_sizes_are_the_basins_own(spark):
+    rows = [(b, r, c, float(r * n + c)) for b, n in (("small", 4), ("large", 8)) for r in range(n) for c in range(n)]
+    px = spark.createDataFrame(rows, "basin string, row int, col int, z double")
+    got = {(r.basin, r.n) for r in raster.resample(px, 2.0).groupBy("basin").agg(F.count("*").alias("n")).collect()}
+    assert got == {("small", 4), ("large", 16)}
+    finer = {(r.basin, r.n) for r in raster.resample(px, 0.5).groupBy("basin").agg(F.count("*").alias("n")).collect()}
+    assert finer == {("small", 64), ("large", 256)}
+
+
+@pytest.mark.parametrize("tile", [2, 256])
+def test_clipped_watershed_keeps_all_pixels(spark, tile):
+    """Paths that leave the table have no outlet, in the tile they leave from and in the tiles above."""
+    rows = [("A", 0, c, 0, c + 1) for c in range(5)]   # the last one points out of the table
+    pointer = spark.createDataFrame(rows, "basin string, row int, col int, to_row int, to_col int")
+    outlets = spark.createDataFrame([("g", "A", 0, 1)], "clave string, basin string, row int, col int")
+    got = {(r.row, r.col): r.clave for r in raster.watershed(pointer, outlets, tile=tile).collect()}
+    assert got == {(0, 0): "g", (0, 1): "g", (0, 2): None, (0, 3): None, (0, 4): None}
+    assert raster.flow_accumulation(pointer, tile).count() == 5
+
+
+@pytest.mark.parametrize("tile", [2, 256])
+def test_cycles_raise(spark, tile):
+    ring = [("A", 0, 1, 1, 2), ("A", 1, 2, 2, 1), ("A", 2, 1, 0, 1), ("A", 3, 3, 0, 1)]
+    pointer = spark.createDataFrame(ring, "basin string, row int, col int, to_row int, to_col int")
+    outlets = spark.createDataFrame([("g", "A", 3, 3)], "clave string, basin string, row int, col int")
+    for run in (lambda: raster.flow_accumulation(pointer, tile).collect(), lambda: raster.watershed(pointer, outlets, tile=tile).collect()):
+        with pytest.raises(Exception, match="cycle"):
+            run()
+
+
+def test_mixed_dates(spark):
+    cases = {"15/03/2010": "2010-03-15", "03/15/2010": "2010-03-15", "01-Jan-2010": "2010-01-01", "2010/1/5": "2010-01-05", "March 7, 2011": "2011-03-07",
+             "7 sept 2011": "2011-09-07", "20110907": "2011-09-07", "2011-09-07 10:00": "2011-09-07", "1 xyz 2010": None, "31/02/2010": None, "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", mixed_date(F.col("t")).cast("string").alias("d"))
+    assert {r.t: r.d for r in df.collect()} == cases
+
+
+def test_rows_before_the_first_value_stay(spark):
+    rows = [("A", i, None if i < 5 else float(i % 4)) for i in range(40)]
+    out = climate.stl_components(spark.createDataFrame(rows, "clave_estacion string, fecha int, v double"), "v", 4).orderBy("fecha").collect()
+    assert len(out) == 40 and all(r.trend is None for r in out[:5]) and all(r.trend is not None for r in out[5:])
+
+
 def downstream(z):
     steps = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
     out = {}

@@ -7,9 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.operators import calendar, features, gaps, quality
+from gaugeline.operators import calendar, features, gaps, neighbours, quality, raster
 from gaugeline.plans import canonical, feature_table, report_metrics, selection
-from gaugeline.sources import catalog_csv, tables
+from gaugeline.sources import catalog_csv, series_csv, tables
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +108,52 @@ def test_one_exchange_serves_all_station_windows(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "InPandas" not in plan
 
 
+def _exchanges(df):
+    return _final_plan(df).count("Exchange hashpartitioning")
+
+
+def test_lines_are_not_shuffled_for_their_header(spark, archive):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as for tables beyond the static limit
+    try:
+        assert _exchanges(series_csv.read_series_csv(spark, str(archive / "flow"))) == 0
+        pairs = spark.createDataFrame([("H1", "C1", 3.0), ("H1", "C2", 5.0)], "clave_estacion string, vecino string, dist_km double")
+        rain = series_csv.read_series_csv(spark, str(archive / "rain"))
+        assert _exchanges(neighbours.idw_to_station(pairs, rain)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_cubic_gaps_need_one_exchange_and_five_windows(spark):
+    df = spark.range(4000).select((F.col("id") % 20).cast("string").alias("clave_estacion"),
+                                  F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 20).cast("int")).alias("fecha"),
+                                  F.when(F.col("id") % 7 > 0, (F.col("id") % 37).cast("double")).alias("v"))
+    plan = _final_plan(gaps.impute_short_gaps(df, "v"))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window") - plan.count("WindowGroupLimit") <= 5 and "Union" not in plan
+
+
+def test_pointer_has_one_exchange(spark):
+    px = spark.range(3000).select(F.lit("A").alias("basin"), (F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"),
+                                  (F.col("id") * 7919 % 1009).cast("double").alias("z"))
+    assert _exchanges(raster.d8_pointer(px)) == 1
+
+
+def test_stages_from_paths(spark, archive, tmp_path):
+    """Raw files to metrics, each stage from the paths that the one before wrote."""
+    with pytest.warns(UserWarning, match="violations"):
+        flow = canonical.run(spark, str(archive / "flow"), str(tmp_path / "flow"), ["nivel_m", "gasto_medio_m3s"])
+    rain = canonical.run(spark, str(archive / "rain"), str(tmp_path / "rain"), ["precip_mm"])
+    h, c = str(archive / "h.csv"), str(archive / "c.csv")
+    period = ("2020-01-01", "2021-12-31")
+    chosen = selection.run(spark, h, c, flow, rain, str(tmp_path / "sel"), period=period, hydro_min=0.9, climate_min=0.5, extended_min=0.3, k=2)
+    out = feature_table.run(spark, flow, rain, chosen, str(tmp_path / "out"), t_in=30, horizon=7)
+    assert {r.clave_estacion for r in spark.read.parquet(f"{out}/features").select("clave_estacion").distinct().collect()} == {"H1", "H2"}
+    assert spark.read.parquet(f"{out}/windows").count() > 1000
+    report_metrics.run(spark, flow, rain, h, str(tmp_path / "metrics"), period=period)
+    written = [json.loads(x) for f in glob.glob(str(tmp_path / "metrics" / "*.json")) for x in open(f, encoding="utf-8")]
+    assert any(m["section"] == "cobertura" for m in written)
+
+
 @pytest.mark.parametrize("name", ["knn_stations", "assign_basin", "tiles_for_boxes", "describe", "exact_quantiles", "idw", "lagged_corr"])
 def test_no_cross_joins(spark, name):
     import __spark_entry__ as entry

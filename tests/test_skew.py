@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline import session
-from gaugeline.operators import calendar, neighbours, quantiles, report
+from gaugeline.operators import calendar, neighbours, quantiles, report, spatial
 from test_brute_force import check_nearest
 
 
@@ -35,6 +35,42 @@ def test_quantiles_with_and_without_broadcast(spark, monkeypatch, limit):
         assert r.quantile == pytest.approx(np.quantile(groups[r.g], r.prob), rel=1e-12)
 
 
+@pytest.mark.parametrize("small", [20, 100_000])
+def test_quantiles_of_data_far_from_zero(spark, monkeypatch, small):
+    """All values share two buckets; they are cut again until no task orders more than a few."""
+    monkeypatch.setattr(quantiles, "_SMALL", small)
+    df = spark.range(0, 50_000, numPartitions=4).select(
+        (F.col("id") % 2).alias("g"), (1900.0 + F.when(F.col("id") % 10 == 0, 0.25).otherwise((F.col("id") * 7919 % 50_000) / 100_000)).alias("v"))
+    values = {g: np.array([r.v for r in df.where(F.col("g") == g).collect()]) for g in (0, 1)}
+    for r in quantiles.exact_quantiles(df, "v", [0.0, 0.01, 0.5, 0.999, 1.0], ("g",)).collect():
+        assert r.quantile == pytest.approx(np.quantile(values[r.g], r.prob), rel=1e-13)
+
+
+def test_dense_town_beyond_the_first_levels(spark):
+    """Thousands of places within some metres: the hierarchy goes on until its cells are small."""
+    rng = random.Random(4)
+    others = [(f"t{i:05d}", 19.5 + rng.random() * 2e-5, -99.5 + rng.random() * 2e-5) for i in range(3000)]
+    stations = [(f"q{i}", 19.5 + rng.random() * 2e-5, -99.5 + rng.random() * 2e-5) for i in range(20)] + [("far", 25.0, -100.0)]
+    check_nearest(spark, stations, others, 3)
+
+
+def test_small_tiles_and_boxes_in_one_place(spark):
+    rng = random.Random(5)
+
+    def box(size):
+        x, y = -99.5 + rng.random() * 0.5, 19.5 + rng.random() * 0.5
+        return x, y, x + size * rng.random(), y + size * rng.random()
+
+    tiles = [(f"t{i}", *box(0.004)) for i in range(1500)] + [("w", -180.0, -90.0, 180.0, 90.0), ("m", *box(3.0))]
+    boxes = [(f"b{i}", *box(0.004)) for i in range(1500)] + [("W", -180.0, -90.0, 180.0, 90.0), ("M", *box(2.0)), ("p", -99.2, 19.7, -99.2, 19.7)]
+    names = "string, min_lon double, min_lat double, max_lon double, max_lat double"
+    got = spatial.tiles_for_boxes(spark.createDataFrame(tiles, f"tile {names}"), spark.createDataFrame(boxes, f"cuenca {names}")).collect()
+    t, b = (np.array([x[1:] for x in rows]) for rows in (tiles, boxes))
+    touch = ~((t[:, None, 2] < b[None, :, 0]) | (t[:, None, 0] > b[None, :, 2]) | (t[:, None, 3] < b[None, :, 1]) | (t[:, None, 1] > b[None, :, 3]))
+    want = {(tiles[i][0], boxes[j][0]) for i, j in np.argwhere(touch)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_join_beyond_the_broadcast_limit(spark):
     left = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     side = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
@@ -49,11 +85,13 @@ def test_shared_rain_station_is_copied(spark, monkeypatch):
     rain = spark.createDataFrame([(v, d, None if rng.random() < 0.2 else rng.uniform(0, 9)) for v in ["hot", *[f"c{j}" for j in range(5)]] for d in range(20)],
                                  "clave_estacion string, fecha int, precip_mm double")
     results = []
-    for n in (1000, 7):
+    for n, limit in ((1000, 200_000), (1000, 0), (7, 0)):   # broadcast pairs, then copies of the hot station
         monkeypatch.setattr(neighbours, "_TARGETS_PER_COPY", n)
+        monkeypatch.setattr(neighbours, "BROADCAST_ROWS", limit)
         results.append({(r.clave_estacion, r.fecha): r.idw for r in neighbours.idw_to_station(pairs, rain).collect()})
     assert results[0].keys() == results[1].keys() and len(results[0]) == 60 * 20
-    assert all(v == pytest.approx(results[1][k]) if v is not None else results[1][k] is None for k, v in results[0].items())
+    for other in results[1:]:
+        assert all(v == pytest.approx(other[k]) if v is not None else other[k] is None for k, v in results[0].items())
 
 
 def test_nearest_down_to_the_finest_cells(spark, monkeypatch):
