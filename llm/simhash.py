@@ -153,19 +153,20 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
 
     Texts are alike if the 256-bit SimHash of their sets of five-word shingles puts their
     Jaccard similarity at ``similarity`` or more. Candidates come from anchors over three
-    further fingerprints of their distinct words. Per anchor every member is compared with
-    the anchor's least id only, so a group of copies gives as many pairs as members; the
-    rest follows from components. Texts with equal signatures are one point from the start.
+    further fingerprints of their distinct words. Per anchor every text replicated there is
+    compared with the least id at home there only, so a group of copies gives as many pairs
+    as members; the rest follows from components. Texts with equal signatures are one point from the start.
     Rows without an id are never reported.
     """
     run = per_text(signature, ", ".join(f"{c} long" for c in SIGNATURE + CANDIDATE))
     prints = stored(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), run(utf8(text_col)).alias("r"))
                     .select("id", "r.*"), "signatures")
     points = stored(prints.groupBy(*SIGNATURE, *CANDIDATE).agg(F.min("id").alias("point")), "points")
-    spots = replicated(points.select("point", *CANDIDATE), list(CANDIDATE)).select("half", "anchor", "point")
-    shared = stored(spots.groupBy("half", "anchor").agg(F.min("point").alias("low"), F.max("point").alias("high"))
-                    .where("low < high").drop("high"), "anchors")
-    pairs = stored(spots.join(shared, ["half", "anchor"]).where("low < point").select("point", "low").distinct(), "pairs")
+    slim = points.select("point", *CANDIDATE)
+    lowest = stored(at_home(slim, list(CANDIDATE)).groupBy("half", "anchor").agg(F.min("point").alias("low")), "anchors")
+    spots = replicated(slim, list(CANDIDATE)).select("half", "anchor", "point")
+    met = (spots.half == lowest.half) & (spots.anchor == lowest.anchor) & (F.col("low") < F.col("point"))
+    pairs = stored(spots.join(lowest, met).select("point", "low").distinct(), "pairs")
     signed_points = points.select("point", *SIGNATURE)
     low = signed_points.select(F.col("point").alias("low"), *[F.col(s).alias(f"low_{s}") for s in SIGNATURE])
     distance = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"low_{s}"))) for s in SIGNATURE), F.lit(0))

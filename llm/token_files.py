@@ -1,9 +1,9 @@
-"""Token ids of documents in binary files, as a Spark data source.
+"""Token ids of documents in binary files.
 
 A file is a sequence of groups. A group holds whole documents: their ids and lengths, the
 distinct token ids from the most to the least frequent, and for each token its place in
 that list, packed by Simple-8b. Ids beyond the first ``DICTIONARY`` of a group are escapes.
-Each task writes one file; the manifest, written at commit, names the files in order with
+Each task writes one file; the manifest, written when all have ended, names the files in order with
 their numbers of documents and ids, so a reader knows the global place of each file's first
 id. Files of failed or repeated attempts are in no manifest.
 
@@ -19,14 +19,12 @@ import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import filesystem, utf8
 from .simple8b import Packed, pack, unpack
@@ -193,150 +191,122 @@ def _escaped(n: int, words: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return unpack(Packed(n, marks, blocks, np.ones(1, np.uint64))) == 1
 
 
-# ---- the data source ----------------------------------------------------------------------
+# ---- files ------------------------------------------------------------------------------------
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    order: int
-    name: str
-    docs: int
-    ids: int
-
-
-@dataclass
-class _File(InputPartition):
-    path: str
-    start: int
-
-
-class TokenFiles(DataSource):
-    """Format ``simple8b``. Written rows are (doc_id, ids as bytes), or (doc_id, text as bytes) with the
-    options ``tokenizer`` (path on the driver) and ``by_word``; read rows follow SCHEMA."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "simple8b"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
-
-    def writer(self, schema, overwrite: bool) -> _Writer:
-        tokenizer = self.options.get("tokenizer")
-        return _Writer(self.options["path"], _spec(tokenizer) if tokenizer else None, self.options.get("by_word", "false").lower() == "true")
-
-
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, spec: str | None, by_word: bool):
-        self.path, self.spec, self.by_word = path, spec, by_word
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        encode = Encoder(self.spec, self.by_word) if self.spec else bytes
-        fs, folder = filesystem(self.path)
-        fs.create_dir(folder, recursive=True)
-        order = TaskContext.get().partitionId()
-        name = f"tokens-{order:06d}-{uuid.uuid4().hex}.s8b"
-        index, docs, total, doc_ids, ids, held = [], 0, 0, [], [], 0
-        with fs.open_output_stream(f"{folder}/{name}") as out:
-            out.write(MAGIC)
-            at = len(MAGIC)
-
-            def flush():
-                nonlocal at, doc_ids, ids, held
-                if ids:
-                    data = pack_group(doc_ids, ids)
-                    out.write(data)
-                    index.append((at, len(data)))
-                    at += len(data)
-                    doc_ids, ids, held = [], [], 0
-
-            for batch in batches:
-                for doc_id, mine in zip(batch.column("doc_id"), batch.column("text" if self.spec else "ids"), strict=True):
-                    doc_ids.append(doc_id.as_py())
-                    ids.append(encode(mine.as_py()))
-                    docs, total, held = docs + 1, total + len(ids[-1]) // 4, held + len(ids[-1]) // 4
-                    if held >= GROUP_IDS:
-                        flush()
-            flush()
-            footer = np.array(index, "<i8").tobytes()
-            out.write(footer + np.array([len(footer)], "<i8").tobytes() + MAGIC)
-        return _Written(order, name, docs, total)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        files = [{"name": m.name, "docs": m.docs, "ids": m.ids} for m in sorted((m for m in messages if m), key=lambda m: m.order) if m.docs]
-        fs, folder = filesystem(self.path)
-        fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/manifest.json") as out:
-            out.write(json.dumps({"files": files}).encode())
-
-    def abort(self, messages: list[_Written | None]) -> None:
-        fs, folder = filesystem(self.path)
-        for m in messages:
-            if m:
-                fs.delete_file(f"{folder}/{m.name}")
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_File]:
-        """One per file, with the number of ids before it; reads the manifest only."""
-        fs, folder = filesystem(self.path)
-        with fs.open_input_stream(f"{folder}/manifest.json") as f:
-            files = json.loads(f.read())["files"]
-        start, out = 0, []
-        for f in files:
-            out.append(_File(f"{self.path}/{f['name']}", start))
-            start += f["ids"]
-        return out
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if partition is None:   # no file: an empty table
-            return
-        fs, path = filesystem(partition.path)
-        start = partition.start
-        with fs.open_input_file(path) as f:
-            end = f.size() - len(MAGIC)
-            f.seek(end - 8)
-            size = int(np.frombuffer(f.read(8), "<i8")[0])
-            if f.read(len(MAGIC)) != MAGIC:
-                raise ValueError(f"{path} is no token file, or was cut off")
-            f.seek(end - 8 - size)
-            for at, length in np.frombuffer(f.read(size), "<i8").reshape(-1, 2).tolist():
-                f.seek(at)
-                doc_ids, lengths, ids = unpack_group(f.read(length))
-                stop = np.cumsum(lengths)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(doc_ids, pa.int64()), pa.array(start + stop - lengths, pa.int64()), pa.array(lengths, pa.int64()),
-                    pa.array([ids[b - n:b].tobytes() for b, n in zip(stop.tolist(), lengths.tolist(), strict=True)], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"])
-                start += int(stop[-1])
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write them in ascending order of the id (nulls first, equal ids by text).
 
-    Ranges go over (id, text hash), so that even one id with very many rows is spread.
+    Ranges go over (id, text hash), so that even one id with very many rows is spread. Each
+    task writes one file; the manifest is written when all have ended.
     """
     spark = docs.sparkSession
-    spark.dataSource.register(TokenFiles)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
-    (rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-     .select("doc_id", utf8("text").alias("text"))
-     .write.format("simple8b").option("tokenizer", tokenizer).option("by_word", by_word).mode("append").save(path))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    sent = spark.sparkContext.broadcast(_spec(tokenizer))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(sent.value, by_word)
+        pairs = ((i.as_py(), encode(t.as_py())) for batch in batches for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
+        done = _write_file(path, TaskContext.get().partitionId(), pairs)
+        if done["docs"]:
+            yield pa.RecordBatch.from_pylist([done])
+
+    _commit(path, ordered.select("doc_id", utf8("text").alias("text")).mapInArrow(write, "order long, name string, docs long, ids long"))
+
+
+def write_ids(rows: DataFrame, path: str) -> None:
+    """The same for rows (doc_id, ids as bytes) that are in order already, partition by partition."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((i.as_py(), t.as_py()) for batch in batches for i, t in zip(batch.column("doc_id"), batch.column("ids"), strict=True))
+        done = _write_file(path, TaskContext.get().partitionId(), pairs)
+        if done["docs"]:
+            yield pa.RecordBatch.from_pylist([done])
+
+    _commit(path, rows.select("doc_id", "ids").mapInArrow(write, "order long, name string, docs long, ids long"))
+
+
+def _write_file(path: str, order: int, pairs: Iterator[tuple[int | None, bytes]]) -> dict:
+    """One file under a name of its own; its place in the order, name, documents and ids."""
+    fs, folder = filesystem(path)
+    fs.create_dir(folder, recursive=True)
+    name = f"tokens-{order:06d}-{uuid.uuid4().hex}.s8b"
+    index, docs, total, doc_ids, ids, held = [], 0, 0, [], [], 0
+    with fs.open_output_stream(f"{folder}/{name}") as out:
+        out.write(MAGIC)
+        at = len(MAGIC)
+
+        def flush():
+            nonlocal at, doc_ids, ids, held
+            if ids:
+                data = pack_group(doc_ids, ids)
+                out.write(data)
+                index.append((at, len(data)))
+                at += len(data)
+                doc_ids, ids, held = [], [], 0
+
+        for doc_id, mine in pairs:
+            doc_ids.append(doc_id)
+            ids.append(mine)
+            docs, total, held = docs + 1, total + len(mine) // 4, held + len(mine) // 4
+            if held >= GROUP_IDS:
+                flush()
+        flush()
+        footer = np.array(index, "<i8").tobytes()
+        out.write(footer + np.array([len(footer)], "<i8").tobytes() + MAGIC)
+    return {"order": order, "name": name, "docs": docs, "ids": total}
+
+
+def _commit(path: str, written: DataFrame) -> None:
+    """Run the writers and list what the attempts that succeeded have written: one row per file."""
+    files = [{"name": r.name, "docs": r.docs, "ids": r.ids} for r in sorted(written.collect(), key=lambda r: r.order)]
+    fs, folder = filesystem(path)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/manifest.json") as out:
+        out.write(json.dumps({"files": files}).encode())
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids as bytes."""
-    spark.dataSource.register(TokenFiles)
-    return spark.read.format("simple8b").load(path)
+    """doc_id, start (ids of all documents before it), n_tokens, ids as bytes; a task per file."""
+    fs, folder = filesystem(path)
+    with fs.open_input_stream(f"{folder}/manifest.json") as f:
+        files = json.loads(f.read())["files"]
+    start, parts = 0, []
+    for f in files:
+        parts.append((f"{path}/{f['name']}", start))
+        start += f["ids"]
+    table = spark.createDataFrame(parts, "path string, start long").repartition(max(1, len(parts)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _read_file(row["path"], row["start"])
+
+    return table.mapInArrow(read, SCHEMA)
+
+
+def _read_file(file: str, start: int) -> Iterator[pa.RecordBatch]:
+    """A batch for each group, found by the index at the end of the file."""
+    fs, path = filesystem(file)
+    with fs.open_input_file(path) as f:
+        end = f.size() - len(MAGIC)
+        f.seek(end - 8)
+        size = int(np.frombuffer(f.read(8), "<i8")[0])
+        if f.read(len(MAGIC)) != MAGIC:
+            raise ValueError(f"{path} is no token file, or was cut off")
+        f.seek(end - 8 - size)
+        for at, length in np.frombuffer(f.read(size), "<i8").reshape(-1, 2).tolist():
+            f.seek(at)
+            doc_ids, lengths, ids = unpack_group(f.read(length))
+            stop = np.cumsum(lengths)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc_ids, pa.int64()), pa.array(start + stop - lengths, pa.int64()), pa.array(lengths, pa.int64()),
+                pa.array([ids[b - n:b].tobytes() for b, n in zip(stop.tolist(), lengths.tolist(), strict=True)], pa.binary())],
+                ["doc_id", "start", "n_tokens", "ids"])
+            start += int(stop[-1])
 
 
 def token_table(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False) -> DataFrame:

@@ -126,9 +126,8 @@ def test_words_encode_like_texts(text):
 
 
 def test_ids_can_be_written_as_they_are(spark, tmp_path):
-    spark.dataSource.register(token_files.TokenFiles)
     ids = frame(spark).select("doc_id", token_files.token_ids(spark, "text", TOKENIZER).alias("ids"))
-    ids.write.format("simple8b").mode("append").save(str(tmp_path))
+    token_files.write_ids(ids, str(tmp_path))
     got = token_files.read_tokens(spark, str(tmp_path)).select("doc_id", "n_tokens", F.crc32("ids"))
     assert rows_of(got) == Counter(expected_tokens(CASES))
 
