@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import scratch_table
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MASK64 = (1 << 64) - 1
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

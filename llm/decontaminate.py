@@ -13,12 +13,13 @@ passage that a third of the documents share costs no more than any other.
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,12 +165,15 @@ _MATCHES = pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("
 
 
 def _matches(docs: DataFrame, index: Items, text: Column) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))   # by value: workers need no copy of this package
+    held: list[Items] = []
 
     @F.arrow_udf("array<struct<item: int, score: double, first_word: long, n_words: long>>")
     def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(pickle.loads(sent.value))
         known, memo = _WordHash(), {}
-        return pa.array([sent.value.matches(hashed_words(t.as_py(), known), memo) for t in texts], type=_MATCHES)
+        return pa.array([held[0].matches(hashed_words(t.as_py(), known), memo) for t in texts], type=_MATCHES)
 
     return run(text)
 
@@ -192,8 +196,9 @@ def contamination(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_
                  .join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.round("score", 6).alias("score"),
                                                            "first_word", "n_words"))
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}, score double, first_word long, n_words long")
+    if out is None:   # no item has a word
+        kinds = (f"`{n}` {t.schema[n].dataType.simpleString()}" for n, t in ((id_col, docs), (item_col, items)))
+        return docs.sparkSession.createDataFrame([], f"{', '.join(kinds)}, score double, first_word long, n_words long")
     return out
 
 
