@@ -34,7 +34,7 @@ GROUP_IDS = 1 << 19        # a group ends with the document that reaches this
 DICTIONARY = 1 << 16
 END_ID = 1
 _DENSE = 1 << 22
-_CACHE = 400_000
+_CACHE = 1_000_000
 # Letters, a contraction, a digit, or marks: where this family of tokenizers cuts lower-cased text.
 _PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
 
