@@ -269,6 +269,24 @@ def test_keep_one(spark):
     assert sorted(r.doc_id or -1 for r in got.collect()) == [-1, 10, 30, 31, 32]   # 33 repeats the empty text of 32
 
 
+def spread(words, step, mark):
+    """Every ``step``-th word replaced: edits lie evenly over the text."""
+    return [f"{mark}{k}" if k % step == step // 2 else w for k, w in enumerate(words)]
+
+
+def test_evenly_edited_texts_meet():
+    met = 0
+    for k in range(300):
+        base = prose(2000 + k, 460).split()
+        other = spread(base, 46, "new")
+        assert 0.8 <= jaccard(" ".join(base), " ".join(other)) < 0.85
+        a, b = (set(simhash.band_keys(simhash.shingle_hashes(" ".join(t).encode()))) for t in (base, other))
+        met += bool(a & b)
+    assert met == 300
+    apart = [set(simhash.band_keys(simhash.shingle_hashes(prose(3000 + k, 300).encode()))) for k in range(50)]
+    assert len(set.union(*apart)) == 50 * simhash.BANDS
+
+
 # ---- 4 ------------------------------------------------------------------------------------
 
 def test_mixing_meets_targets(spark):
