@@ -13,11 +13,12 @@ the distance, so only true links leave it; Spark splits a hot anchor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import acos, pi
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.session import join_small
@@ -175,14 +176,58 @@ def most_bits(similarity: float, bits: int = 256) -> int:
     return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
+def _distance(a: str, b: str) -> Column:
+    """Differing signature bits of columns ``a`` and ``b``, each a prefix of the signature's names."""
+    return sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SIGNATURE), F.lit(0))
+
+
+def _named(spots: DataFrame, prefix: str) -> DataFrame:
+    """The spots with all columns but ``key`` prefixed."""
+    return spots.select("key", *[F.col(c).alias(prefix + c) for c in spots.columns if c != "key"])
+
+
+def _split(spots: DataFrame, found: DataFrame) -> DataFrame:
+    """The spots with their points' ``component``, where a key has more than one."""
+    now = spots.drop("component").join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+    now = stored(now, "spots")
+    keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    return stored(join_small(now, keys, "key"), "split-spots")
+
+
+def linked(points: DataFrame, limit: int, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the graph of all ``points`` that share a band and are ``alike``.
+
+    Two rounds compare every text with one text per key, the first and one by a hash, so a group
+    of copies becomes one component with as many pairs as members. Then all texts of
+    a key are compared that are not in one component yet: a pair left out is connected already.
+    """
+    spots = points.select(F.explode("bands").alias("key"), "point", *SIGNATURE)
+    keys = spots.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low != high").select("key")
+    live = stored(join_small(spots, keys, "key").withColumn("component", F.col("point")), "spots")
+    links = found = None
+    for rank in (F.col("point"), F.xxhash64("point"), None):
+        if live.isEmpty():
+            break
+        hubs = live if rank is None else live.join(live.groupBy("key").agg(F.min_by("point", rank).alias("hub")), "key").where("point = hub").drop("hub")
+        left, right = _named(live, "a_"), _named(hubs, "b_").withColumnRenamed("key", "b_key")
+        once = F.col("a_point") < F.col("b_point") if rank is None else F.lit(True)
+        near = (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & once & (_distance("a_", "b_") <= limit)
+        pairs = left.join(right, near).select(F.greatest("a_point", "b_point").alias("a"), F.least("a_point", "b_point").alias("b")).distinct()
+        new = alike(stored(pairs, "pairs"))
+        links = stored(new if links is None else links.unionByName(new), "links")
+        found = stored(components(links), "components")
+        if rank is not None:
+            live = _split(live, found)
+    return found
+
+
 def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids (``id``) of documents that copy, exactly or nearly, another one with a smaller id.
 
     Texts are alike if the 256-bit SimHash of their sets of five-word shingles puts their
     Jaccard similarity at ``similarity`` or more. Candidates share a band of least hashes of
-    these sets: at 0.8 all but one pair in 20,000 do, wherever the edits lie. Per band every text
-    is compared with the least id there only, so a group of copies gives as many pairs
-    as members; the rest follows from components. Texts with equal sets are one point from the start.
+    these sets: at 0.8 all but one pair in 20,000 do, wherever the edits lie. All texts of a band
+    meet, unless links connect them already. Texts with equal sets are one point from the start.
     Rows without an id are never reported.
     """
     run = per_text(signature, "d0 long, d1 long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>")
@@ -190,19 +235,12 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
                     .select("id", "r.*"), "signatures")
     firsts = stored(prints.groupBy("d0", "d1").agg(F.min("id").alias("point")), "points")
     marked = stored(prints.join(firsts, ["d0", "d1"]).drop("d0", "d1"), "marked")
-    points = marked.where("id = point").drop("id")
-    spots = points.select(F.explode("bands").alias("key"), "point")
-    keys = spots.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low != high")
-    pairs = stored(join_small(spots, keys, "key").where("low < point").select("point", "low").distinct(), "pairs")
-    signed_points = points.select("point", *SIGNATURE)
-    low = signed_points.select(F.col("point").alias("low"), *[F.col(s).alias(f"low_{s}") for s in SIGNATURE])
-    distance = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"low_{s}"))) for s in SIGNATURE), F.lit(0))
-    links = (pairs.join(signed_points, "point").join(low, "low").where(distance <= most_bits(similarity))
-             .select(F.col("point").alias("a"), F.col("low").alias("b")))
-    found = components(links).where("node != component").select(F.col("node").alias("point"))
     # a point's first document goes if the point does; its others go in any case
     inside = marked.where("id != point").select("id")
-    return stored(inside.unionByName(found.select(F.col("point").alias("id"))).distinct(), "duplicates")
+    found = linked(marked.where("id = point").drop("id"), most_bits(similarity), lambda pairs: pairs)
+    if found is not None:
+        inside = inside.unionByName(found.where("node != component").select(F.col("node").alias("id")))
+    return stored(inside.distinct(), "duplicates")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

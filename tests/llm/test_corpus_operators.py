@@ -287,6 +287,27 @@ def test_evenly_edited_texts_meet():
     assert len(set.union(*apart)) == 50 * simhash.BANDS
 
 
+def hot_family():
+    """Two near copies, all of whose common bands hold unlike texts with lower ids."""
+    base = prose(4000, 400).split()
+    other = spread(base, 150, "new")
+    rows = [(900, " ".join(base)), (901, " ".join(other))]
+    for k in range(150):
+        gone = random.Random(k).sample(range(0, 400, 20), 4)
+        kept = [prose(9000 + 400 * k + i, 20).split() if i in gone else base[i:i + 20] for i in range(0, 400, 20)]
+        rows.append((100 + k, " ".join(sum(kept, []))))
+    return rows
+
+
+def test_all_texts_of_a_band_meet(spark):
+    rows = hot_family()
+    keys = [set(simhash.band_keys(simhash.shingle_hashes(t.encode()))) for _, t in rows]
+    assert keys[0] & keys[1] and keys[0] & keys[1] <= set.union(*keys[2:])
+    assert jaccard(rows[0][1], rows[1][1]) > 0.9 and max(jaccard(rows[0][1], t) for _, t in rows[2:]) < 0.8
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert 900 in kept and 901 not in kept
+
+
 # ---- 4 ------------------------------------------------------------------------------------
 
 def test_mixing_meets_targets(spark):
