@@ -14,16 +14,17 @@ the distance, so only true links leave it; Spark splits a hot anchor.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import acos, pi
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.session import join_small
 
-from .common import per_text, stored, utf8
+from .common import BROADCAST_ENTRIES, per_text, stored, utf8
 from .components import components
 from .substring_dedup import _mix
 
@@ -135,7 +136,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- one document of each group -------------------------------------------------------
 
-SIGNATURE = tuple(f"s{i}" for i in range(4))     # SimHash of shingles of five words: estimate of the similarity
+SIGNATURE = tuple(f"s{i}" for i in range(4))     # SimHash of shingles of five words: preselects
 BANDS, BAND_ROWS = 25, 5                         # least hashes of the shingles: sets of similarity s meet with 1 - (1 - s^5)^25
 _ORDERS = np.array([xxhash.xxh64_intdigest(b"order", i) for i in range((BANDS * BAND_ROWS + 1) // 2)], np.uint64)
 
@@ -172,8 +173,25 @@ def signature(text: bytes) -> tuple:
 
 
 def most_bits(similarity: float, bits: int = 256) -> int:
-    """Differing bits that sets of equal size and this Jaccard similarity have in expectation."""
-    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+    """Differing bits of sets of equal size and this Jaccard similarity: expectation and seven standard deviations."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return min(bits, ceil(bits * p + 7 * sqrt(bits * p * (1 - p))))
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ids (a, b) whose texts in ``docs`` (id, text) have this exact Jaccard similarity of shingle sets."""
+    @F.arrow_udf("array<long>")
+    def grams(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in texts], type=pa.list_(pa.int64()))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(join_small(docs, ids, "id").select("id", grams("text").alias("grams")).distinct(), "shingle-sets")
+    entries = sets.agg(F.sum(F.size("grams") + 1)).first()[0] or 0
+    side = F.broadcast(sets) if entries <= BROADCAST_ENTRIES else sets
+    both = (pairs.join(side.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+            .join(side.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"))
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -194,8 +212,8 @@ def _split(spots: DataFrame, found: DataFrame) -> DataFrame:
     return stored(join_small(now, keys, "key"), "split-spots")
 
 
-def linked(points: DataFrame, limit: int, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the graph of all ``points`` that share a band and are ``alike``.
+def linked(points: DataFrame, limit: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the graph of all ``points`` that share a band and are ``verified``.
 
     Two rounds compare every text with one text per key, the first and one by a hash, so a group
     of copies becomes one component with as many pairs as members. Then all texts of
@@ -213,7 +231,7 @@ def linked(points: DataFrame, limit: int, alike: Callable[[DataFrame], DataFrame
         once = F.col("a_point") < F.col("b_point") if rank is None else F.lit(True)
         near = (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & once & (_distance("a_", "b_") <= limit)
         pairs = left.join(right, near).select(F.greatest("a_point", "b_point").alias("a"), F.least("a_point", "b_point").alias("b")).distinct()
-        new = alike(stored(pairs, "pairs"))
+        new = verified(stored(pairs, "pairs"))
         links = stored(new if links is None else links.unionByName(new), "links")
         found = stored(components(links), "components")
         if rank is not None:
@@ -224,20 +242,22 @@ def linked(points: DataFrame, limit: int, alike: Callable[[DataFrame], DataFrame
 def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids (``id``) of documents that copy, exactly or nearly, another one with a smaller id.
 
-    Texts are alike if the 256-bit SimHash of their sets of five-word shingles puts their
-    Jaccard similarity at ``similarity`` or more. Candidates share a band of least hashes of
+    Texts are alike if the exact Jaccard similarity of their sets of five-word shingles (as 64-bit
+    hashes) is ``similarity`` or more. Candidates share a band of least hashes of
     these sets: at 0.8 all but one pair in 20,000 do, wherever the edits lie. All texts of a band
-    meet, unless links connect them already. Texts with equal sets are one point from the start.
-    Rows without an id are never reported.
+    meet, unless links connect them already; a 256-bit SimHash only preselects, seven standard
+    deviations wide. Texts with equal sets are one point from the start.
+    Rows without an id are never reported; an id with several texts is alike where one of them is.
     """
     run = per_text(signature, "d0 long, d1 long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>")
     prints = stored(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), run(utf8(text_col)).alias("r"))
                     .select("id", "r.*"), "signatures")
     firsts = stored(prints.groupBy("d0", "d1").agg(F.min("id").alias("point")), "points")
     marked = stored(prints.join(firsts, ["d0", "d1"]).drop("d0", "d1"), "marked")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     # a point's first document goes if the point does; its others go in any case
     inside = marked.where("id != point").select("id")
-    found = linked(marked.where("id = point").drop("id"), most_bits(similarity), lambda pairs: pairs)
+    found = linked(marked.where("id = point").drop("id"), most_bits(similarity), lambda pairs: alike(pairs, texts, similarity))
     if found is not None:
         inside = inside.unionByName(found.where("node != component").select(F.col("node").alias("id")))
     return stored(inside.distinct(), "duplicates")

@@ -308,6 +308,38 @@ def test_all_texts_of_a_band_meet(spark):
     assert 900 in kept and 901 not in kept
 
 
+def brute_kept(rows):
+    """Least ids of the components of exact Jaccard similarity 0.8 over texts with words."""
+    sets = {i: set(simhash.shingles((t or "").encode().lower().split(), 5)) for i, t in rows}
+    holders, common, parent = {}, Counter(), {i: i for i in sets}
+    for i in sorted(sets):
+        for g in sets[i]:
+            common.update((j, i) for j in holders.setdefault(g, []))
+            holders[g].append(i)
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    empty = [i for i in sorted(sets) if not sets[i]]
+    links = [(a, b) for (a, b), n in common.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    for a, b in links + [(empty[0], i) for i in empty]:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    return {i for i in sets if top(i) == i}
+
+
+def test_keep_one_is_exact_at_the_threshold(spark):
+    rows = []
+    for k in range(60):   # pairs on both sides of 0.8, edits spread evenly
+        base = prose(7000 + k, 460).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(spread(base, (36, 40, 46, 52)[k % 4], "new")))]
+    want = brute_kept(rows)
+    assert len(want) == 90
+    assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()} == want
+
+
 # ---- 4 ------------------------------------------------------------------------------------
 
 def test_mixing_meets_targets(spark):
