@@ -1,10 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. Seeds of a test item are its n-grams that
-few items share; an item without such seeds uses its rarest. Where a seed occurs in a
+Words are runs of letters and digits, lower-cased. Seeds of a test item are all its 3-grams,
+whatever number of items share them, and in each window of four 2-grams the one that fewest items have,
+so seeds cover all of an item. Where a seed occurs in a
 document, the item is aligned with the words around it, so edited and paraphrased copies
 count by what is left of them. A document matches an item if the best local alignment
-reaches ``least`` of the score of the whole item.
+reaches ``least`` of the score of the whole item. Places where words in common, in any order,
+cannot add up to that score are not aligned; this loses nothing.
+
+A copy whose words are replaced only, by fewer than a third, has three words in a row left, hence a seed. Copies with
+a word put in after every second one, or with every third one replaced, meet by 2-grams. A copy
+without two words in a row that are seeds is not found.
 
 The test items are a stated query set: they are taken in blocks of bounded size, and each
 block goes over all documents, whole texts, where they lie. Nothing is shuffled, and a
@@ -34,8 +40,8 @@ _MEMO = 20_000
 
 @dataclass(frozen=True)
 class Rules:
-    seed_words: int = 4      # shorter items are one seed
-    rare: int = 2            # most items that may share a seed
+    whole_words: int = 3     # items of no more words are one seed
+    sizes: tuple[tuple[int, int], ...] = ((3, 1), (2, 4))   # words of a seed; of so many in a row the rarest is one
     least: float = 0.5       # share of an item's own score
 
 
@@ -81,43 +87,62 @@ class Items:
     def __init__(self, rows: list, rules: Rules):
         self.rules = rules
         self.words = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
+        self.known, self.sizes = [np.unique(w) for w in self.words], np.array([len(w) for w in self.words])
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[int, int, int]]] = {}
         for k, r in enumerate(rows):
-            size = min(rules.seed_words, len(r["words"]))
-            by_size.setdefault(size, []).extend((s["gram"] & (1 << 64) - 1, k, s["at"]) for s in r["seeds"])
+            for s in r["seeds"]:
+                by_size.setdefault(s["size"], []).append((s["gram"] & (1 << 64) - 1, k, s["at"]))
         for size, found in by_size.items():
             found.sort()
             self.seeds[size] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
-    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place where the item would begin), ascending, each once."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the places where they would begin, ascending."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for size, (grams, items, at) in self.seeds.items():
             if len(words) < size:
                 continue
             mine = gram_hashes(words, size)
             first = np.searchsorted(grams, mine)
-            for p in np.flatnonzero(grams[np.minimum(first, len(grams) - 1)] == mine):
-                k = first[p]
-                while k < len(grams) and grams[k] == mine[p]:
-                    out.add((int(items[k]), int(p - at[k])))
-                    k += 1
-        return sorted(out)
+            here = np.flatnonzero(grams[np.minimum(first, len(grams) - 1)] == mine)
+            if not len(here):
+                continue
+            first = first[here]
+            count = np.searchsorted(grams, mine[here], "right") - first
+            k = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            found.append((items[k], np.repeat(here, count) - at[k]))
+        items, places = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((places, items))
+        return items[order], places[order]
+
+    def bound(self, item: int, passage: np.ndarray) -> int:
+        """No alignment scores more: each word of an aligned span, on either side, costs or gains its own part at most."""
+        def most(words: np.ndarray, known: np.ndarray) -> int:
+            shared = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
+            total = np.concatenate([[0], np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))])
+            return int((total - np.minimum.accumulate(total)).max())
+
+        here = most(passage, self.known[item])
+        if here < self.rules.least * MATCH * len(self.words[item]):
+            return here
+        return min(here, most(self.words[item], np.unique(passage)))
 
     def matches(self, words: np.ndarray, memo: dict) -> list[dict]:
         """Best match of each item that reaches the least share."""
         out: dict[int, dict] = {}
-        areas: list[list[int]] = []   # item, first, end: overlapping places of one item are one area
-        for item, place in self.hits(words):
-            m = len(self.words[item])
-            slack = m // 2 + 4
-            a, b = max(0, place - slack), min(len(words), place + m + slack)
-            if areas and areas[-1][0] == item and a <= areas[-1][2]:
-                areas[-1][2] = max(areas[-1][2], b)
-            else:
-                areas.append([item, a, b])
-        for item, a, b in areas:
+        items, places = self.hits(words)
+        if not len(items):
+            return []
+        sizes = self.sizes[items]
+        slack = sizes // 2 + 4
+        first, end = np.maximum(0, places - slack), np.minimum(len(words), places + sizes + slack)
+        # overlapping places of one item are one area
+        starts = np.flatnonzero(np.concatenate([[True], (items[1:] != items[:-1]) | (first[1:] > end[:-1])]))
+        stops = np.append(starts[1:], len(items)) - 1
+        for item, a, b in zip(items[starts].tolist(), first[starts].tolist(), end[stops].tolist(), strict=True):
+            if self.bound(item, words[a:b]) < self.rules.least * MATCH * len(self.words[item]):
+                continue
             key = (item, words[a:b].tobytes())
             if (found := memo.get(key)) is None:
                 if len(memo) >= _MEMO:
@@ -130,24 +155,30 @@ class Items:
 
 
 def item_table(items: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
-    """(no, item_id, words, seeds): hashed words of each item that has any, and its seeds (gram, at)."""
-    @F.arrow_udf("struct<words: array<long>, grams: array<long>>")
+    """(no, item_id, words, seeds): hashed words of each item that has any, and its seeds (size, gram, at)."""
+    @F.arrow_udf("struct<words: array<long>, grams: array<struct<size: int, stride: int, at: int, gram: long>>>")
     def run(texts: pa.Array) -> pa.Array:
         known, out = _WordHash(), []
         for t in texts:
-            words = hashed_words(t.as_py(), known)
-            grams = gram_hashes(words, min(rules.seed_words, len(words))) if len(words) else words
-            out.append({"words": words.view(np.int64), "grams": grams.view(np.int64)})
-        return pa.array(out, type=pa.struct([("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))]))
+            words, grams = hashed_words(t.as_py(), known), []
+            sizes = rules.sizes if len(words) > rules.whole_words else ((len(words), 1),) if len(words) else ()
+            for size, stride in sizes:
+                grams += [{"size": size, "stride": stride, "at": k, "gram": g} for k, g in enumerate(gram_hashes(words, size).view(np.int64).tolist())]
+            out.append({"words": words.view(np.int64), "grams": grams})
+        gram = pa.struct([("size", pa.int32()), ("stride", pa.int32()), ("at", pa.int32()), ("gram", pa.int64())])
+        return pa.array(out, type=pa.struct([("words", pa.list_(pa.int64())), ("grams", pa.list_(gram))]))
 
     rows = stored(items.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).alias("item_id"), run(utf8(text_col)).alias("r"))
                   .select("no", "item_id", "r.*").where(F.size("words") > 0), "items")
-    grams = rows.select("no", F.posexplode("grams").alias("at", "gram"))
-    shared = grams.groupBy("gram").agg(F.count_distinct("no").alias("items"))
-    marked = grams.join(shared, "gram")
-    rarest = marked.groupBy("no").agg(F.greatest(F.min("items"), F.lit(rules.rare)).alias("most"))
-    seeds = (marked.join(rarest, "no").where(F.col("items") <= F.col("most"))
-             .groupBy("no").agg(F.collect_list(F.struct("gram", "at")).alias("seeds")))
+    grams = rows.select("no", F.inline("grams"))
+    shared = grams.groupBy("size", "gram").agg(F.count_distinct("no").alias("items"))
+    marked = grams.join(shared, ["size", "gram"])
+    # a gram is a seed if it is the rarest, of equal ones the first, of some ``stride`` in a row
+    listed = marked.groupBy("no", "size", "stride").agg(F.array_sort(F.collect_list(F.struct("at", "items", "gram"))).alias("row"))
+    start = F.expr("transform(sequence(0, greatest(size(row) - stride, 0)), i -> array_min(transform(slice(row, i + 1, stride), "
+                   "g -> struct(g.items AS items, g.at AS at, g.gram AS gram))))")
+    seeds = (listed.select("no", "size", F.explode(F.array_distinct(start)).alias("s"))
+             .groupBy("no").agg(F.collect_list(F.struct("size", "s.gram", "s.at")).alias("seeds")))
     return stored(rows.join(seeds, "no").select("no", "item_id", "words", "seeds"), "item-seeds")
 
 
@@ -185,7 +216,7 @@ def contamination(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_
     One row per document row and item row that match, with the best place.
 
     Defined results: null and empty texts, and items without a word, match nothing; an item of
-    fewer words than a seed is one seed; repeated rows, of either table, each give their rows;
+    at most three words is one seed; repeated rows, of either table, each give their rows;
     among places of equal score the first counts; empty tables give no rows.
     """
     out = None

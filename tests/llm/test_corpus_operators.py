@@ -441,6 +441,24 @@ def test_contamination(spark):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, t in rows if not any(w[0] == i for w in want))
 
 
+def test_contamination_by_shared_and_edited_items(spark):
+    base = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(base[:39] + [f"last{k}"])) for k in range(3)]   # a template: one word is an item's own
+    other = [f"v{k}" for k in range(40)]
+    items += [(7, " ".join(other))]
+    edits = {1: base[:39], 2: base[10:32],
+             11: [f"new{k}" if k % 4 == 3 else w for k, w in enumerate(other)], 12: [f"new{k}" if k % 3 == 2 else w for k, w in enumerate(other)],
+             13: [w for k, v in enumerate(other) for w in ([v, f"new{k}"] if k % 2 else [v])], 14: other[:12], 15: other[:20][::-1]}
+    rows = [(i, prose(i, 30) + " " + " ".join(t) + " " + prose(i + 50, 30)) for i, t in edits.items()]
+    want = {(i, k) for i, t in rows for k, item in items
+            if brute_align(decontaminate.normal_words(item.encode()), decontaminate.normal_words(t.encode())) / (2 * len(item.split())) >= 0.5}
+    assert {(1, 0), (1, 1), (1, 2), (2, 0), (11, 7), (12, 7), (13, 7)} <= want and not {(14, 7), (15, 7)} & want
+    got = decontaminate.contamination(frame(spark, rows), table_of(spark, items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    left = decontaminate.without_benchmark(frame(spark, rows), table_of(spark, items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == set(edits) - {i for i, _ in want}
+
+
 # ---- 7 ------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("log2_size", [4, 8])
