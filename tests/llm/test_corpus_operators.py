@@ -340,6 +340,13 @@ def test_keep_one_is_exact_at_the_threshold(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()} == want
 
 
+def test_keep_one_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, "")])
+    got = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    assert got == want - {-1} and len(got) < docs.count()
+
+
 # ---- 4 ------------------------------------------------------------------------------------
 
 def test_mixing_meets_targets(spark):
