@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.session import scratch_table
 
-from . import decontaminate, licenses, line_dedup, merkle, mixing, prefix_trie, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
+from . import decontaminate, html_template, licenses, line_dedup, merkle, mixing, prefix_trie, quality_classifier, quality_rules, simhash, substring_dedup, token_files, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark, sf_dir):
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc, op3_simhash_dedup, op4_mixing, op5_license_scan, op6_decontaminate, op7_line_dedup, op8_substring_dedup, op9_quality_classifier, op10_quality_rules,
-                                   op12_merkle_manifest, op13_prefix_trie)}
+                                   op11_html_extraction, op12_merkle_manifest, op13_prefix_trie)}
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
