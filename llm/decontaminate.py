@@ -45,12 +45,22 @@ class Rules:
     least: float = 0.5       # share of an item's own score
 
 
+_NO_WORD = bytes(c if c < 128 and WORD.match(chr(c)) else 32 for c in range(256))   # ASCII that is in no word becomes a space
+
+
+def _words(text: bytes) -> list[bytes] | list[str]:
+    """The words; those of a text that is not ASCII stay decoded, as they hash alike."""
+    if text.isascii():
+        return text.lower().translate(_NO_WORD).split()
+    return WORD.findall(text.decode(errors="replace").lower())
+
+
 def normal_words(text: bytes) -> list[bytes]:
-    return [w.encode() for w in WORD.findall(text.decode(errors="replace").lower())]
+    return [w if isinstance(w, bytes) else w.encode() for w in _words(text)]
 
 
 def hashed_words(text: bytes, known: _WordHash) -> np.ndarray:
-    words = normal_words(text)
+    words = _words(text)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

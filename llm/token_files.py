@@ -34,7 +34,8 @@ GROUP_IDS = 1 << 19        # a group ends with the document that reaches this
 DICTIONARY = 1 << 16
 END_ID = 1
 _DENSE = 1 << 22
-_CACHE = 1_000_000
+_CACHE_BYTES = 24_000_000    # of pieces and ids in each of two generations
+_ENTRY = 200                  # bytes of an entry besides its text and ids
 # Letters, a contraction, a digit, or marks: where this family of tokenizers cuts lower-cased text.
 _PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
 
@@ -49,18 +50,29 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _PieceIds(dict):
-    """Ids (as bytes) of each piece met, by the tokenizer; emptied when it gets large."""
+    """Ids (as bytes) of each piece met, by the tokenizer.
+
+    Bounded by bytes: when full, its pieces become the older generation, and those met again come back,
+    so frequent pieces stay.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model, self.normal, self.letters = tokenizer, tokenizer.model, tokenizer.normalizer, _byte_letters()
+        self.older: dict[bytes, bytes] = {}
+        self.room = _CACHE_BYTES
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= _CACHE:
+        value = self.older.get(piece)
+        if value is None:
+            # a run of letters goes to the model as it is, anything else through the whole tokenizer
+            ids = [t.id for t in self.model.tokenize(piece.decode())] if piece.isalpha() and piece.islower() else self.encode(piece.decode(errors="replace"))
+            value = array("I", ids).tobytes()
+        if self.room <= 0:
+            self.older, self.room = dict(self), _CACHE_BYTES
             self.clear()
-        # a run of letters goes to the model as it is, anything else through the whole tokenizer
-        ids = [t.id for t in self.model.tokenize(piece.decode())] if piece.isalpha() and piece.islower() else self.encode(piece.decode(errors="replace"))
-        value = self[piece] = array("I", ids).tobytes()
+        self.room -= _ENTRY + len(piece) + len(value)
+        self[piece] = value
         return value
 
     def encode(self, piece: str) -> list[int]:
