@@ -607,12 +607,47 @@ def test_quality_rules(spark):
     assert all(r.ratio == (len(packer.compress(t.encode())) / len(t.encode()) if t else 0) for r in got for i, t in rows if i == r.doc_id and i in (1, 6, 42))
 
 
+def brute_kept(text, bands):
+    """The verdict by its definition: the whole text's ratio, then the share of chunks outside."""
+    body = (text or "").encode()
+    words = body.split()
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    repeated = {j for i, w in enumerate(windows) if w in often for j in (i, i + 1, i + 2)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return False
+    ratio = [len(zstandard.compress(body, bands.level)) / len(body)]
+    low, high = next(b[1:] for b in bands.whole if len(body) <= b[0])
+    cuts = [*range(0, len(body) - bands.chunk_bytes + 1, bands.chunk_bytes)] or [0]
+    parts = [body[a:b] for a, b in zip(cuts, [*cuts[1:], len(body)])] if len(cuts) > 1 else []
+    bad = [not bands.chunk[0] <= len(zstandard.compress(p, bands.level)) / len(p) <= bands.chunk[1] for p in parts]
+    return low <= ratio[0] <= high and (not bad or sum(bad) / len(bad) <= bands.chunk_share)
+
+
+def test_compression_decides(spark):
+    """Loops and noise that pass the base rules fall to the whole or the chunk rule; texts of the table agree with the definition."""
+    rng = random.Random(9)
+    table = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    good = next(t for t in sorted(table, key=len, reverse=True) if brute_kept(t, quality_rules.Bands()) and 20_000 < len(t.encode()) < 60_000)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(300))
+    loop = " ".join(f"aaaaaaaaaa{i:03d}aaaaaaaaaa" for i in range(400))
+    rows = [(1, noise), (2, loop), (3, good), (4, good + " " + noise * 4), (5, good[:12_000] + " " + " ".join(f"zzzzzzzzzzzz{i}z" for i in range(900)))]
+    rows += [(100 + k, t) for k, t in enumerate(table)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    bands = quality_rules.Bands()
+    assert all(got[i].kept == brute_kept(t, bands) for i, t in rows)
+    assert [got[i].kept for i in (1, 2, 3, 4, 5)] == [False, False, True, False, False]
+    assert not got[1].base_failed and not got[2].base_failed and got[5].chunks_outside > bands.chunk_share
+    assert any(not r.base_failed and not r.kept for i, r in got.items() if i >= 100)
+
+
 # ---- all ----------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
