@@ -82,6 +82,16 @@ def resample(pixels: DataFrame, scale: float, sizes: DataFrame | None = None) ->
 TILE = 256
 
 
+def bordered(pixels: DataFrame, size: int) -> DataFrame:
+    """Each pixel in its own tile (``_tr``, ``_tc``), and in those next to it where it lies on the edge."""
+    def sides(at: Column) -> Column:
+        own, place = F.floor(at / size).cast("int"), F.pmod(at, F.lit(size))
+        return F.filter(F.array(own, F.when(place == 0, own - 1), F.when(place == size - 1, own + 1)), lambda t: t.isNotNull())
+
+    return (pixels.withColumns({"_tr": sides(F.col("row")), "_tc": sides(F.col("col"))})
+            .withColumn("_tr", F.explode("_tr")).withColumn("_tc", F.explode("_tc")))
+
+
 def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STEPS) -> DataFrame:
     """Adds columns n0.. with the value at each step; rows are the pixels that have a value.
 
@@ -89,15 +99,8 @@ def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STE
     per cent more rows, so one exchange by tile is all; inside, neighbours are array shifts.
     Of repeated pixels the greatest value counts. A group is one tile.
     """
-    r, c, size = F.col("row"), F.col("col"), TILE
-
-    def sides(at: Column) -> Column:
-        """Tiles along one axis that see the pixel: its own, and the next one where it lies on the edge."""
-        own, place = F.floor(at / size).cast("int"), F.pmod(at, F.lit(size))
-        return F.filter(F.array(own, F.when(place == 0, own - 1), F.when(place == size - 1, own + 1)), lambda t: t.isNotNull())
-
-    sent = (pixels.where(F.col(value).isNotNull()).select(*keys, *PIXEL, F.col(value).cast("double").alias(value), sides(r).alias("_tr"), sides(c).alias("_tc"))
-            .withColumn("_tr", F.explode("_tr")).withColumn("_tc", F.explode("_tc")))
+    size = TILE
+    sent = bordered(pixels.where(F.col(value).isNotNull()).select(*keys, *PIXEL, F.col(value).cast("double").alias(value)), size)
     schema = T.StructType([*sent.drop("_tr", "_tc").schema, *[T.StructField(f"n{i}", T.DoubleType()) for i in range(len(steps))]])
 
     def shift(rows: pa.Table) -> pa.Table:
@@ -115,20 +118,22 @@ def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STE
     return sent.groupBy(*keys, "basin", "_tr", "_tc").applyInArrow(shift, schema)
 
 
-def d8_pointer(pixels: DataFrame) -> DataFrame:
-    """(basin, row, col, z, to_row, to_col): steepest descent, NULL where nothing is lower.
-
-    Diagonal steps count as the square root of two. Ties go to the upper, then the left cell.
-    """
-    near = _around(pixels.where(F.col("z").isNotNull()), "z")
+def descent(near: DataFrame) -> DataFrame:
+    """Adds ``to_row``, ``to_col`` to pixels with their neighbours n0..n7."""
     falls = []
     for i, (dr, dc) in enumerate(STEPS):
         fall = (F.col("z") - F.col(f"n{i}")) / (math.sqrt(2) if dr and dc else 1.0)
         falls.append(F.when(fall > 0, F.struct(fall.alias("fall"), F.lit(-dr).alias("up"), F.lit(-dc).alias("left"))))
     best = F.array_max(F.array_compact(F.array(*falls)))
-    return (near.withColumn("_b", best)
-            .select(*PIXEL, "z", (F.col("row") - F.col("_b.up")).alias("to_row"),
-                    (F.col("col") - F.col("_b.left")).alias("to_col")))
+    return near.withColumn("_b", best).withColumns({"to_row": F.col("row") - F.col("_b.up"), "to_col": F.col("col") - F.col("_b.left")}).drop("_b")
+
+
+def d8_pointer(pixels: DataFrame) -> DataFrame:
+    """(basin, row, col, z, to_row, to_col): steepest descent, NULL where nothing is lower.
+
+    Diagonal steps count as the square root of two. Ties go to the upper, then the left cell.
+    """
+    return descent(_around(pixels.where(F.col("z").isNotNull()), "z")).select(*PIXEL, "z", "to_row", "to_col")
 
 
 def _packed(row: str, col: str) -> Column:

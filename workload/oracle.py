@@ -160,8 +160,40 @@ for _name in ("trail", "sheds"):
     CTE[f"{_name}_c"] = CTE[_name].replace("pointer", "pointer_c").replace("trail", "trail_c").replace("outlets", "outlets_c")
 
 
+# Breadth-first search: a pixel keeps the distance at which it is met first.
+_BY_PIXEL = '{0}(basin, "row", col, z, dist) USING KEY (basin, "row", col)'
+
+
+def _nearest(name: str, start: str) -> str:
+    return f"""{start} UNION SELECT n.basin, n."row", n.col, n.z, t.dist + 1 FROM {name} t JOIN near_f a ON a.basin = t.basin AND a."row" = t."row" AND a.col = t.col
+        JOIN still_f n ON n.basin = a.basin AND n."row" = a.nr AND n.col = a.nc
+        WHERE a.nz = t.z AND NOT EXISTS (SELECT 1 FROM recurring.{name} k WHERE k.basin = n.basin AND k."row" = n."row" AND k.col = n.col)"""
+
+
+_LEVEL = 'EXISTS (SELECT 1 FROM near_f a WHERE a.basin = p.basin AND a."row" = p."row" AND a.col = p.col AND a.nz {} p.z)'
+CTE |= {
+    "pxf": 'SELECT basin, "row", col, FLOOR(z / 12) AS z FROM px',
+    "pointer_f": CTE["pointer"].replace("px p", "pxf p").replace("px n", "pxf n"),
+    "near_f": """SELECT p.basin, p."row", p.col, n."row" AS nr, n.col AS nc, n.z AS nz, dr, dc FROM pxf p CROSS JOIN steps
+        JOIN pxf n ON n.basin = p.basin AND n."row" = p."row" + dr AND n.col = p.col + dc""",
+    "still_f": f"SELECT * FROM pointer_f p WHERE to_row IS NULL AND {_LEVEL.format('=')}",
+    "low_f": _nearest("low_f", f'SELECT basin, "row", col, z, 0 FROM pointer_f p WHERE to_row IS NOT NULL AND {_LEVEL.format("=")}'),
+    "high_f": _nearest("high_f", f'SELECT basin, "row", col, z, 1 FROM still_f p WHERE {_LEVEL.format(">")}'),
+    "slope_f": """SELECT l.basin, l."row", l.col, l.z, CASE WHEN l.dist = 0 THEN -1e12 ELSE 2 * l.dist - COALESCE(h.dist, 0) END AS v
+        FROM low_f l LEFT JOIN high_f h ON h.basin = l.basin AND h."row" = l."row" AND h.col = l.col""",
+    "pointer_flat": """SELECT p.basin, p."row", p.col, p.z, COALESCE(p.to_row, f.nr) AS to_row, COALESCE(p.to_col, f.nc) AS to_col FROM pointer_f p LEFT JOIN (
+        SELECT s.basin, s."row", s.col, a.nr, a.nc, ROW_NUMBER() OVER (PARTITION BY s.basin, s."row", s.col ORDER BY n.v, a.dr, a.dc) AS k
+        FROM slope_f s JOIN near_f a ON a.basin = s.basin AND a."row" = s."row" AND a.col = s.col
+        JOIN slope_f n ON n.basin = a.basin AND n."row" = a.nr AND n.col = a.nc AND n.z = s.z WHERE s.v > -1e12) f
+        ON f.k = 1 AND f.basin = p.basin AND f."row" = p."row" AND f.col = p.col""",
+    **{f"{n}_f": CTE[n].replace(" pointer p", " pointer_flat p").replace("FROM pointer\n", "FROM pointer_flat\n").replace("FROM walk", "FROM walk_f")
+       .replace("FROM trail", "FROM trail_f") for n in ("walk", "acc", "trail", "sheds")},
+}
+_HEAD = {n: _BY_PIXEL.format(n) for n in ("low_f", "high_f")}
+
+
 def q(names: str, body: str) -> str:
-    parts = [f"{n} AS ({CTE[n]})" for n in names.split()]
+    parts = [f"{_HEAD.get(n, n)} AS ({CTE[n]})" for n in names.split()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
@@ -169,6 +201,7 @@ def r6(*cols: str) -> str:
     return ", ".join(f"ROUND({c}, 6) + 0.0 AS {c.split('.')[-1]}" for c in cols)
 
 
+FLATS = "px pxf steps pointer_f near_f still_f low_f high_f slope_f pointer_flat"
 KEY = "clave_estacion, CAST(fecha AS VARCHAR) AS fecha"
 KNN = "catalog climate_catalog nearest"
 SEL = "hydro climate catalog climate_catalog coverage hydro_scored climate_selected selected_lists"
@@ -528,6 +561,9 @@ ORACLE = {
     "raster_finer": q("px grids", _resample(0.5)),
     "d8_pointer": q("px steps pointer", 'SELECT basin, "row", col, ROUND(z, 6) AS z, to_row, to_col FROM pointer'),
     "flow_accumulation": q("px steps pointer walk acc", 'SELECT basin, "row", col, acc FROM acc'),
+    "d8_flats": q(FLATS, 'SELECT basin, "row", col, z, to_row, to_col FROM pointer_flat'),
+    "flow_accumulation_flats": q(f"{FLATS} walk_f acc_f", 'SELECT basin, "row", col, acc FROM acc_f'),
+    "watershed_flats": q(f"{FLATS} outlets trail_f sheds_f", 'SELECT basin, "row", col, clave FROM sheds_f'),
     "extract_streams": q("px steps pointer walk acc", 'SELECT basin, "row", col, acc FROM acc WHERE acc >= 5'),
     "snap_points": q("px steps pointer walk acc outlets", """SELECT clave, basin, "row", col FROM (
         SELECT o.clave, o.basin, a."row", a.col, ROW_NUMBER() OVER (PARTITION BY o.clave

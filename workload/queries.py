@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gaugeline.constants import DAY, PILOT_BASINS, STATION
 from gaugeline.functions.dates import mixed_date
 from gaugeline.functions.text import slug
-from gaugeline.operators import calendar, climate, features, gaps, neighbours, quality, quantiles, raster, report, spatial
+from gaugeline.operators import calendar, climate, features, flats, gaps, neighbours, quality, quantiles, raster, report, spatial
 from gaugeline.plans import selection
 from gaugeline.plans.canonical import build_canonical
 from gaugeline.plans.feature_table import build_features, build_tensors
@@ -248,6 +248,9 @@ QUERIES = {
     "raster_finer": lambda s, d: raster.resample(V.two_grids(s, d), 0.5),
     "d8_pointer": lambda s, d: _pointer(s, d),
     "flow_accumulation": lambda s, d: raster.flow_accumulation(_pointer(s, d)),
+    "d8_flats": lambda s, d: flats.d8_flats(V.flat_pixels(s, d)),
+    "flow_accumulation_flats": lambda s, d: raster.flow_accumulation(flats.d8_flats(V.flat_pixels(s, d))),
+    "watershed_flats": lambda s, d: raster.watershed(flats.d8_flats(V.flat_pixels(s, d)), V.outlets(s, d)),
     "extract_streams": lambda s, d: _streams(s, d),
     "snap_points": lambda s, d: raster.snap_points(V.outlets(s, d), _streams(s, d), 3.0),
     "watershed": lambda s, d: _watershed(s, d),

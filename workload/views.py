@@ -100,6 +100,11 @@ def pixels(spark, sf_dir) -> DataFrame:
         (F.col("p_retailprice") + F.col("p_size") * 0.2).alias("z"))
 
 
+def flat_pixels(spark, sf_dir) -> DataFrame:
+    """The grid in steps of twelve units: terraces, with hollows."""
+    return pixels(spark, sf_dir).withColumn("z", F.floor(F.col("z") / 12).cast("double"))
+
+
 def two_grids(spark, sf_dir) -> DataFrame:
     """The grid of parts, and one of another size from the suppliers."""
     small = table(spark, sf_dir, "supplier").select(
