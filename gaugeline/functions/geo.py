@@ -48,6 +48,42 @@ def lcc_xy(lon: Column, lat: Column, params: dict = LCC_MEXICO) -> tuple[Column,
             params["false_northing"] + rho0 - rho * F.cos(theta))
 
 
+def lcc_lonlat(x: Column, y: Column, params: dict = LCC_MEXICO) -> tuple[Column, Column]:
+    """The inverse: longitude and latitude in degrees.
+
+    The latitude is iterated as an expression over a fixed list of seven steps; each gains two digits or
+    more, so that the last change is far below a micrometre.
+    """
+    n, scale, rho0, ecc = _lcc_parameters(params)
+    east, south = x - params["false_easting"], rho0 - (y - params["false_northing"])
+    t = F.pow(F.sqrt(east * east + south * south) / (params["a"] * scale), F.lit(1 / n))
+
+    def better(phi: Column, _) -> Column:
+        es = ecc * F.sin(phi)
+        return math.pi / 2 - 2 * F.atan(t * F.pow((1 - es) / (1 + es), F.lit(ecc / 2)))
+
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(7)), math.pi / 2 - 2 * F.atan(t), better)
+    return params["lon0"] + F.degrees(F.atan2(east, south)) / n, F.degrees(phi)
+
+
+def moved_box(west: Column, south: Column, east: Column, north: Column, move, points: int = 21) -> Column:
+    """Bounds (min_x, min_y, max_x, max_y) of a box after ``move`` (x, y), with so many points put into each edge.
+
+    The edges of a box become curves, so its corners alone would not do.
+    """
+    share = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda i: i / (points + 1.0))
+
+    def edge(f: Column) -> Column:
+        x, y = west + f * (east - west), south + f * (north - south)
+        return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, south), (x, north), (west, y), (east, y))])
+
+    def placed(v: Column) -> Column:
+        a, b = move(v["x"], v["y"])
+        return F.struct(a.alias("x"), b.alias("y"))
+
+    return ring_box(F.transform(F.flatten(F.transform(share, edge)), placed))
+
+
 def lcc_ring(ring: Column, params: dict = LCC_MEXICO) -> Column:
     def move(v: Column) -> Column:
         x, y = lcc_xy(v["x"], v["y"], params)
@@ -76,15 +112,20 @@ def ring_area(ring: Column) -> Column:
 
 def within_ring(x: Column, y: Column, ring: Column) -> Column:
     """True when the point lies strictly inside; a point on the boundary is outside."""
+    return within_edges(x, y, _edges(ring))
+
+
+def within_edges(x: Column, y: Column, edges: Column) -> Column:
+    """The same for the edges of one or more rings: inside is where a ray crosses an odd number."""
 
     def cross(e: Column) -> Column:
         return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
 
-    on_edge = F.exists(_edges(ring), lambda e: (cross(e) == 0)
+    on_edge = F.exists(edges, lambda e: (cross(e) == 0)
                        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
     # An edge is crossed by the ray to the east when it spans y and lies right of x.
-    crossings = F.size(F.filter(_edges(ring), lambda e: (
+    crossings = F.size(F.filter(edges, lambda e: (
         ((e["y1"] > y) != (e["y2"] > y))
         & ((cross(e) > 0) == (e["y2"] > e["y1"])) & (cross(e) != 0))))
     return ~on_edge & (crossings % 2 == 1)
@@ -95,3 +136,34 @@ def ring_box(ring: Column) -> Column:
     ys = F.transform(ring, lambda v: v["y"])
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
                     F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+
+# --- several rings: holes, islands in holes, and parts -------------------------------
+# A shape is ARRAY<ring>, in any order and direction. Rings do not cross; what lies inside an odd
+# number of them belongs to the shape.
+
+
+def shape_edges(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, _edges))
+
+
+def shape_box(rings: Column) -> Column:
+    return ring_box(F.flatten(rings))
+
+
+def within_shape(x: Column, y: Column, rings: Column) -> Column:
+    return within_edges(x, y, shape_edges(rings))
+
+
+def lcc_shape(rings: Column, params: dict = LCC_MEXICO) -> Column:
+    return F.transform(rings, lambda ring: lcc_ring(ring, params))
+
+
+def shape_area(rings: Column) -> Column:
+    """Planar area: a ring inside an odd number of others is a hole and counts negative."""
+
+    def signed(ring: Column, i: Column) -> Column:
+        around = F.size(F.filter(rings, lambda other, j: (i != j) & F.exists(ring, lambda v: within_ring(v["x"], v["y"], other))))
+        return F.when(around % 2 == 0, ring_area(ring)).otherwise(-ring_area(ring))
+
+    return F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda total, a: total + a)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, join_small
+from .spatial import metric_bounds
 
 PIXEL = ("basin", "row", "col")
 
 # Row and column steps in the order that decides ties: up before down, left before right.
+CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 STEPS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
 
@@ -27,6 +29,42 @@ def mosaic(tiles: DataFrame) -> DataFrame:
     return tiles.where(F.col("z").isNotNull()).groupBy(*PIXEL).agg(F.min_by("z", "path").alias("z"))
 
 
+def mosaic_aligned(tiles: DataFrame, frames: DataFrame) -> DataFrame:
+    """(basin, row, col, z) of tiles (path, basin, row, col, z) that each have their own origin and cell.
+
+    ``frames`` (path, basin, west, north, cell) places them, north up. The result has the cell size of the
+    basin's first tile by path and starts at the corner of all its tiles. A cell takes the value of the tile pixel
+    that holds its centre, of the first tile by path that has one; so a source pixel goes to all cells whose centres
+    it holds, to none where tiles are finer. Tiles without a frame give nothing.
+    """
+    target = frames.groupBy("basin").agg(F.min("west").alias("_w"), F.max("north").alias("_n"), F.min_by("cell", "path").alias("_c"))
+    placed = join_small(tiles.where(F.col("z").isNotNull()), frames.join(target, "basin"), ["path", "basin"])
+
+    def centres(start: Column, at: str) -> Column:
+        """Target indexes whose centres lie in a pixel that begins at this distance from the corner."""
+        first = F.ceil((start + F.col(at) * F.col("cell")) / F.col("_c") - 0.5)
+        last = F.ceil((start + (F.col(at) + 1) * F.col("cell")) / F.col("_c") - 0.5) - 1
+        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+
+    rows, cols = centres(F.col("_n") - F.col("north"), "row"), centres(F.col("west") - F.col("_w"), "col")
+    spread = (placed.select("path", "basin", "z", rows.alias("rows"), cols.alias("cols")).withColumn("row", F.explode("rows"))
+              .withColumn("col", F.explode("cols")))
+    return mosaic(spread.select("path", *PIXEL, "z"))
+
+
+def clip_to_boxes(pixels: DataFrame, boxes: DataFrame, west: float, north: float, cell: float) -> DataFrame:
+    """Pixels of a grid in metres whose centres lie in their basin's box (basin, min_lon, min_lat, max_lon, max_lat).
+
+    The box is projected with points along its edges, once per box, and becomes bounds in rows and columns.
+    Basins without a box keep no pixel.
+    """
+    m = metric_bounds(boxes)
+    bounds = m.select("basin", F.ceil((north - F.col("max_y")) / cell - 0.5).alias("_r0"), F.floor((north - F.col("min_y")) / cell - 0.5).alias("_r1"),
+                      F.ceil((F.col("min_x") - west) / cell - 0.5).alias("_c0"), F.floor((F.col("max_x") - west) / cell - 0.5).alias("_c1"))
+    kept = join_small(pixels, bounds, "basin").where(F.col("row").between(F.col("_r0"), F.col("_r1")) & F.col("col").between(F.col("_c0"), F.col("_c1")))
+    return kept.select(*pixels.columns)
+
+
 def clip(pixels: DataFrame, box: tuple[float, float, float, float], west: float, north: float,
          cell: float) -> DataFrame:
     """Pixels whose centre lies in (min_lon, min_lat, max_lon, max_lat) of a north-up grid.
@@ -92,8 +130,9 @@ def bordered(pixels: DataFrame, size: int) -> DataFrame:
             .withColumn("_tr", F.explode("_tr")).withColumn("_tc", F.explode("_tc")))
 
 
-def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STEPS) -> DataFrame:
-    """Adds columns n0.. with the value at each step; rows are the pixels that have a value.
+def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STEPS, gaps: bool = False) -> DataFrame:
+    """Adds columns n0.. with the value at each step; rows are the pixels that have a value,
+    with ``gaps`` also those that have none but a neighbour at every step.
 
     A tile gets its own pixels and a border one pixel wide from the tiles around, under two
     per cent more rows, so one exchange by tile is all; inside, neighbours are array shifts.
@@ -108,11 +147,14 @@ def _around(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), steps=STE
         grid = np.full((size + 2, size + 2), np.nan)
         at = (rows["row"].to_numpy() - top, rows["col"].to_numpy() - left)
         np.fmax.at(grid, at, rows[value].to_numpy())
-        mine = np.argwhere(~np.isnan(grid[1:-1, 1:-1])) + 1
-        y, x = mine.T
+        there = ~np.isnan(grid)
+        wanted = there[1:-1, 1:-1]
+        if gaps:
+            wanted = wanted | np.logical_and.reduce([there[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc] for dr, dc in steps])
+        y, x = (np.argwhere(wanted) + 1).T
         around = [grid[y + dr, x + dc] for dr, dc in steps]
         first = [pa.repeat(rows[k][0], len(y)) for k in (*keys, "basin")]
-        return pa.Table.from_arrays([*first, pa.array((y + top).astype(np.int32)), pa.array((x + left).astype(np.int32)), pa.array(grid[y, x]),
+        return pa.Table.from_arrays([*first, pa.array((y + top).astype(np.int32)), pa.array((x + left).astype(np.int32)), pa.array(grid[y, x], mask=~there[y, x]),
                                      *[pa.array(v, mask=np.isnan(v)) for v in around]], names=[f.name for f in schema])
 
     return sent.groupBy(*keys, "basin", "_tr", "_tc").applyInArrow(shift, schema)
@@ -339,6 +381,18 @@ def watershed(pointer: DataFrame, outlets: DataFrame, key: str = "clave", tile:
     return _unpacked(labelled.unionByName(onward), F.col("label").alias(key))
 
 
+def with_slope(near: DataFrame, cell_size: float) -> DataFrame:
+    """Adds the slope ``_s`` in degrees to pixels with neighbours n0..n3 (up, down, left, right) and the window _r0.._c1 they lie in."""
+    def gradient(at: str, first: str, last: str, before: str, after: str) -> Column:
+        here, b, a = F.col("z"), F.col(before), F.col(after)
+        return (F.when(F.col(at) == F.col(first), a - here).when(F.col(at) == F.col(last), here - b)
+                .otherwise((a - b) / 2)) / cell_size
+
+    gy = gradient("row", "_r0", "_r1", "n0", "n1")
+    gx = gradient("col", "_c0", "_c1", "n2", "n3")
+    return near.withColumn("_s", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
+
+
 def basin_attributes(labelled: DataFrame, cell_area_km2: float, key: str = "clave",
                      cell_size: float = 1.0) -> DataFrame:
     """(key, celdas, area_km2, elevacion_media, pendiente_media) of labelled pixels with z.
@@ -348,19 +402,11 @@ def basin_attributes(labelled: DataFrame, cell_area_km2: float, key: str = "clav
     belongs to another basin. ``cell_size`` is the spacing in units of z.
     """
     inside = labelled.where(F.col(key).isNotNull())
-    cross = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-    near = _around(inside, "z", (key,), cross)
+    near = _around(inside, "z", (key,), CROSS)
     edge = inside.groupBy(key, "basin").agg(
         F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"))
 
-    def gradient(at: str, first: str, last: str, before: str, after: str) -> Column:
-        here, b, a = F.col("z"), F.col(before), F.col(after)
-        return (F.when(F.col(at) == F.col(first), a - here).when(F.col(at) == F.col(last), here - b)
-                .otherwise((a - b) / 2)) / cell_size
-
-    gy = gradient("row", "_r0", "_r1", "n0", "n1")
-    gx = gradient("col", "_c0", "_c1", "n2", "n3")
-    slopes = join_small(near, edge, [key, "basin"]).withColumn("_s", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
+    slopes = with_slope(join_small(near, edge, [key, "basin"]), cell_size)
     return slopes.groupBy(key).agg(
         F.count("*").alias("celdas"), (F.count("*") * cell_area_km2).alias("area_km2"),
         F.avg("z").alias("elevacion_media"), F.avg("_s").alias("pendiente_media"))

@@ -1,4 +1,7 @@
-"""Boxes, polygons and positions. Rings are ARRAY<STRUCT<x DOUBLE, y DOUBLE>>."""
+"""Boxes, polygons and positions. Rings are ARRAY<STRUCT<x DOUBLE, y DOUBLE>>.
+
+A polygon has one ``ring``, or ``rings`` with holes and parts (see ``functions.geo``).
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import lcc_ring, lcc_xy, ring_area, ring_box, within_ring
+from ..functions.geo import lcc_lonlat, lcc_ring, lcc_shape, lcc_xy, moved_box, ring_area, ring_box, shape_area, shape_box, within_ring, within_shape
 
 
 def bbox_from_latlon(df: DataFrame, margin_deg: float = 0.15, by: tuple[str, ...] = (),
@@ -46,7 +49,7 @@ def _cell_size(level) -> Column:
 
 def _covering(basins: DataFrame) -> DataFrame:
     """Each polygon on the cells of its own level, chosen so that at most 4 by 4 cover its box."""
-    boxed = basins.withColumn("_box", ring_box(F.col("ring")))
+    boxed = basins.withColumn("_box", shape_box(F.col("rings")) if "rings" in basins.columns else ring_box(F.col("ring")))
     extent = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"), F.lit(1e-6))
     level = F.greatest(F.least(F.floor(F.log2(1080.0 / extent)), F.lit(_FINEST)), F.lit(0)).cast("int")
     sized = boxed.withColumn("_level", level)
@@ -68,7 +71,8 @@ def assign_basin(stations: DataFrame, basins: DataFrame, basin_cols=("region_hid
     polygons. Positions are matched once, however many stations share them.
     """
     cols = [c for c in basin_cols if c in basins.columns]
-    shapes = _covering(basins.select(*[F.col(c).alias(f"_b_{c}") for c in cols], "ring"))
+    form = "rings" if "rings" in basins.columns else "ring"
+    shapes = _covering(basins.select(*[F.col(c).alias(f"_b_{c}") for c in cols], form))
     levels = shapes.agg(F.collect_set("_level")).scalar()   # at most 21 numbers
     places = (stations.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
               .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).distinct())
@@ -79,7 +83,7 @@ def assign_basin(stations: DataFrame, basins: DataFrame, basin_cols=("region_hid
     hits = (keyed.join(shapes, ["_level", "_cx", "_cy"])
             .where(x.between(F.col("_box.min_x"), F.col("_box.max_x"))
                    & y.between(F.col("_box.min_y"), F.col("_box.max_y")))
-            .where(within_ring(x, y, F.col("ring")))
+            .where(within_shape(x, y, F.col("rings")) if form == "rings" else within_ring(x, y, F.col("ring")))
             .select("_x", "_y", *[f"_b_{c}" for c in cols]))
     kept = stations.select(*[c for c in stations.columns if c not in cols])
     return (kept.join(hits, (kept[lon] == hits["_x"]) & (kept[lat] == hits["_y"]), "left").drop("_x", "_y")
@@ -92,8 +96,30 @@ def reproject(df: DataFrame, lat: str = "latitud", lon: str = "longitud") -> Dat
     return df.withColumns({"x_m": x, "y_m": y})
 
 
+def to_geographic(df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
+    """Degrees ``latitud``, ``longitud`` of points in metric coordinates."""
+    lon, lat = lcc_lonlat(F.col(x), F.col(y))
+    return df.withColumns({"longitud": lon, "latitud": lat})
+
+
+_DEGREES, _METRES = ("min_lon", "min_lat", "max_lon", "max_lat"), ("min_x", "min_y", "max_x", "max_y")
+
+
+def metric_bounds(boxes: DataFrame) -> DataFrame:
+    """Adds min_x, min_y, max_x, max_y in metres to boxes in degrees."""
+    return boxes.withColumn("_m", moved_box(*map(F.col, _DEGREES), lcc_xy)).select(*boxes.columns, "_m.*")
+
+
+def geographic_bounds(boxes: DataFrame) -> DataFrame:
+    """Adds min_lon, min_lat, max_lon, max_lat to boxes in metres."""
+    moved = boxes.withColumn("_m", moved_box(*map(F.col, _METRES), lcc_lonlat))
+    return moved.select(*boxes.columns, *[F.col(f"_m.{a}").alias(b) for a, b in zip(_METRES, _DEGREES, strict=True)])
+
+
 def with_area(basins: DataFrame, geographic: bool = True) -> DataFrame:
     """Polygon area in square kilometres; geographic rings are projected first."""
+    if "rings" in basins.columns:
+        return basins.withColumn("area_km2", shape_area(lcc_shape(F.col("rings")) if geographic else F.col("rings")) / 1e6)
     ring = lcc_ring(F.col("ring")) if geographic else F.col("ring")
     return basins.withColumn("area_km2", ring_area(ring) / 1e6)
 

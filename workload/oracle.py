@@ -9,6 +9,8 @@ import math
 
 from gaugeline.constants import PILOT_BASINS
 
+from .views import GRID, METRIC_BOXES, METRIC_GRID, PLOT, SHAPE
+
 DAYS = "CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE)"
 
 
@@ -242,6 +244,100 @@ X, Y = _lcc("longitud", "latitud")
 VX, VY = _lcc("x", "y")
 
 
+def _lonlat(x: str, y: str) -> tuple[str, str]:
+    """The inverse of ``_lcc``, latitude by seven nested steps."""
+    f = 1 / 298.257222101
+    e = math.sqrt(f * (2 - f))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e * e * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p0, p1, p2 = map(math.radians, (12.0, 17.5, 29.5))
+    n = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
+    big = 6378137.0 * m(p1) / (n * t(p1) ** n)
+    dx, dy = f"({x} - 2500000.0)", f"({big * t(p0) ** n!r} - {y})"
+    ts = f"POW(SQRT({dx} * {dx} + {dy} * {dy}) / {big!r}, {1 / n!r})"
+    lat = (f"DEGREES(list_reduce([PI() / 2 - 2 * ATAN({ts}), 1, 2, 3, 4, 5, 6, 7], lambda p, i: "
+           f"PI() / 2 - 2 * ATAN({ts} * POW((1 - {e!r} * SIN(p)) / (1 + {e!r} * SIN(p)), {e / 2!r}))))")
+    return f"(-102.0 + DEGREES(ATAN2({dx}, {dy})) / {n!r})", lat
+
+
+def _edge_points(src: str, a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> str:
+    """Points of the edges of a box: corners and 21 between them."""
+    return (f"SELECT *, unnest([{{'x': {a} + f * ({c} - {a}), 'y': {b}}}, {{'x': {a} + f * ({c} - {a}), 'y': {d}}}, {{'x': {a}, 'y': {b} + f * ({d} - {b})}}, "
+            f"{{'x': {c}, 'y': {b} + f * ({d} - {b})}}]) AS v FROM (SELECT *, unnest(range(23)) / 22.0::DOUBLE AS f FROM {src})")
+
+
+def _vertices(rings) -> str:
+    return ", ".join(f"({r}, {k}, {dx}::DOUBLE, {dy}::DOUBLE)" for r, ring in enumerate(rings) for k, (dx, dy) in enumerate(ring))
+
+
+def _area_of_rings() -> str:
+    """Shoelace sum of each ring about its first vertex; the hole counts negative."""
+    return f""", v AS (SELECT s_name, r, k, x0 + dx AS x, y0 + dy AS y FROM boxes0 CROSS JOIN (VALUES {_vertices(SHAPE)}) t(r, k, dx, dy)),
+        m AS (SELECT s_name, r, k, {VX} AS e, {VY} AS n FROM v),
+        w AS (SELECT s_name, r, e, n, LEAD(e) OVER o AS e2, LEAD(n) OVER o AS n2, FIRST_VALUE(e) OVER o AS e0, FIRST_VALUE(n) OVER o AS n0
+              FROM m WINDOW o AS (PARTITION BY s_name, r ORDER BY k)),
+        a AS (SELECT s_name, r, ABS(SUM((e - e0) * (COALESCE(n2, n0) - n0) - (COALESCE(e2, e0) - e0) * (n - n0))) / 2 / 1e6 AS a FROM w GROUP BY 1, 2)"""
+
+
+def _zonal() -> str:
+    """Every pixel against every polygon: inside where an odd number of edges crosses its row to its left."""
+    w, n, c = GRID
+    return f""", o AS (SELECT 'S' || LPAD(CAST(s_suppkey AS VARCHAR), 6, '0') AS clave, -100.4893::DOUBLE + ((s_suppkey * 7) % 30) * 0.03::DOUBLE AS x0,
+          19.9887::DOUBLE - ((s_suppkey * 11) % 40) * 0.03::DOUBLE AS y0 FROM supplier),
+        v AS (SELECT clave, r, k, x0 + dx AS x, y0 + dy AS y FROM o CROSS JOIN (VALUES {_vertices(PLOT)}) t(r, k, dx, dy)),
+        g AS (SELECT *, COALESCE(LEAD(x) OVER s, FIRST_VALUE(x) OVER s) AS x2, COALESCE(LEAD(y) OVER s, FIRST_VALUE(y) OVER s) AS y2 FROM v
+              WINDOW s AS (PARTITION BY clave, r ORDER BY k)),
+        lab AS (SELECT clave, basin, "row", col, z FROM (SELECT *, {n}::DOUBLE - ("row" + 0.5::DOUBLE) * {c}::DOUBLE AS yc, {w}::DOUBLE + (col + 0.5::DOUBLE) * {c}::DOUBLE AS xc FROM px)
+              JOIN g ON (y <= yc) <> (y2 <= yc) AND x + (yc - y) / (y2 - y) * (x2 - x) <= xc GROUP BY ALL HAVING COUNT(*) % 2 = 1),
+        ext AS (SELECT MIN("row") AS t, MAX("row") AS b, MIN(col) AS l, MAX(col) AS r FROM px),
+        sz AS (SELECT * FROM lab),
+        e AS (SELECT clave, 'A' AS basin, GREATEST(FLOOR(({n}::DOUBLE - MAX(y)) / {c}::DOUBLE), ANY_VALUE(t)) AS r0, LEAST(CEIL(({n}::DOUBLE - MIN(y)) / {c}::DOUBLE) - 1, ANY_VALUE(b)) AS r1,
+              GREATEST(FLOOR((MIN(x) - {w}::DOUBLE) / {c}::DOUBLE), ANY_VALUE(l)) AS c0, LEAST(CEIL((MAX(x) - {w}::DOUBLE) / {c}::DOUBLE) - 1, ANY_VALUE(ext.r)) AS c1 FROM v, ext GROUP BY clave),
+        st AS (SELECT clave, COUNT(z) AS celdas, AVG(z) AS zm, AVG(gr) AS gm FROM (
+              SELECT s.clave, NULL AS z, DEGREES(ATAN(SQRT(POW((d.z - s.z) / 2, 2) + POW((r.z - l.z) / 2, 2)))) AS gr FROM sz s
+              {_nb('d', 2, 0)} {_nb('l', 1, -1)} {_nb('r', 1, 1)} {_nb('h', 1, 0)} WHERE h.z IS NULL AND d.z IS NOT NULL AND l.z IS NOT NULL AND r.z IS NOT NULL
+              UNION ALL
+              SELECT s.clave, s.z, DEGREES(ATAN(SQRT(POW({_GRAD_Y}, 2) + POW({_GRAD_X}, 2)))) AS gr FROM sz s JOIN e USING (clave, basin)
+              {_nb('u', -1, 0)} {_nb('d', 1, 0)} {_nb('l', 0, -1)} {_nb('r', 0, 1)}) GROUP BY 1),
+        m AS (SELECT clave, r, k, {VX} AS e, {VY} AS n FROM v),
+        w AS (SELECT clave, r, e, n, LEAD(e) OVER o AS e2, LEAD(n) OVER o AS n2, FIRST_VALUE(e) OVER o AS e0, FIRST_VALUE(n) OVER o AS n0
+              FROM m WINDOW o AS (PARTITION BY clave, r ORDER BY k)),
+        a AS (SELECT clave, SUM(CASE WHEN r = 1 THEN -a ELSE a END) AS a FROM (SELECT clave, r,
+              ABS(SUM((e - e0) * (COALESCE(n2, n0) - n0) - (COALESCE(e2, e0) - e0) * (n - n0))) / 2 / 1e6 AS a FROM w GROUP BY 1, 2) GROUP BY 1)
+        SELECT clave, COALESCE(celdas, 0) AS celdas, ROUND(a, 6) AS area_km2, ROUND(zm, 6) AS elevacion_media, ROUND(gm, 6) AS pendiente_media FROM a LEFT JOIN st USING (clave)"""
+
+
+def _clip_projected() -> str:
+    w, n, c = METRIC_GRID
+    boxes = ", ".join(f"('{b}', {', '.join(f'{x}::DOUBLE' for x in v)})" for b, *v in METRIC_BOXES)
+    ex, ny = _lcc("v.x", "v.y")
+    return f""", bx AS (SELECT * FROM (VALUES {boxes}) t(basin, a, b, c, d)), pt AS ({_edge_points('bx')}),
+        bd AS (SELECT basin, MIN({ex}) AS x1, MAX({ex}) AS x2, MIN({ny}) AS y1, MAX({ny}) AS y2 FROM pt GROUP BY 1)
+        SELECT basin, "row", col, ROUND(z, 6) AS z FROM grids JOIN bd USING (basin)
+        WHERE {w}::DOUBLE + (col + 0.5::DOUBLE) * {c}::DOUBLE BETWEEN x1 AND x2 AND {n}::DOUBLE - ("row" + 0.5::DOUBLE) * {c}::DOUBLE BETWEEN y1 AND y2"""
+
+
+def _tiles_projected() -> str:
+    lon, lat = _lonlat("v.x", "v.y")
+    return f""", mt AS (SELECT s_name, 1200000.0::DOUBLE + (s_suppkey * 53 % 325) * 9000.0::DOUBLE AS a, 400000.0::DOUBLE + (s_suppkey * 37 % 190) * 9000.0::DOUBLE AS b FROM supplier),
+        mb AS (SELECT *, a + 150000 AS c, b + 150000 AS d FROM mt), pt AS ({_edge_points('mb')}),
+        gb AS (SELECT s_name, MIN({lon}) AS x1, MAX({lon}) AS x2, MIN({lat}) AS y1, MAX({lat}) AS y2 FROM pt GROUP BY 1)
+        SELECT s_name AS tile, estado AS cuenca FROM gb JOIN estado_boxes ON NOT (x2 < a1 OR x1 > a2 OR y2 < b1 OR y1 > b2)"""
+
+
+def _mosaic_aligned() -> str:
+    """From the target: each cell's centre is looked up in every tile."""
+    return """, fr AS (SELECT DISTINCT 'tile_' || CAST(l_linenumber AS VARCHAR) AS path, -100.5::DOUBLE + (l_linenumber - 1) * 0.0413::DOUBLE AS west,
+          20.0::DOUBLE + (l_linenumber - 1) * 0.0277::DOUBLE AS north, 0.03::DOUBLE * (1 + (l_linenumber % 3) * 0.5::DOUBLE) AS cell FROM lineitem),
+        tg AS (SELECT MIN(west) AS w, MAX(north) AS n, ARG_MIN(cell, path) AS c FROM fr),
+        size AS (SELECT path, MAX("row") + 1 AS h, MAX(col) + 1 AS v FROM tiles GROUP BY 1),
+        cells AS (SELECT path, west, north, cell, w, n, c, r, unnest(range(CAST(FLOOR((west - w) / c) AS BIGINT) - 1, CAST(CEIL((west - w + v * cell) / c) AS BIGINT) + 1)) AS k
+          FROM (SELECT *, unnest(range(CAST(FLOOR((n - north) / c) AS BIGINT) - 1, CAST(CEIL((n - north + h * cell) / c) AS BIGINT) + 1)) AS r FROM fr JOIN size USING (path), tg)),
+        spots AS (SELECT path, r, k, FLOOR((north - (n - (r + 0.5::DOUBLE) * c)) / cell) AS sr, FLOOR((w + (k + 0.5::DOUBLE) * c - west) / cell) AS sc FROM cells)
+        SELECT t.basin, CAST(r AS INTEGER) AS "row", CAST(k AS INTEGER) AS col, ROUND(ARG_MIN(z, spots.path), 6) AS z
+        FROM spots JOIN tiles t ON t.path = spots.path AND t."row" = sr AND t.col = sc GROUP BY ALL"""
+
+
 def _resample(scale: float) -> str:
     """Weights per axis from the definition, target by target."""
     if scale >= 1:
@@ -549,6 +645,17 @@ ORACLE = {
               FROM m WINDOW o AS (PARTITION BY s_name ORDER BY k))
         SELECT s_name AS cuenca, ROUND(ABS(SUM((e - e0) * (COALESCE(n2, n0) - n0) - (COALESCE(e2, e0) - e0) * (n - n0))) / 2 / 1e6, 4) AS area_km2
         FROM w GROUP BY 1"""),
+    "assign_basin_multi": q("catalog boxes0", """SELECT c.clave, CAST(p.s_nationkey AS VARCHAR) AS region_hidrologica, p.s_name AS cuenca FROM catalog c LEFT JOIN boxes0 p
+        ON (longitud > x0 AND longitud < x0 + 2 AND latitud > y0 AND latitud < y0 + 2
+            AND (NOT (longitud > x0 + 0.5 AND longitud < x0 + 1.5 AND latitud > y0 + 0.5 AND latitud < y0 + 1.5)
+                 OR (longitud > x0 + 0.8 AND longitud < x0 + 1.2 AND latitud > y0 + 0.8 AND latitud < y0 + 1.2)))
+        OR (longitud > x0 + 2.5 AND longitud < x0 + 3.2 AND latitud > y0 AND latitud < y0 + 0.6 AND (latitud - y0) * 0.7 < (longitud - x0 - 2.5) * 0.6)"""),
+    "polygon_area_multi": q("boxes0", f"""{_area_of_rings()} SELECT s_name AS cuenca, ROUND(SUM(CASE WHEN r = 1 THEN -a ELSE a END), 4) AS area_km2 FROM a GROUP BY 1"""),
+    "zonal_by_polygon": q("px", _zonal()),
+    "inverse_lcc": q("catalog", f"SELECT clave, {r6('latitud', 'longitud')} FROM catalog"),
+    "tiles_projected": q("catalog estado_boxes", _tiles_projected()),
+    "mosaic_aligned": q("tiles", _mosaic_aligned()),
+    "clip_projected": q("px grids", _clip_projected()),
     "tiles_for_boxes": q("catalog boxes0 estado_boxes", """SELECT s_name AS tile, estado AS cuenca FROM boxes0 JOIN estado_boxes
         ON NOT (x0 + 2 < a1 OR x0 > a2 OR y0 + 2 < b1 OR y0 > b2)"""),
     "basin_slug": "SELECT s_name AS cuenca, REPLACE(REPLACE(LOWER(s_name), ' ', '_'), '-', '_') AS archivo FROM supplier",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gaugeline.constants import DAY, PILOT_BASINS, STATION
 from gaugeline.functions.dates import mixed_date
 from gaugeline.functions.text import slug
-from gaugeline.operators import calendar, climate, features, flats, gaps, neighbours, quality, quantiles, raster, report, spatial
+from gaugeline.operators import calendar, climate, features, flats, gaps, neighbours, quality, quantiles, raster, report, spatial, zonal
 from gaugeline.plans import selection
 from gaugeline.plans.canonical import build_canonical
 from gaugeline.plans.feature_table import build_features, build_tensors
@@ -232,6 +232,9 @@ QUERIES = {
     "bbox_by_region": lambda s, d: spatial.bbox_from_latlon(V.catalog(s, d), 0.1, ("region_hidrologica",)),
     "bbox_filter": lambda s, d: spatial.in_named_boxes(V.catalog(s, d), list(PILOT_BASINS)).select("clave", "cuenca"),
     "assign_basin": lambda s, d: spatial.assign_basin(V.catalog(s, d), V.polygons(s, d)).select("clave", "region_hidrologica", "cuenca"),
+    "assign_basin_multi": lambda s, d: spatial.assign_basin(V.catalog(s, d), V.shapes(s, d)).select("clave", "region_hidrologica", "cuenca"),
+    "polygon_area_multi": lambda s, d: spatial.with_area(V.shapes(s, d)).select("cuenca", F.round("area_km2", 4).alias("area_km2")),
+    "zonal_by_polygon": lambda s, d: zonal.zonal_by_polygon(V.pixels(s, d), V.plots(s, d), zonal.Grid(*V.GRID)),
     "reproject_lcc": lambda s, d: spatial.reproject(V.catalog(s, d)).select(
         "clave", F.round("x_m", 3).alias("x_m"), F.round("y_m", 3).alias("y_m")),
     "polygon_area": lambda s, d: spatial.with_area(V.polygons(s, d)).select("cuenca", F.round("area_km2", 4).alias("area_km2")),
@@ -241,7 +244,13 @@ QUERIES = {
         spatial.bbox_from_latlon(V.catalog(s, d), 0.0, ("estado",)).withColumnRenamed("estado", "cuenca")),
     "basin_slug": lambda s, d: V.polygons(s, d).select("cuenca", slug(F.col("cuenca")).alias("archivo")),
     "pour_points": lambda s, d: spatial.pour_points(V.catalog(s, d), -118.5, 33.0, 0.03),
+    "inverse_lcc": lambda s, d: spatial.to_geographic(spatial.reproject(V.catalog(s, d)).select("clave", "x_m", "y_m")).select("clave", "latitud", "longitud"),
+    "tiles_projected": lambda s, d: spatial.tiles_for_boxes(
+        spatial.geographic_bounds(V.metric_tiles(s, d)), spatial.bbox_from_latlon(V.catalog(s, d), 0.0, ("estado",)).withColumnRenamed("estado", "cuenca")),
     # grids
+    "mosaic_aligned": lambda s, d: raster.mosaic_aligned(V.tiles(s, d), V.frames(s, d)),
+    "clip_projected": lambda s, d: raster.clip_to_boxes(
+        V.two_grids(s, d), s.createDataFrame(V.METRIC_BOXES, "basin string, min_lon double, min_lat double, max_lon double, max_lat double"), *V.METRIC_GRID),
     "raster_mosaic": lambda s, d: raster.mosaic(V.tiles(s, d)),
     "raster_clip": lambda s, d: raster.clip(V.pixels(s, d), (-100.3, 19.6, -99.6, 19.95), -100.5, 20.0, 0.03),
     "raster_coarser": lambda s, d: raster.resample(V.two_grids(s, d), 2.0),

@@ -155,6 +155,52 @@ def polygons(spark, sf_dir) -> DataFrame:
                     F.when(k % 2 == 0, square).otherwise(ell).alias("ring")))
 
 
+# Rings of the multi-ring polygons, as offsets in degrees: a square with a hole and an island in it, and a part of its own.
+SHAPE = (((0., 0.), (2., 0.), (2., 2.), (0., 2.)), ((.5, .5), (.5, 1.5), (1.5, 1.5), (1.5, .5)), ((.8, .8), (1.2, .8), (1.2, 1.2), (.8, 1.2)),
+         ((2.5, 0.), (3.2, 0.), (3.2, .6)))
+# Of the polygons on the grid: a rhombus with a hole, and a triangle beside it.
+PLOT = (((0., -.15), (.21, 0.), (.42, -.15), (.21, -.33)), ((.15, -.12), (.27, -.12), (.27, -.21), (.15, -.21)), ((.5, 0.), (.62, -.02), (.55, -.2)))
+GRID = (-100.5, 20.0, 0.03)
+
+
+def _rings(offsets, x0: str, y0: str):
+    return F.array(*[F.array(*[F.struct((F.col(x0) + dx).alias("x"), (F.col(y0) + dy).alias("y")) for dx, dy in ring]) for ring in offsets])
+
+
+def shapes(spark, sf_dir) -> DataFrame:
+    """A polygon of four rings per supplier."""
+    k = F.col("s_suppkey")
+    return (table(spark, sf_dir, "supplier").withColumns({"x0": -118.5 + ((k * 53) % 325) / 10.0 - 0.95, "y0": 14 + ((k * 37) % 190) / 10.0 - 0.95})
+            .select(F.col("s_nationkey").cast("string").alias("region_hidrologica"), F.col("s_name").alias("cuenca"), _rings(SHAPE, "x0", "y0").alias("rings")))
+
+
+def plots(spark, sf_dir) -> DataFrame:
+    """A polygon of three rings per supplier on the grid of parts."""
+    k = F.col("s_suppkey")
+    return (table(spark, sf_dir, "supplier").withColumns({"x0": -100.4893 + ((k * 7) % 30) * 0.03, "y0": 19.9887 - ((k * 11) % 40) * 0.03})
+            .select(F.format_string("S%06d", "s_suppkey").alias("clave"), F.lit("A").alias("basin"), _rings(PLOT, "x0", "y0").alias("rings")))
+
+
+def frames(spark, sf_dir) -> DataFrame:
+    """Origin and cell of the seven tiles, all different."""
+    k = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_linenumber").distinct().select(
+        F.concat(F.lit("tile_"), k.cast("string")).alias("path"), F.lit("A").alias("basin"), (-100.5 + (k - 1) * 0.0413).alias("west"),
+        (20.0 + (k - 1) * 0.0277).alias("north"), (0.03 * (1 + (k % 3) * 0.5)).alias("cell"))
+
+
+def metric_tiles(spark, sf_dir) -> DataFrame:
+    """A box of 150 km per supplier, in metres."""
+    k = F.col("s_suppkey")
+    low_x, low_y = 1_200_000.0 + (k * 53 % 325) * 9000.0, 400_000.0 + (k * 37 % 190) * 9000.0
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("tile"), low_x.alias("min_x"), low_y.alias("min_y"),
+                                                   (low_x + 150_000.0).alias("max_x"), (low_y + 150_000.0).alias("max_y"))
+
+
+METRIC_GRID = (2_650_000.0, 880_000.0, 3000.0)
+METRIC_BOXES = (("A", -100.2, 19.2, -99.7, 19.8), ("B", -100.6, 19.1, -100.47, 19.9))
+
+
 def raw_lines(spark, sf_dir) -> DataFrame:
     """Flow series written back as station files: metadata, header, one line per calendar day."""
     days = to_daily(hydro(spark, sf_dir), unique=True)
