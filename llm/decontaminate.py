@@ -22,6 +22,7 @@ from __future__ import annotations
 import pickle
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, utf8
-from .substring_dedup import _WordHash, gram_hashes
+from .substring_dedup import _WordHash, gram_hashes, word_hashes
 
 WORD = re.compile(r"\w+")
 BLOCK_WORDS = 200_000     # words of test items in one block
 MATCH, MISMATCH, GAP = 2, -1, -1
 _MEMO = 20_000
+_AREAS = 4096             # areas looked at together
 
 
 @dataclass(frozen=True)
@@ -59,11 +61,6 @@ def normal_words(text: bytes) -> list[bytes]:
     return [w if isinstance(w, bytes) else w.encode() for w in _words(text)]
 
 
-def hashed_words(text: bytes, known: _WordHash) -> np.ndarray:
-    words = _words(text)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(score, last word in the item, last word in the passage) of the best local alignment.
 
@@ -98,6 +95,14 @@ class Items:
         self.rules = rules
         self.words = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
         self.known, self.sizes = [np.unique(w) for w in self.words], np.array([len(w) for w in self.words])
+        # words of documents that are in no item are all alike: nothing they take part in can match
+        self.hash_of: dict[bytes | str, int] = {}
+        for r, words in zip(rows, self.words, strict=True):
+            self.hash_of |= zip(r["spelled"], words.tolist(), strict=True)
+        self.hash_of |= {w.encode(): h for w, h in self.hash_of.items()}
+        # words of all items, and the pairs (item, word) as one ascending number each
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.pairs = np.concatenate([k * len(self.vocabulary) + np.searchsorted(self.vocabulary, w) for k, w in enumerate(self.known)])
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[int, int, int]]] = {}
         for k, r in enumerate(rows):
@@ -107,6 +112,10 @@ class Items:
             found.sort()
             self.seeds[size] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
+    def encode(self, text: bytes) -> np.ndarray:
+        words = _words(text)
+        return np.fromiter(map(self.hash_of.get, words, repeat(0)), np.uint64, len(words))
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and the places where they would begin, ascending."""
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -126,6 +135,24 @@ class Items:
         order = np.lexsort((places, items))
         return items[order], places[order]
 
+    def enough(self, words: np.ndarray, items: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Areas that hold as many of their item's words as an alignment needs: other words only cost."""
+        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = self.vocabulary[place] == words
+        total = np.concatenate([[0], np.cumsum(known)])
+        need = self.rules.least * self.sizes[items]
+        fit = np.flatnonzero(total[end] - total[first] >= need)
+        kept = []
+        for i in range(0, len(fit), _AREAS):
+            part = fit[i:i + _AREAS]
+            sizes = end[part] - first[part]
+            starts = np.cumsum(sizes) - sizes
+            at = np.repeat(first[part] - starts, sizes) + np.arange(sizes.sum())
+            keys = np.repeat(items[part], sizes) * len(self.vocabulary) + place[at]
+            shared = known[at] & (self.pairs[np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)] == keys)
+            kept.append(part[np.add.reduceat(shared.astype(np.int64), starts) >= need[part]])
+        return np.concatenate([*kept, np.empty(0, np.int64)]).astype(np.int64)
+
     def bound(self, item: int, passage: np.ndarray) -> int:
         """No alignment scores more: each word of an aligned span, on either side, costs or gains its own part at most."""
         def most(words: np.ndarray, known: np.ndarray) -> int:
@@ -150,7 +177,9 @@ class Items:
         # overlapping places of one item are one area
         starts = np.flatnonzero(np.concatenate([[True], (items[1:] != items[:-1]) | (first[1:] > end[:-1])]))
         stops = np.append(starts[1:], len(items)) - 1
-        for item, a, b in zip(items[starts].tolist(), first[starts].tolist(), end[stops].tolist(), strict=True):
+        items, first, end = items[starts], first[starts], end[stops]
+        some = self.enough(words, items, first, end)
+        for item, a, b in zip(items[some].tolist(), first[some].tolist(), end[some].tolist(), strict=True):
             if self.bound(item, words[a:b]) < self.rules.least * MATCH * len(self.words[item]):
                 continue
             key = (item, words[a:b].tobytes())
@@ -165,18 +194,19 @@ class Items:
 
 
 def item_table(items: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
-    """(no, item_id, words, seeds): hashed words of each item that has any, and its seeds (size, gram, at)."""
-    @F.arrow_udf("struct<words: array<long>, grams: array<struct<size: int, stride: int, at: int, gram: long>>>")
+    """(no, item_id, spelled, words, seeds): words of each item that has any, as text and hashed, and its seeds (size, gram, at)."""
+    @F.arrow_udf("struct<spelled: array<string>, words: array<long>, grams: array<struct<size: int, stride: int, at: int, gram: long>>>")
     def run(texts: pa.Array) -> pa.Array:
         known, out = _WordHash(), []
         for t in texts:
-            words, grams = hashed_words(t.as_py(), known), []
+            spelled, grams = normal_words(t.as_py()), []
+            words = word_hashes(spelled, known)
             sizes = rules.sizes if len(words) > rules.whole_words else ((len(words), 1),) if len(words) else ()
             for size, stride in sizes:
                 grams += [{"size": size, "stride": stride, "at": k, "gram": g} for k, g in enumerate(gram_hashes(words, size).view(np.int64).tolist())]
-            out.append({"words": words.view(np.int64), "grams": grams})
+            out.append({"spelled": [w.decode() for w in spelled], "words": words.view(np.int64), "grams": grams})
         gram = pa.struct([("size", pa.int32()), ("stride", pa.int32()), ("at", pa.int32()), ("gram", pa.int64())])
-        return pa.array(out, type=pa.struct([("words", pa.list_(pa.int64())), ("grams", pa.list_(gram))]))
+        return pa.array(out, type=pa.struct([("spelled", pa.list_(pa.string())), ("words", pa.list_(pa.int64())), ("grams", pa.list_(gram))]))
 
     rows = stored(items.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).alias("item_id"), run(utf8(text_col)).alias("r"))
                   .select("no", "item_id", "r.*").where(F.size("words") > 0), "items")
@@ -189,7 +219,7 @@ def item_table(items: DataFrame, rules: Rules, id_col: str, text_col: str) -> Da
                    "g -> struct(g.items AS items, g.at AS at, g.gram AS gram))))")
     seeds = (listed.select("no", "size", F.explode(F.array_distinct(start)).alias("s"))
              .groupBy("no").agg(F.collect_list(F.struct("size", "s.gram", "s.at")).alias("seeds")))
-    return stored(rows.join(seeds, "no").select("no", "item_id", "words", "seeds"), "item-seeds")
+    return stored(rows.join(seeds, "no").select("no", "item_id", "spelled", "words", "seeds"), "item-seeds")
 
 
 def _blocks(items: DataFrame, rules: Rules) -> list[tuple[list, Items]]:
@@ -213,8 +243,8 @@ def _matches(docs: DataFrame, index: Items, text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(pickle.loads(sent.value))
-        known, memo = _WordHash(), {}
-        return pa.array([held[0].matches(hashed_words(t.as_py(), known), memo) for t in texts], type=_MATCHES)
+        memo: dict = {}
+        return pa.array([held[0].matches(held[0].encode(t.as_py()), memo) for t in texts], type=_MATCHES)
 
     return run(text)
 
