@@ -34,7 +34,7 @@ GROUP_IDS = 1 << 19        # a group ends with the document that reaches this
 DICTIONARY = 1 << 16
 END_ID = 1
 _DENSE = 1 << 22
-_CACHE_BYTES = 24_000_000    # of pieces and ids in each of two generations
+CACHE_BYTES = 24_000_000     # of pieces and ids that a worker keeps, in each of two generations
 _ENTRY = 200                  # bytes of an entry besides its text and ids
 # Letters, a contraction, a digit, or marks: where this family of tokenizers cuts lower-cased text.
 _PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
@@ -60,7 +60,7 @@ class _PieceIds(dict):
         super().__init__()
         self.tokenizer, self.model, self.normal, self.letters = tokenizer, tokenizer.model, tokenizer.normalizer, _byte_letters()
         self.older: dict[bytes, bytes] = {}
-        self.room = _CACHE_BYTES
+        self.limit = self.room = CACHE_BYTES
 
     def __missing__(self, piece: bytes) -> bytes:
         value = self.older.get(piece)
@@ -69,7 +69,7 @@ class _PieceIds(dict):
             ids = [t.id for t in self.model.tokenize(piece.decode())] if piece.isalpha() and piece.islower() else self.encode(piece.decode(errors="replace"))
             value = array("I", ids).tobytes()
         if self.room <= 0:
-            self.older, self.room = dict(self), _CACHE_BYTES
+            self.older, self.room = dict(self), self.limit
             self.clear()
         self.room -= _ENTRY + len(piece) + len(value)
         self[piece] = value
@@ -98,7 +98,7 @@ class Encoder:
     characters than ASCII and letters, or with a special token, are cut at white space only.
     """
 
-    def __init__(self, spec: str, by_word: bool, end_id: int = END_ID):
+    def __init__(self, spec: str, by_word: bool, end_id: int = END_ID, cache_bytes: int = CACHE_BYTES):
         import tokenizers
 
         self.specials = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
@@ -110,6 +110,7 @@ class Encoder:
         if self.known is None:
             self.known = _PieceIds(tokenizers.Tokenizer.from_str(spec))
             setattr(tokenizers, name, self.known)
+        self.known.limit, self.known.room = cache_bytes, min(self.known.room, cache_bytes) if self.known else cache_bytes
 
     def __call__(self, text: bytes) -> bytes:
         if not self.by_word:
@@ -208,7 +209,8 @@ def _escaped(n: int, words: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text",
+                 cache_bytes: int = CACHE_BYTES) -> None:
     """Encode all texts and write them in ascending order of the id (nulls first, equal ids by text).
 
     Ranges go over (id, text hash), so that even one id with very many rows is spread. Each
@@ -221,7 +223,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, by_word: bool = Fal
     sent = spark.sparkContext.broadcast(_spec(tokenizer))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(sent.value, by_word)
+        encode = Encoder(sent.value, by_word, cache_bytes=cache_bytes)
         pairs = ((i.as_py(), encode(t.as_py())) for batch in batches for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
         done = _write_file(path, TaskContext.get().partitionId(), pairs)
         if done["docs"]:
@@ -321,11 +323,13 @@ def _read_file(file: str, start: int) -> Iterator[pa.RecordBatch]:
             start += int(stop[-1])
 
 
-def token_table(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False) -> DataFrame:
+def token_table(docs: DataFrame, path: str, tokenizer: str, by_word: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Write ``docs`` to ``path`` and read the files back: doc_id, start, n_tokens, ids_crc32.
 
+    ``cache_bytes``, twice, is what each worker keeps of pieces encoded by word: a larger one saves time.
+
     Defined results: null and empty texts are the end id alone; a null id comes first and is
     read back as null; repeated rows are written each; an empty table gives no rows.
     """
-    write_tokens(docs, path, tokenizer, by_word)
+    write_tokens(docs, path, tokenizer, by_word, cache_bytes=cache_bytes)
     return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
