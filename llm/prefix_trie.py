@@ -173,7 +173,8 @@ def beyond(levels: list[DataFrame], kinds: tuple[str, ...], asked: DataFrame, le
     up = asked.select("d", "block", F.expr(f"block div {SPAN}").alias("up"))
     near = _walk(levels[k + 1], up.select(F.col("up").alias("block"), (F.col("block") - F.col("up") * SPAN).alias("at"), "d"), kinds, left)
     near = near.select("d", (F.col("block") * SPAN + F.col("at")).alias("block"), F.col("block").alias("up"), "found", *[f"p{j}" for j in range(len(kinds))])
-    far = beyond(levels, kinds, near.where("found IS NULL").select(F.col("up").alias("block"), "d").distinct(), left, k + 1)
+    near = near.withColumn("up", F.when(F.col("found").isNull(), F.col("up")))     # only what is still open goes further
+    far = beyond(levels, kinds, near.where("up IS NOT NULL").select(F.col("up").alias("block"), "d").distinct(), left, k + 1)
     far = _as(far.withColumnRenamed("block", "up"), "f_", ("up", "d"))
     # a found entry is a block of this level that holds a value below d: its place is searched from the block's edge
     spot = stored(near.join(far, ["up", "d"], "left").select(*keys, F.coalesce("found", "f_found").alias("spot"),

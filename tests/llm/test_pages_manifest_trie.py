@@ -236,6 +236,26 @@ def test_extents(values, rng):
         assert k == next((j for j in range(a, -1, -1) if values[j] < x), -1)
 
 
+def test_beyond_a_block(spark, monkeypatch):
+    """Extents and totals over several levels of blocks, to both sides."""
+    monkeypatch.setattr(prefix_trie, "SPAN", 3)
+    rng = random.Random(1)
+    n = 70
+    low, w = [-1] + [rng.choice([0, 0, 1, 1, 2, 3, 5]) for _ in range(n - 1)], [rng.randrange(5) for _ in range(n)]
+    levels = prefix_trie._levels(prefix_trie._level(spark.createDataFrame([(i, low[i], w[i]) for i in range(n)], "idx long, low long, p0 long"), 1), ("sum",))
+    assert len(levels) == 4
+    asked = [(b, d) for b in range(-(-n // 3)) for d in range(5)]
+    for left in (False, True):
+        got = {(r.block, r.d): (r.found, r.p0) for r in prefix_trie.beyond(levels, ("sum",), spark.createDataFrame(asked, "block long, d long"), left).collect()}
+        for b, d in asked:
+            after = min(n, 3 * b + 3)
+            if left:
+                assert got[b, d][0] == next((j for j in range(3 * b - 1, -1, -1) if low[j] < d), None)
+            else:
+                stop = next((j for j in range(after, n) if low[j] < d), None)
+                assert got[b, d] == (stop, sum(w[after:stop]))
+
+
 def brute_trie(sequences):
     nodes, out = {}, []
     for conv, turns in sequences.items():
