@@ -13,6 +13,7 @@ is one aggregation. Only that table and its factors come to the driver.
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,16 @@ from gaugeline.session import join_small
 from .common import stored
 
 MOST_VALUES = 1000
+MET = 1e-6      # margins that the last round changed by no more are met
 DIMENSIONS = ("source", "lang", "topic")
 # Exponents: a target share is in proportion to tokens to this power; below one it lifts the small.
 TEMPERED = {"source": 0.7, "lang": 0.5, "topic": 0.5}
 
 
+class UnattainableMargins(ValueError):
+    """Targets that the non-empty cells cannot meet."""
+
+
 def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
@@ -142,7 +148,14 @@ def chance(seed: str, id_col: str = "doc_id") -> Column:
 
 def _cells(mixed: DataFrame, targets: dict | None, keep: float) -> DataFrame:
     cells = mixed.groupBy("mix.source", "mix.lang", "mix.topic").agg(F.sum("mix.tokens").alias("tokens"))
-    return calibrate(rake(stored(cells, "mix-cells"), targets)[0], keep).select(F.struct(*DIMENSIONS).alias("cell"), "weight", "probability")
+    raked, residual = rake(stored(cells, "mix-cells"), targets)
+    if residual > MET:
+        # given margins must be met; the tempered ones follow from the data, and are met as nearly as its cells allow
+        missed = f"the cells cannot meet the margins: after the last round one is off by {residual:.3g} of itself"
+        if targets:
+            raise UnattainableMargins(missed)
+        warnings.warn(missed, stacklevel=3)
+    return calibrate(raked, keep).select(F.struct(*DIMENSIONS).alias("cell"), "weight", "probability")
 
 
 def mix(docs: DataFrame, targets: dict | None = None, keep: float = 0.6, seed: str = "mix-1", topic: Column | None = None) -> DataFrame:
@@ -150,7 +163,9 @@ def mix(docs: DataFrame, targets: dict | None = None, keep: float = 0.6, seed: s
 
     Defined results: a null source, language or topic is the empty one; null and empty texts have
     no tokens; cells without tokens, or without a target, have weight and probability zero;
-    equal ids are sampled together; an empty table gives no rows.
+    equal ids are sampled together; an empty table gives no rows. ``targets`` that the non-empty cells
+    cannot meet raise ``UnattainableMargins``; without targets, margins that a sparse table of cells cannot meet
+    are fitted as nearly as they can be, with a warning that names how far one is off.
     """
     slim = stored(docs.select("doc_id", _described(docs, topic).alias("mix")), "mix-documents")
     return (join_small(slim.withColumn("cell", _cell("mix")), _cells(slim, targets, keep), "cell")

@@ -26,6 +26,7 @@ from gaugeline.session import join_small
 
 from .common import BROADCAST_ENTRIES, per_text, stored, utf8
 from .components import components
+from .ranks import ranked
 from .substring_dedup import _mix
 
 # Bits of a position (1 to 31) that stand at each place of a 31-bit word: the code's parity masks.
@@ -266,12 +267,23 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The documents without near duplicates of a smaller ``doc_id``, columns unchanged.
 
-    Repeated rows of one id become one row; rows without an id stay.
+    Repeated rows of equal id and text become one row. Rows of one id with unlike texts are
+    documents of their own, ordered by a hash of the text: each stays unless it is alike one before it.
+    Rows without an id stay. Long texts are compared whole; an empty table gives no rows.
     """
-    gone = duplicates(docs, similarity).withColumnRenamed("id", "doc_id")
-    kept = join_small(docs, gone, "doc_id", "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    named = kept.where("doc_id IS NOT NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    texts = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id IS NOT NULL")
+    unlike = named.groupBy("doc_id").agg(F.min(texts).alias("low"), F.max(texts).alias("high"), F.count("*").alias("n")).where("n > 1")
+    repeated = unlike.agg(F.count("*").alias("ids"), F.count_if(F.col("low") != F.col("high")).alias("unlike")).first()
+    if repeated["unlike"]:
+        # a number of its own for each row, in the order of ids, stands in for the id
+        rows = named.select(F.lit("").alias("all"), F.col("doc_id").alias("first"), texts.alias("second"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        placed = stored(ranked(rows, "all", ["first", "second"]).select("idx", "row"), "numbered")
+        gone = duplicates(placed.select(F.col("idx").alias("doc_id"), "row.text"), similarity)
+        kept = join_small(placed, gone.withColumnRenamed("id", "idx"), "idx", "left_anti").select("row.*")
+    else:
+        gone = duplicates(named, similarity).withColumnRenamed("id", "doc_id")
+        kept = join_small(named, gone, "doc_id", "left_anti")
+        if repeated["ids"]:
+            kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -607,7 +607,33 @@ def test_quality_rules(spark):
     assert all(r.ratio == (len(packer.compress(t.encode())) / len(t.encode()) if t else 0) for r in got for i, t in rows if i == r.doc_id and i in (1, 6, 42))
 
 
-def brute_kept(text, bands):
+def test_keep_one_with_unlike_texts_of_one_id(spark):
+    a, b, c = prose(61, 90), prose(62, 90), prose(63, 90)
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, a), (None, a), (4, None), (5, "")]
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    left = Counter({(1, a): 1, (1, b): 1, (2, c): 1, (None, a): 1})
+    assert {k: v for k, v in kept.items() if k[1]} == left
+    assert sum(v for (i, t), v in kept.items() if not t) <= 2
+    assert simhash.keep_one(frame(spark, rows)).columns == frame(spark).columns
+
+
+def test_margins_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}, "topic": {"t": 1.0}}
+    assert mixing.rake(cells, targets)[1] > 1
+    docs = [(k, "word " * 10) for k in range(20)]
+    tied = frame(spark, docs, ("a", "b"), ("x", "y"))
+    topic = F.lit("t")
+    with pytest.raises(mixing.UnattainableMargins):
+        mixing.mix(tied, targets, topic=topic)
+    with pytest.raises(mixing.UnattainableMargins):
+        mixing.keep_mixed(tied, targets, topic=topic)
+    uneven = frame(spark, [(k, "word " * (10 if k % 2 else 500)) for k in range(20)], ("a", "b"), ("x", "y"))
+    with pytest.warns(UserWarning, match="cannot meet"):
+        mixing.mix(uneven, topic=topic)
+
+
+def brute_verdict(text, bands):
     """The verdict by its definition: the whole text's ratio, then the share of chunks outside."""
     body = (text or "").encode()
     words = body.split()
@@ -628,15 +654,15 @@ def test_compression_decides(spark):
     """Loops and noise that pass the base rules fall to the whole or the chunk rule; texts of the table agree with the definition."""
     rng = random.Random(9)
     table = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    good = next(t for t in sorted(table, key=len, reverse=True) if brute_kept(t, quality_rules.Bands()) and 20_000 < len(t.encode()) < 60_000)
+    good = next(t for t in sorted(table, key=len, reverse=True) if brute_verdict(t, quality_rules.Bands()) and len(t.encode()) < 60_000)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     noise = " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(300))
     loop = " ".join(f"aaaaaaaaaa{i:03d}aaaaaaaaaa" for i in range(400))
-    rows = [(1, noise), (2, loop), (3, good), (4, good + " " + noise * 4), (5, good[:12_000] + " " + " ".join(f"zzzzzzzzzzzz{i}z" for i in range(900)))]
+    rows = [(1, noise), (2, loop), (3, good), (4, good + " " + noise * 4), (5, good[:6000] + " " + " ".join(f"zzzzzzzzzzzz{i}z" for i in range(900)))]
     rows += [(100 + k, t) for k, t in enumerate(table)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
     bands = quality_rules.Bands()
-    assert all(got[i].kept == brute_kept(t, bands) for i, t in rows)
+    assert all(got[i].kept == brute_verdict(t, bands) for i, t in rows)
     assert [got[i].kept for i in (1, 2, 3, 4, 5)] == [False, False, True, False, False]
     assert not got[1].base_failed and not got[2].base_failed and got[5].chunks_outside > bands.chunk_share
     assert any(not r.base_failed and not r.kept for i, r in got.items() if i >= 100)
