@@ -32,6 +32,12 @@ def build_canonical(raw: DataFrame, value_col: str, source: str = "SIH", sentine
     return with_year(with_quality(df))
 
 
+def filled_column(raw: DataFrame, preferred: list[str]) -> str:
+    """The first preferred column with any value, counted in one pass."""
+    filled = raw.agg(*[F.count(c).alias(c) for c in preferred if c in raw.columns]).first().asDict()
+    return pick_column(raw.select(*[c for c, n in filled.items() if n]), preferred)
+
+
 def run(spark: SparkSession, raw_path: str, out_path: str, value_col: str | list[str]) -> str:
     """Raw files to the stored canonical table; of several value columns the first with a value is taken.
 
@@ -39,8 +45,7 @@ def run(spark: SparkSession, raw_path: str, out_path: str, value_col: str | list
     """
     raw = read_series_csv(spark, raw_path)
     if not isinstance(value_col, str):
-        filled = raw.agg(*[F.count(c).alias(c) for c in value_col if c in raw.columns]).first().asDict()
-        value_col = pick_column(raw.select(*[c for c, n in filled.items() if n]), value_col)
+        value_col = filled_column(raw, value_col)
     path = write_parquet(build_canonical(raw, value_col), out_path, ["anio"])
     broken = validate_series(spark.read.parquet(path)).count()
     if broken:

@@ -509,6 +509,7 @@ ORACLE = {
         SELECT c.clave_estacion, CAST(c.fecha AS VARCHAR) AS fecha, ROUND(CASE WHEN f.gasto_medio_m3s IS NULL AND c.gasto_medio_m3s IS NOT NULL AND v IS NOT NULL
           THEN v ELSE c.gasto_medio_m3s END, 6) + 0.0 AS gasto_medio_m3s, fuente, calidad, anio
         FROM canonical c JOIN flow_full f USING (clave_estacion, fecha) LEFT JOIN cubic_f v USING (clave_estacion, fecha)"""),
+    "canonical_target": q("flow flow_full flow_full_limits canonical", f"SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio FROM canonical"),
     "canonical_table": q("flow flow_full flow_full_limits canonical", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio
         FROM canonical WHERE fecha BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'"""),
     "validate_series": " UNION ALL ".join(

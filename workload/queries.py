@@ -14,7 +14,7 @@ from gaugeline.functions.dates import mixed_date
 from gaugeline.functions.text import slug
 from gaugeline.operators import calendar, climate, features, flats, gaps, neighbours, quality, quantiles, raster, report, spatial, zonal
 from gaugeline.plans import selection
-from gaugeline.plans.canonical import build_canonical
+from gaugeline.plans.canonical import build_canonical, filled_column
 from gaugeline.plans.feature_table import build_features, build_tensors
 from gaugeline.plans.report_metrics import report_metrics as metrics_plan
 from gaugeline.session import scratch_table
@@ -73,6 +73,13 @@ def _watershed(spark, sf):
     return raster.watershed(_pointer(spark, sf), V.outlets(spark, sf))
 
 
+def _picked(spark, sf):
+    """The canonical table of the first wanted column that has values: levels were never measured."""
+    raw = V.flow(spark, sf).withColumn("nivel_m", F.lit(None).cast("double"))
+    target = filled_column(raw, ["caudal_m3s", "nivel_m", GASTO])
+    return build_canonical(raw.select(STATION, DAY, target), target, method="linear", unique=True)
+
+
 def _written(spark, sf):
     path = scratch_table(spark, "canonical")
     tables.write_parquet(build_canonical(V.flow(spark, sf), GASTO, method="linear", unique=True), path, ["anio"])
@@ -148,6 +155,7 @@ QUERIES = {
     "impute_cubic": lambda s, d: gaps.impute_short_gaps(_climate_full(s, d), "precip_mm"),
     "canonical": lambda s, d: build_canonical(V.flow(s, d), GASTO, method="linear", unique=True),
     "canonical_cubic": lambda s, d: build_canonical(V.flow(s, d), GASTO, unique=True),
+    "canonical_target": _picked,
     "canonical_table": _written,
     "validate_series": lambda s, d: _as_number(quality.validate_series(V.messy_series(s, d))),
     "validate_catalog": lambda s, d: _as_number(quality.validate_catalog(V.messy_catalog(s, d))),
