@@ -1,8 +1,13 @@
-"""File inventory, hashes and the storage guard over ``binaryFile``."""
+"""File inventory, hashes and the storage guard.
+
+``list_files`` leaves the listing to Spark; ``list_all_files`` also finds names that Spark hides. Digests and the latter
+open the store through Arrow's file systems, where tasks run: credentials that were set for Spark alone do not reach them.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import STORAGE_CAP_GB
+from ..session import stored
 
 ZONES = ("raw", "interim", "processed", "features")
 _BLOCK = 8 << 20
@@ -20,18 +26,52 @@ VERSIONED = ("raw", "processed", "features")
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, modificationTime, length); no content is read.
 
-    Spark's listing leaves out names that begin with an underscore or a dot.
+    Spark's listing leaves out names that begin with an underscore or a dot; see :func:`list_all_files`.
     """
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).drop("content")
 
 
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI, where the caller runs."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:") and not path.startswith("file://") else path)
+    return pafs.LocalFileSystem(), path
+
+
+def list_all_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of every file under a folder, whatever its name; a file gives itself.
+
+    Folders are listed by tasks, one level of the tree after the other, so nothing is listed on the driver and the rounds
+    follow the depth of the tree. A path that does not exist gives no rows; links count as what they point at.
+    """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                fs, name = _located(folder)
+                # the part of the path that only names the store
+                store = "file:" if isinstance(fs, pafs.LocalFileSystem) else folder[:len(folder.rstrip("/")) - len(name.rstrip("/"))]
+                here = fs.get_file_info(name)
+                found = [here] if here.is_file else fs.get_file_info(pafs.FileSelector(name, recursive=False, allow_not_found=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([store + i.path for i in found], pa.string()), pa.array([i.mtime for i in found], pa.timestamp("us", "UTC")),
+                     pa.array([i.size if i.is_file else None for i in found], pa.int64()), pa.array([i.type == pafs.FileType.Directory for i in found], pa.bool_())],
+                    names=["path", "modificationTime", "length", "folder"])
+
+    todo, files = spark.createDataFrame([(path,)], "folder string"), None
+    while files is None or not todo.isEmpty():
+        level = stored(todo.repartition("folder").mapInArrow(listed, "path string, modificationTime timestamp, length long, folder boolean"), "listing")
+        found = level.where("NOT folder").drop("folder")
+        files = found if files is None else files.unionByName(found)
+        todo = level.where("folder").select(F.col("path").alias("folder"))
+    return files
+
+
 @F.arrow_udf(T.StringType())
 def file_sha256(paths: pa.Array) -> pa.Array:
     """Digest of each file, read in blocks where the task runs, so no file has to fit into a row."""
     out = []
     for path in paths.to_pylist():
-        uri = "file://" + path.removeprefix("file:") if path.startswith("file:") and not path.startswith("file://") else path
-        fs, name = pafs.FileSystem.from_uri(uri)
+        fs, name = _located(path)
         digest = hashlib.sha256()
         with fs.open_input_file(name) as f:
             while block := f.read(_BLOCK):

@@ -9,6 +9,7 @@ import pytest
 
 from gaugeline.operators import flats, raster, spatial, zonal
 from gaugeline.operators.raster import STEPS
+from gaugeline.sources import inventory
 
 INF = float("inf")
 
@@ -221,3 +222,19 @@ def test_mosaic_of_shifted_and_coarser_tiles(spark):
             if 0 <= i < 9 and 0 <= j < 7 and not math.isnan(tiles[p][i, j]):
                 want.setdefault((r, c), float(tiles[p][i, j]))
     assert {(r.row, r.col): r.z for r in got.collect()} == want
+
+
+# ---- files ------------------------------------------------------------------------------
+
+def test_all_files_are_listed(spark, tmp_path):
+    names = ["a.csv", "_b.csv", ".c", "x/y/_z/d", "x/.e/f", "_g/h"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "empty/_none").mkdir(parents=True)
+    got = {r.path: r.length for r in inventory.list_all_files(spark, str(tmp_path)).collect()}
+    assert got == {f"file:{tmp_path}/{n}": len(n) for n in names}
+    assert [r.length for r in inventory.list_all_files(spark, f"file:{tmp_path}/_g/h").collect()] == [4]
+    assert inventory.list_all_files(spark, f"{tmp_path}/absent").count() == 0
+    assert {r.path for r in inventory.list_files(spark, str(tmp_path)).collect()} == {f"file:{tmp_path}/a.csv"}
+    assert inventory.manifest(inventory.list_all_files(spark, str(tmp_path))).where("sha256 IS NULL").count() == 0

@@ -453,6 +453,10 @@ def _nb(alias: str, dr: int, dc: int) -> str:
             f"AND {alias}.\"row\" = s.\"row\" + ({dr}) AND {alias}.col = s.col + ({dc})")
 
 
+_BODIES = """SELECT 'raw' AS zone, CAST(c_nationkey AS VARCHAR) AS part, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY ALL
+        UNION ALL SELECT 'processed', CAST(n_regionkey AS VARCHAR), string_agg(n_name || chr(10), '' ORDER BY n_nationkey) FROM nation GROUP BY ALL"""
+
+
 def _metric(section: str, names: dict[str, str], src: str, key: str = "NULL") -> list[str]:
     return [f"SELECT '{section}' AS section, '{n}' AS name, CAST({key} AS VARCHAR) AS key, CAST({e} AS VARCHAR) AS value {src}"
             for n, e in names.items()]
@@ -524,6 +528,10 @@ ORACLE = {
         SELECT zone, bytes, bytes AS bytes_no_npz, CAST(NULL AS BOOLEAN) AS over_cap FROM z
         UNION ALL SELECT NULL, CAST(SUM(bytes) AS BIGINT), CAST(COALESCE(SUM(bytes) FILTER (zone IN ('1', '2', '3')), 0) AS BIGINT),
           COALESCE(SUM(bytes) FILTER (zone IN ('1', '2', '3')), 0) / 1e9 > 1e-6 FROM z""",
+    "manifest_all": f"""SELECT zone, part, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes FROM ({_BODIES})""",
+    "storage_all": f"""WITH z AS (SELECT zone, CAST(SUM(strlen(body)) AS BIGINT) AS bytes FROM ({_BODIES}) GROUP BY 1)
+        SELECT zone, bytes, bytes AS bytes_no_npz, CAST(NULL AS BOOLEAN) AS over_cap FROM z
+        UNION ALL SELECT NULL, CAST(SUM(bytes) AS BIGINT), CAST(SUM(bytes) AS BIGINT), SUM(bytes) / 1e9 > 1e-6 FROM z""",
     "series_files": q("hydro hydro_full", f"""SELECT {KEY}, CAST(NULL AS DOUBLE) AS nivel_m,
         ROUND(gasto_medio_m3s, 4) + 0.0 AS gasto_medio_m3s FROM hydro_full"""),
     "catalog_file": q("catalog", f"""SELECT clave, nombre, {r6('latitud', 'longitud')}, CASE WHEN altitud <= 2500 THEN altitud END AS altitud,
