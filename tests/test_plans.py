@@ -159,3 +159,29 @@ def test_no_cross_joins(spark, name):
     import __spark_entry__ as entry
     plan = _final_plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_table_by_station_needs_no_exchange(spark, tmp_path):
+    """The stored layout serves windows, groups and joins by station, also in a session that only declares it."""
+    df = spark.range(4000).select((F.col("id") % 40).cast("string").alias("clave_estacion"),
+                                  F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 40).cast("int")).alias("fecha"), (F.col("id") % 37).cast("double").alias("v"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = tables.write_by_station(df, str(tmp_path / "t"), 4)
+        other = tables.write_by_station(df.withColumnRenamed("v", "w"), str(tmp_path / "u"), 4)
+        for session in (spark, spark.newSession()):
+            session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+            one, two = tables.read_by_station(session, path, 4), tables.read_by_station(session, other, 4)
+            out = features.normalize_per_station(features.add_rolling(features.add_lags(one, "v"), "v"), ["v"])
+            assert _exchanges(out) == 0 and out.count() == 4000
+            assert _exchanges(one.groupBy("clave_estacion").agg(F.avg("v"))) == 0
+            assert _exchanges(one.join(two, ["clave_estacion", "fecha"])) == 0
+        spark.sql(f"DROP TABLE {tables._table_name(path)}")       # as in a session that never wrote it; the files stay
+        again = tables.read_by_station(spark, path, 4)
+        assert _exchanges(features.add_lags(again, "v")) == 0 and again.exceptAll(df).count() == 0 and again.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    assert len([n for n in (tmp_path / "t").iterdir() if n.name.endswith(".parquet")]) <= 4

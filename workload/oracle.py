@@ -514,6 +514,10 @@ ORACLE = {
           THEN v ELSE c.gasto_medio_m3s END, 6) + 0.0 AS gasto_medio_m3s, fuente, calidad, anio
         FROM canonical c JOIN flow_full f USING (clave_estacion, fecha) LEFT JOIN cubic_f v USING (clave_estacion, fecha)"""),
     "canonical_target": q("flow flow_full flow_full_limits canonical", f"SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio FROM canonical"),
+    "canonical_by_station": q("flow flow_full flow_full_limits canonical", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, ROUND(LAG(gasto_medio_m3s, 1) OVER w, 6) + 0.0 AS gasto_medio_m3s_lag1,
+        ROUND(LAG(gasto_medio_m3s, 7) OVER w, 6) + 0.0 AS gasto_medio_m3s_lag7,
+        CASE WHEN COUNT(gasto_medio_m3s) OVER a >= 3 THEN ROUND(AVG(gasto_medio_m3s) OVER a, 6) + 0.0 END AS gasto_medio_m3s_ma7
+        FROM canonical WINDOW w AS (PARTITION BY clave_estacion ORDER BY fecha), a AS (PARTITION BY clave_estacion ORDER BY fecha ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""),
     "canonical_table": q("flow flow_full flow_full_limits canonical", f"""SELECT {KEY}, {r6('gasto_medio_m3s')}, fuente, calidad, anio
         FROM canonical WHERE fecha BETWEEN DATE '1997-03-01' AND DATE '1998-02-28'"""),
     "validate_series": " UNION ALL ".join(

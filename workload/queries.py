@@ -86,6 +86,13 @@ def _written(spark, sf):
     return calendar.in_period(tables.read_parquet(spark, path), "1997-03-01", "1998-02-28")
 
 
+def _by_station(spark, sf):
+    """Lags and trailing means straight from a canonical table that is laid out by station."""
+    path = tables.write_by_station(build_canonical(V.flow(spark, sf), GASTO, method="linear", unique=True), scratch_table(spark, "by-station"), 8)
+    stored = tables.read_by_station(spark, path, 8)
+    return features.add_rolling(features.add_lags(stored, GASTO, lags=(1, 7)), GASTO, windows=(7,))
+
+
 def _clipped_pointer(spark, sf):
     """Pointers of a grid cut off at column 20: some lead out of the table."""
     return _pointer(spark, sf).where("col < 20")
@@ -166,6 +173,7 @@ QUERIES = {
     "canonical_cubic": lambda s, d: build_canonical(V.flow(s, d), GASTO, unique=True),
     "canonical_target": _picked,
     "canonical_table": _written,
+    "canonical_by_station": lambda s, d: _by_station(s, d).select(STATION, DAY, GASTO, f"{GASTO}_lag1", f"{GASTO}_lag7", f"{GASTO}_ma7"),
     "validate_series": lambda s, d: _as_number(quality.validate_series(V.messy_series(s, d))),
     "validate_catalog": lambda s, d: _as_number(quality.validate_catalog(V.messy_catalog(s, d))),
     # sources
