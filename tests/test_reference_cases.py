@@ -26,26 +26,25 @@ def toy_series(spark):
 
 @pytest.fixture
 def toy_report(spark):
-    rows = [(st, rh, d, None if (i * 7 + ord(st)) % 22 == 0 else float(d.month), 1 if i % 110 == 3 else 0)
-            for st, rh in (("A", "12"), ("B", "12"), ("C", "26")) for i, d in enumerate(days(365))]
+    rows = [(st, rh, d, None if (i * 5 + k) % 17 == 0 else 40.0 - 2.5 * d.month, 1 if i % 90 == 7 else 0)
+            for k, (st, rh) in enumerate((("K31", "18"), ("K32", "10"), ("K33", "10"), ("K34", "18"))) for i, d in enumerate(days(365, D(2015, 1, 1)))]
     return spark.createDataFrame(
         rows, "clave_estacion string, region_hidrologica string, fecha date, gasto_medio_m3s double, calidad int")
 
 
 def test_bbox(spark):
-    df = spark.createDataFrame([(10.0, -100.0), (20.0, -90.0), (None, None)], "latitud double, longitud double")
-    box = spatial.bbox_from_latlon(df, 0.1).first()
-    assert round(box.min_lon, 1) == -100.1 and round(box.max_lat, 1) == 20.1
+    df = spark.createDataFrame([(17.25, -95.5), (None, -89.0), (16.5, -97.0), (19.75, -96.25)], "latitud double, longitud double")
+    box = spatial.bbox_from_latlon(df, 0.5).first()
+    assert (box.min_lon, box.min_lat, box.max_lon, box.max_lat) == (-97.5, 16.0, -88.5, 20.25)
 
 
 def test_make_windows(spark):
-    df = spark.createDataFrame([("A", i, float(2 * i), float(2 * i + 1)) for i in range(10)],
-                               "clave_estacion string, fecha int, a double, b double")
-    rows = features.make_windows(df, ["a", "b"], t_in=3, horizon=2).orderBy("inicio").collect()
-    assert len(rows) == 6 and all(len(r.X) == 3 and len(r.X[0]) == 2 for r in rows)
-    assert rows[0].y == 8.0 and [x.a for x in rows[0].X] == [0.0, 2.0, 4.0]
-    for n, expected in ((4, 0), (5, 1)):
-        assert features.make_windows(df.where(F.col("fecha") < n), ["a"], t_in=3, horizon=2).count() == expected
+    df = spark.createDataFrame([("W5", i, 100.0 - i, i * i / 4.0) for i in range(13)], "clave_estacion string, fecha int, a double, b double")
+    rows = features.make_windows(df, ["a", "b"], t_in=4, horizon=3).orderBy("inicio").collect()
+    assert len(rows) == 13 - 4 - 3 + 1 and all([len(x) for x in r.X] == [2] * 4 for r in rows)
+    assert rows[2].y == 100.0 - 8 and [x.b for x in rows[2].X] == [1.0, 2.25, 4.0, 6.25]
+    for n, expected in ((6, 0), (7, 1), (9, 3)):
+        assert features.make_windows(df.where(F.col("fecha") < n), ["a"], t_in=4, horizon=3).count() == expected
 
 
 def test_windows_keep_missing_inputs(spark):
@@ -56,10 +55,10 @@ def test_windows_keep_missing_inputs(spark):
 
 
 def test_add_lags(spark):
-    df = spark.createDataFrame([("A", d, float(i + 1)) for i, d in enumerate(days(5))],
-                               "clave_estacion string, fecha date, v double")
-    out = features.add_lags(df, "v", lags=(1,)).orderBy("fecha").collect()
-    assert [r.v_lag1 for r in out] == [None, 1.0, 2.0, 3.0, 4.0]
+    flow = {"L1": [8.5, 7.25, None, 6.0], "L2": [0.5, 0.75]}
+    df = spark.createDataFrame([(k, d, v) for k, vs in flow.items() for d, v in zip(days(4, D(2019, 2, 26)), vs)], "clave_estacion string, fecha date, v double")
+    out = features.add_lags(df, "v", lags=(1, 2)).orderBy("clave_estacion", "fecha").collect()
+    assert [(r.v_lag1, r.v_lag2) for r in out] == [(None, None), (8.5, None), (7.25, 8.5), (None, 7.25), (None, None), (0.5, None)]
 
 
 def test_rolling_needs_half_a_window(spark):
@@ -88,9 +87,10 @@ def _idw(spark, places, values, target=(10.0, -100.1)):
 
 
 def test_idw_renormalises(spark):
-    out = _idw(spark, [("n1", 10.0, -100.0), ("n2", 10.0, -100.2)],
-               [("n1", 1, 1.0), ("n1", 2, None), ("n2", 1, 3.0), ("n2", 2, 4.0), ("n1", 3, None)])
-    assert out[1] == pytest.approx(2.0) and abs(out[2] - 4.0) < 1e-9 and out[3] is None
+    """Two places at equal distance and one twice as far; a missing reading passes its weight on."""
+    places = [("e", 0.0, -79.0), ("w", 0.0, -81.0), ("far", 0.0, -78.0)]
+    out = _idw(spark, places, [("e", 1, 12.0), ("w", 1, 6.0), ("far", 1, 0.0), ("e", 2, None), ("w", 2, 5.5), ("far", 3, 2.25), ("e", 4, None)], (0.0, -80.0))
+    assert out[1] == pytest.approx((12 + 6) / 2.25, rel=1e-4) and out[2] == pytest.approx(5.5) and out[3] == pytest.approx(2.25) and out[4] is None
 
 
 def test_idw_at_distance_zero(spark):
@@ -99,24 +99,24 @@ def test_idw_at_distance_zero(spark):
 
 
 def test_build_windows_multi(spark):
-    rows = [(st, d, float(i), float(i)) for st in "AB" for i, d in enumerate(days(8))]
+    rows = [(st, d, 3.0 * i + k, 50.0 - i) for k, (st, n) in enumerate((("M1", 9), ("M2", 6), ("M3", 4))) for i, d in enumerate(days(n, D(2018, 5, 1)))]
     df = spark.createDataFrame(rows, "clave_estacion string, fecha date, gasto_medio_m3s double, gasto_medio_m3s_lag1 double")
-    out = features.build_windows_multi(df, ["gasto_medio_m3s_lag1"], "gasto_medio_m3s", t_in=3, horizon=2).collect()
-    assert len(out) == 8 and all(len(r.X) == 3 and r.horizon == 2 for r in out)
+    out = features.build_windows_multi(df, ["gasto_medio_m3s_lag1"], "gasto_medio_m3s", t_in=4, horizon=1).collect()
+    assert sorted(r.clave_estacion for r in out) == ["M1"] * 5 + ["M2"] * 2 and all(len(r.X) == 4 and r.horizon == 1 for r in out)
 
 
 def test_inventory(toy_report):
     inv = report.station_inventory(toy_report).collect()
-    assert sum(r.n_estaciones for r in inv) == 3 and {r.region_hidrologica for r in inv} == {"12", "26"}
-    assert report.station_inventory(toy_report, "no_such").first().n_estaciones == 3
+    assert {r.region_hidrologica: r.n_estaciones for r in inv} == {"18": 2, "10": 2}
+    assert report.station_inventory(toy_report, "no_such").first().n_estaciones == 4
 
 
 def test_coverage(toy_report):
-    cov = report.coverage_table(toy_report, "gasto_medio_m3s", start="2010-01-01", end="2010-12-31").collect()
+    cov = report.coverage_table(toy_report, "gasto_medio_m3s", start="2015-01-01", end="2015-12-31").collect()
     assert all(0 <= r.cobertura <= 1 and r.dias_periodo == 365 for r in cov)
-    spans = report.coverage_table(toy_report.where("fecha >= date'2010-12-01'"), "gasto_medio_m3s", start="2010-01-01").collect()
+    spans = report.coverage_table(toy_report.where("fecha >= date'2015-12-01'"), "gasto_medio_m3s", start="2015-01-01").collect()
     assert all(r.dias_periodo == 31 for r in spans)
-    assert report.coverage_table(toy_report, "gasto_medio_m3s", start="2011-01-01", end="2011-12-31").count() == 0
+    assert report.coverage_table(toy_report, "gasto_medio_m3s", start="2016-01-01", end="2016-12-31").count() == 0
 
 
 def test_quality(toy_report):
@@ -128,7 +128,7 @@ def test_quality(toy_report):
 
 def test_climatology(toy_report):
     mc = {r.mes: r for r in report.monthly_climatology(toy_report, "gasto_medio_m3s").collect()}
-    assert len(mc) == 12 and mc[6]["mean"] == pytest.approx(6.0)
+    assert len(mc) == 12 and mc[6]["mean"] == pytest.approx(25.0) and mc[6]["std"] == pytest.approx(0.0)
 
 
 def test_lagged_corr(toy_report):

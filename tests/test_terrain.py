@@ -1,15 +1,17 @@
-"""Flats, polygons on grids, projections and mosaics against direct computation."""
+"""Flats, polygons on grids, projections, mosaics, listings and stored windows against direct computation."""
 
+import datetime
 import itertools
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeline.operators import flats, raster, spatial, zonal
+from gaugeline.operators import features, flats, raster, spatial, zonal
 from gaugeline.operators.raster import STEPS
-from gaugeline.sources import inventory
+from gaugeline.sources import inventory, windows
 
 INF = float("inf")
 
@@ -238,3 +240,33 @@ def test_all_files_are_listed(spark, tmp_path):
     assert inventory.list_all_files(spark, f"{tmp_path}/absent").count() == 0
     assert {r.path for r in inventory.list_files(spark, str(tmp_path)).collect()} == {f"file:{tmp_path}/a.csv"}
     assert inventory.manifest(inventory.list_all_files(spark, str(tmp_path))).where("sha256 IS NULL").count() == 0
+
+
+# ---- windows ----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [5, 16, 4096])
+def test_stored_windows(spark, tmp_path, block):
+    """Windows cut from stored runs equal those written out, for stations shorter than, as long as, and longer than a run."""
+    rng = random.Random(9)
+    lengths = {"a": 47, "b": 16, "c": 7, "d": 6, "e": 1, "f": 5}
+    rows = [(k, datetime.date(2020, 1, 1) + datetime.timedelta(days=2 * i), None if rng.random() < 0.2 else rng.random(), rng.random())
+            for k, n in lengths.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "clave_estacion string, fecha date, v double, w double").repartition(3)
+    path = windows.write_windows(df, str(tmp_path / "w"), ["v", "w"], t_in=5, horizon=2, dtype="double", block=block)
+    for t_in, horizon in ((5, 2), (3, 1)):
+        want = features.build_windows_multi(df, ["w"], "v", t_in=t_in, horizon=horizon, dtype="double")
+        got = windows.read_windows(spark, path, t_in, horizon, block=block)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect())) and want.count() > 0
+    empty = windows.write_windows(df.limit(0), str(tmp_path / "none"), ["v", "w"], t_in=5, horizon=2)
+    assert windows.read_windows(spark, empty, 5, 2).count() == 0
+
+
+def test_stored_bytes_do_not_follow_the_window(spark, tmp_path):
+    df = spark.range(6000).select((F.col("id") % 2).cast("string").alias("clave_estacion"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") / 2).cast("int")).alias("fecha"),
+                                  F.rand(3).alias("v"), F.rand(4).alias("w"))
+    size = {}
+    for t_in in (8, 128):
+        path = windows.write_windows(df, str(tmp_path / str(t_in)), ["v", "w"], t_in=t_in, horizon=7)
+        size[t_in] = sum(p.stat().st_size for p in (tmp_path / str(t_in)).rglob("*.parquet"))
+        assert windows.read_windows(spark, path, t_in, 7).count() == 2 * (3000 - t_in - 6)
+    assert size[128] < 1.1 * size[8]

@@ -699,6 +699,7 @@ ORACLE = {
           SELECT s.clave, s.z, DEGREES(ATAN(SQRT(POW({_GRAD_Y}, 2) + POW({_GRAD_X}, 2)))) AS g FROM sz s JOIN e USING (clave, basin)
           {_nb('u', -1, 0)} {_nb('d', 1, 0)} {_nb('l', 0, -1)} {_nb('r', 0, 1)}) GROUP BY 1"""),
 }
+ORACLE["windows_store"] = ORACLE["feature_windows"]
 _KEPT = ", ".join(("clave_estacion", "fecha", "fuente", "calidad", *FEATURES))
 ORACLE["feature_table"] = ORACLE["feature_table"].replace("SELECT * FROM (SELECT", f"SELECT {_KEPT} FROM (SELECT", 1) + " WHERE keep"
 ORACLE["coverage_observed"] = ORACLE["coverage_span"]

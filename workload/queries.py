@@ -18,7 +18,7 @@ from gaugeline.plans.canonical import build_canonical, filled_column
 from gaugeline.plans.feature_table import build_features, build_tensors
 from gaugeline.plans.report_metrics import report_metrics as metrics_plan
 from gaugeline.session import scratch_table
-from gaugeline.sources import catalog_csv, inventory, series_csv, tables
+from gaugeline.sources import catalog_csv, inventory, series_csv, tables, windows
 
 from . import views as V
 
@@ -93,6 +93,14 @@ def _by_station(spark, sf):
     return features.add_rolling(features.add_lags(stored, GASTO, lags=(1, 7)), GASTO, windows=(7,))
 
 
+def _stored_windows(spark, sf):
+    """The feature windows, stored as runs and cut when read."""
+    full = _features(spark, sf, False)
+    cols = [GASTO, *features.feature_columns(full, GASTO)]
+    path = windows.write_windows(full.fillna(0.0, cols), scratch_table(spark, "windows"), cols, t_in=5, horizon=2, block=16)
+    return windows.read_windows(spark, path, t_in=5, horizon=2, block=16)
+
+
 def _clipped_pointer(spark, sf):
     """Pointers of a grid cut off at column 20: some lead out of the table."""
     return _pointer(spark, sf).where("col < 20")
@@ -201,6 +209,8 @@ QUERIES = {
     "feature_table": lambda s, d: _features(s, d),
     "feature_windows": lambda s, d: features.window_cells(build_tensors(_features(s, d, False), GASTO, t_in=5, horizon=2))
     .select(STATION, "inicio", "paso", *[F.col(c).cast("double").alias(c) for c in ("y", GASTO, f"{GASTO}_lag1", "precip_idw_mm")]),
+    "windows_store": lambda s, d: features.window_cells(_stored_windows(s, d))
+    .select(STATION, "inicio", "paso", *[F.col(c).cast("double").alias(c) for c in ("y", GASTO, f"{GASTO}_lag1", "precip_idw_mm")]),
     # climate
     "spi_z": lambda s, d: climate.spi(V.monthly(s, d), method="zscore").select(STATION, "mes_inicio", "spi3"),
     "spei_z": lambda s, d: climate.spei(V.monthly(s, d)).select(STATION, "mes_inicio", "spei3"),
