@@ -13,7 +13,7 @@ from .common import table
 
 def op1_token_files(spark, sf_dir):
     return token_files.token_table(table(spark, sf_dir, "documents"), scratch_table(spark, "tokens"),
-                                   public_tokenizers.path("word_bpe_49k.json"), by_word=True, cache_bytes=80_000_000)
+                                   public_tokenizers.path("word_bpe_49k.json"), by_word=True, cache_bytes=200_000_000)
 
 
 def op2_warc(spark, sf_dir):
