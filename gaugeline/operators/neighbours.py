@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ _LEAF = 64            # stop refining once no cell holds more places
 _BOUNDED_LEVEL = 4    # level n has at most 16**n cells, so up to here the table is small
 _SLACK_KM = 1e-6
 _TARGETS_PER_COPY = 1000
+_TARGETS_PER_TASK = 2000   # a station has some hundred rows on its way down, more than its bytes tell
 
 
 def _axis(deg: Column, span: float) -> Column:
@@ -87,6 +89,10 @@ def nearest_stations(stations: DataFrame, others: DataFrame, k: int = 3, key: st
     targets = (stations.where(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
                .groupBy(key).agg(F.min(F.struct("latitud", "longitud")).alias("_at"))
                .select(key, "_at.latitud", "_at.longitud"))
+    # Counted, and dealt in a number of its own: the levels run in one stage where their cells are broadcast, and
+    # adaptive coalescing would go by the few bytes before them.
+    targets = cut_lineage(targets)
+    targets = targets.repartition(ceil(targets.count() / _TARGETS_PER_TASK) or 1, key)
     for level in range(1, depth + 1):
         if level == 1:   # at most 16 cells, as one array
             top = cells.where("level = 1").agg(F.collect_list(F.struct(F.col("cell").alias("child"), "n", "radius")))

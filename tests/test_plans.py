@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,15 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_near_stations_are_dealt_by_count(spark, monkeypatch):
+    """All levels may run in one stage: its tasks hold a bounded number of stations, however few bytes these have."""
+    monkeypatch.setattr(neighbours, "_TARGETS_PER_TASK", 50)
+    points = spark.range(401).select(F.col("id").cast("string").alias("clave"), (15 + F.col("id") % 17).alias("latitud"), (-115 + F.col("id") % 29).alias("longitud"))
+    near = neighbours.nearest_stations(points, points)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "(clave, 9), REPARTITION_BY_NUM" in re.sub(r"#\d+", "", plan) and near.count() == 3 * 401
+
+
 def test_table_by_station_needs_no_exchange(spark, tmp_path):
     """The stored layout serves windows, groups and joins by station, also in a session that only declares it."""
     df = spark.range(4000).select((F.col("id") % 40).cast("string").alias("clave_estacion"),
