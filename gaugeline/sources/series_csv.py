@@ -49,6 +49,27 @@ def read_lines(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataF
     )
 
 
+_MARK = "\x01"   # between the name of a bundled file and its line
+
+
+def write_bundle(lines: DataFrame, path: str, encoding: str = "ISO-8859-1") -> str:
+    """(file, pos, line) as text files that hold many series files each, every line after its file's name.
+
+    A file per station costs a folder, a commit and a task's opening for some kilobytes; a bundle costs by its bytes.
+    The lines of one file stay together, in the order of ``pos``.
+    """
+    (lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "line")
+     .write.option("encoding", encoding).option("quote", "").option("sep", _MARK).option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def read_bundle(spark: SparkSession, path, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(file, pos, line) of the series files in the bundles under ``path``, as ``read_lines`` gives them."""
+    parts = F.split("line", _MARK, 2)
+    return read_lines(spark, path, encoding).select(F.get(parts, F.lit(0)).alias("file"), "pos", F.get(parts, F.lit(1)).alias("line"))
+
+
 def header_lines(lines: DataFrame) -> DataFrame:
     """First line of each file that has the date column as a whole field."""
     line = F.col("line")
