@@ -13,7 +13,6 @@ the distance, so only true links leave it; Spark splits a hot anchor.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import acos, ceil, pi, sqrt
 
 import numpy as np
@@ -139,6 +138,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 SIGNATURE = tuple(f"s{i}" for i in range(4))     # SimHash of shingles of five words: preselects
 BANDS, BAND_ROWS = 25, 5                         # least hashes of the shingles: sets of similarity s meet with 1 - (1 - s^5)^25
+CROWD = 16                                       # with more texts than this left at a key, only links leave the comparison
 _ORDERS = np.array([xxhash.xxh64_intdigest(b"order", i) for i in range((BANDS * BAND_ROWS + 1) // 2)], np.uint64)
 
 
@@ -166,11 +166,11 @@ def band_keys(grams: np.ndarray) -> list[int]:
 
 
 def signature(text: bytes) -> tuple:
-    """Digest of the shingle set (two longs), its SimHashes and its bands."""
+    """Digest of the shingle set (two longs), its size, its SimHashes and its bands."""
     grams = shingle_hashes(text)
     digest = xxhash.xxh3_128_intdigest(grams.tobytes())
     prints = (signed(fold_bits(_mix(grams ^ o))) for o in _ORDERS[:len(SIGNATURE)])
-    return signed(digest >> 64), signed(digest & (1 << 64) - 1), *prints, band_keys(grams)
+    return signed(digest >> 64), signed(digest & (1 << 64) - 1), len(grams), *prints, band_keys(grams)
 
 
 def most_bits(similarity: float, bits: int = 256) -> int:
@@ -179,20 +179,28 @@ def most_bits(similarity: float, bits: int = 256) -> int:
     return min(bits, ceil(bits * p + 7 * sqrt(bits * p * (1 - p))))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ids (a, b) whose texts in ``docs`` (id, text) have this exact Jaccard similarity of shingle sets."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, grams): the sets of shingle hashes of the texts in ``docs`` (id, text) with these ids."""
     @F.arrow_udf("array<long>")
     def grams(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(t.as_py()).view(np.int64) for t in texts], type=pa.list_(pa.int64()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(join_small(docs, ids, "id").select("id", grams("text").alias("grams")).distinct(), "shingle-sets")
+    return stored(join_small(docs, ids.distinct(), "id").select("id", grams("text").alias("grams")).distinct(), "shingle-sets")
+
+
+def _similar(x: str, y: str, similarity: float) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    return common / (F.size(x) + F.size(y) - common) >= similarity
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ids (a, b) whose texts in ``docs`` (id, text) have this exact Jaccard similarity of shingle sets."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     entries = sets.agg(F.sum(F.size("grams") + 1)).first()[0] or 0
     side = F.broadcast(sets) if entries <= BROADCAST_ENTRIES else sets
     both = (pairs.join(side.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
             .join(side.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b")
+    return both.where(_similar("x", "y", similarity)).select("a", "b")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -213,44 +221,67 @@ def _split(spots: DataFrame, found: DataFrame) -> DataFrame:
     return stored(join_small(now, keys, "key"), "split-spots")
 
 
-def linked(points: DataFrame, limit: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the graph of all ``points`` that share a band and are ``verified``.
+def _anchored(points: DataFrame) -> DataFrame:
+    """Pairs (a > b) of points whose first SimHash is equal, or at most three bits apart by the anchors of the covering code."""
+    prints = points.where("n > 0").select("point", F.col(SIGNATURE[0]).alias("fp"))
+    firsts = stored(prints.groupBy("fp").agg(F.min("point").alias("first")), "fingerprints")
+    equal = prints.join(firsts, "fp").where("point != first").select(F.col("point").alias("a"), F.col("first").alias("b"))
+    near = simhash_links(firsts.select("fp")).distinct()
+    for c in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_point")), c)
+    return equal.unionByName(near.select(F.greatest("a_point", "b_point").alias("a"), F.least("a_point", "b_point").alias("b")))
+
+
+def linked(points: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the graph of all ``points`` that meet and whose ``texts`` (id, text) are alike.
 
-    Two rounds compare every text with one text per key, the first and one by a hash, so a group
-    of copies becomes one component with as many pairs as members. Then all texts of
-    a key are compared that are not in one component yet: a pair left out is connected already.
+    Points meet by the anchors of their fingerprints first. Then those that share a band do: two rounds compare every text with one
+    text per key, the first and one by a hash, so a group of copies becomes one component with as many pairs as members. Then all texts of
+    a key are compared that are not in one component yet: a pair left out is connected already. Where these are many, as in a
+    family of unlike variants, the sets come along and are compared in the join, so that only links leave it.
+    Sets of unlike sizes cannot be similar and are not compared.
     """
-    spots = points.select(F.explode("bands").alias("key"), "point", *SIGNATURE)
-    keys = spots.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low != high").select("key")
-    live = stored(join_small(spots, keys, "key").withColumn("component", F.col("point")), "spots")
-    links = found = None
-    for rank in (F.col("point"), F.xxhash64("point"), None):
-        if live.isEmpty():
-            break
-        hubs = live if rank is None else live.join(live.groupBy("key").agg(F.min_by("point", rank).alias("hub")), "key").where("point = hub").drop("hub")
-        left, right = _named(live, "a_"), _named(hubs, "b_").withColumnRenamed("key", "b_key")
-        once = F.col("a_point") < F.col("b_point") if rank is None else F.lit(True)
-        near = (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & once & (_distance("a_", "b_") <= limit)
-        pairs = left.join(right, near).select(F.greatest("a_point", "b_point").alias("a"), F.least("a_point", "b_point").alias("b")).distinct()
-        new = verified(stored(pairs, "pairs"))
-        links = stored(new if links is None else links.unionByName(new), "links")
+    limit = most_bits(similarity)
+
+    def meet(live: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
+        left, right = _named(live, "a_"), _named(others, "b_").withColumnRenamed("key", "b_key")
+        sizes = F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= similarity
+        near = (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component")) & sizes & (_distance("a_", "b_") <= limit)
+        pairs = left.join(right, near & condition).select(F.greatest("a_point", "b_point").alias("a"), F.least("a_point", "b_point").alias("b")).distinct()
+        return stored(pairs, "pairs")
+
+    links = stored(alike(stored(_anchored(points), "anchored-pairs"), texts, similarity), "links")
+    found = stored(components(links), "components")
+    # only keys and points are shuffled until it is known which keys hold more than one component
+    spots = (points.join(found.withColumnRenamed("node", "point"), "point", "left")
+             .select(F.explode("bands").alias("key"), "point", F.coalesce("component", "point").alias("component")))
+    keys = spots.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    live = stored(join_small(spots, keys, "key").join(points.select("point", "n", *SIGNATURE), "point"), "spots")
+    for rank in (F.col("point"), F.xxhash64("point")):
+        hubs = live.join(live.groupBy("key").agg(F.min_by("point", rank).alias("hub")), "key").where("point = hub").drop("hub")
+        links = stored(links.unionByName(alike(meet(live, hubs, F.lit(True)), texts, similarity)), "links")
         found = stored(components(links), "components")
-        if rank is not None:
-            live = _split(live, found)
-    return found
+        live = _split(live, found)
+    crowded = live.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("key")
+    crowd, few = join_small(live, crowded, "key"), join_small(live, crowded, "key", "left_anti")
+    once = F.col("a_point") < F.col("b_point")
+    sets = shingle_sets(texts, crowd.select(F.col("point").alias("id")))
+    crowd = stored(crowd.join(sets.withColumnRenamed("id", "point"), "point"), "crowd")
+    links = links.unionByName(meet(crowd, crowd, once & _similar("a_grams", "b_grams", similarity))).unionByName(alike(meet(few, few, once), texts, similarity))
+    return stored(components(stored(links, "links")), "components")
 
 
 def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids (``id``) of documents that copy, exactly or nearly, another one with a smaller id.
 
     Texts are alike if the exact Jaccard similarity of their sets of five-word shingles (as 64-bit
-    hashes) is ``similarity`` or more. Candidates share a band of least hashes of
+    hashes) is ``similarity`` or more. Candidates meet by the anchors of ``simhash_links``, or share a band of least hashes of
     these sets: at 0.8 all but one pair in 20,000 do, wherever the edits lie. All texts of a band
     meet, unless links connect them already; a 256-bit SimHash only preselects, seven standard
     deviations wide. Texts with equal sets are one point from the start.
     Rows without an id are never reported; an id with several texts is alike where one of them is.
     """
-    run = per_text(signature, "d0 long, d1 long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>")
+    run = per_text(signature, "d0 long, d1 long, n long, " + ", ".join(f"{c} long" for c in SIGNATURE) + ", bands array<long>")
     prints = stored(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), run(utf8(text_col)).alias("r"))
                     .select("id", "r.*"), "signatures")
     firsts = stored(prints.groupBy("d0", "d1").agg(F.min("id").alias("point")), "points")
@@ -258,9 +289,8 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id",
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     # a point's first document goes if the point does; its others go in any case
     inside = marked.where("id != point").select("id")
-    found = linked(marked.where("id = point").drop("id"), most_bits(similarity), lambda pairs: alike(pairs, texts, similarity))
-    if found is not None:
-        inside = inside.unionByName(found.where("node != component").select(F.col("node").alias("id")))
+    found = linked(marked.where("id = point").drop("id"), texts, similarity)
+    inside = inside.unionByName(found.where("node != component").select(F.col("node").alias("id")))
     return stored(inside.distinct(), "duplicates")
 
 

@@ -340,6 +340,22 @@ def test_keep_one_is_exact_at_the_threshold(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()} == want
 
 
+def test_large_family_compares_few_pairs(spark, monkeypatch):
+    """Near copies of one text, many of them unlike each other: only links leave the comparison of all; op3's anchors are asked."""
+    base = prose(5000, 146).split()
+    rng, rows, compared, asked = random.Random(5), [], [], []
+    for k in range(400):
+        text = list(base)
+        for at in rng.sample(range(146), rng.choice((1, 2, 3, 4))):
+            text[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(text)))
+    alike, links = simhash.alike, simhash.simhash_links
+    monkeypatch.setattr(simhash, "alike", lambda pairs, docs, similarity: compared.append(pairs.count()) or alike(pairs, docs, similarity))
+    monkeypatch.setattr(simhash, "simhash_links", lambda points: asked.append(1) or links(points))
+    assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()} == brute_kept(rows)
+    assert sum(compared) < 40 * len(rows) and asked
+
+
 def test_keep_one_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(-1, "")])
