@@ -4,8 +4,9 @@ Tokens of a page are its tags, told apart by the elements around them, and its b
 text. Over the pages of one host each token has an occurrence vector: how often it stands
 on each page. Tokens with the same vector form a class. A class is valid if its tokens keep one order
 on the pages, and nested if all its occurrences lie in one gap of a larger class; the valid classes,
-nested, are the host's template. Everything between template tokens is a slot: text that
-belongs to the template goes, and slots in the article are extracted.
+nested, are the host's template. Everything between template tokens is a slot, and the host's pages
+together tell which slots are the article's. Text is extracted from these slots alone; what belongs to
+the template or stands in a part around the article goes.
 
 Vectors are never built: a vector is the XOR of a hash of (page, count) over pages, which
 Spark aggregates per (host, token) before the shuffle, so a host with a third of all
@@ -300,21 +301,63 @@ def templates(pages: DataFrame) -> DataFrame:
     return stored(valid.groupBy("part").agg(F.collect_list(F.struct("class", "place", "token", steady.alias("steady"), "slot")).alias("template")), "templates")
 
 
-def _steady(template: list) -> dict[int, bool]:
-    return {t["token"]: t["steady"] for t in template}
+_START = 0      # stands before all tokens of every page
 
 
-def _slots(page: Page, known: dict[int, bool]) -> tuple:
-    """Text of the page's slots in the article, without template text, and the number of slots that hold it."""
-    wanted = {id(b) for b in page.blocks()}
-    texts, slots, slot = [], set(), 0
-    for item in page.items:
-        if item[0] in known and (item[2] is None or known[item[0]]):
-            slot = item[0]            # a slot is named by the template token before it
-        elif id(item) in wanted:
-            texts.append(item[2])
-            slots.add(slot)
-    return "\n".join(texts), len(slots)
+def _slotted(page: Page, steady: dict[int, bool]) -> list[tuple[int, int, str]]:
+    """(slot, region, text) of the blocks of text that are not the template's; a slot is named by the template token before it."""
+    out, slot = [], _START
+    for token, region, text in page.items:
+        if token in steady and (text is None or steady[token]):
+            slot = token
+        elif text is not None:
+            out.append((slot, region, text))
+    return out
+
+
+def _places(page: Page, steady: dict[int, bool]) -> tuple:
+    """Per slot, blocks in the article, blocks beside it, and blocks of a page that marks no article; parts around an article do not count."""
+    marked = any(text is not None and region == MAIN for _, region, text in page.items)
+    counts: dict[int, list[int]] = {}
+    for slot, region, _ in _slotted(page, steady):
+        if region != ASIDE:
+            counts.setdefault(slot, [0, 0, 0])[0 if region == MAIN else 1 if marked else 2] += 1
+    return ([dict(zip(("slot", "inside", "beside", "plain"), (s, *c), strict=True)) for s, c in counts.items()],)
+
+
+def article_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(part, template) with each token's ``steady`` and ``beside``, from the pages (part, html) and their ``templates``.
+
+    ``beside`` is null where no text of an article follows the token. It is 0 where such text does, and n where up to n blocks
+    stand beside the article of the host's pages, ``STEADY`` distinct ones or more, and one page in ``SHARE`` or fewer marks no article.
+    """
+    keyed = pages.withColumn("page", F.xxhash64("html")).join(found, "part", "left")
+    counted = _per_page(keyed, "places array<struct<slot: long, inside: int, beside: int, plain: int>>", _places, ["part", "page"],
+                        lambda template: {t["token"]: t["steady"] for t in template})
+    once = (counted.select("part", "page", F.inline("places")).groupBy("part", "page", F.col("slot").alias("token"))
+            .agg(*[F.max(c).alias(c) for c in ("inside", "beside", "plain")]))
+    slots = once.groupBy("part", "token").agg(F.max("inside").alias("inside"), F.max("beside").alias("most"), F.count_if(F.col("beside") > 0).alias("pages"),
+                                              F.count_if(F.col("plain") > 0).alias("plain"))
+    around = F.col("part") != ""
+    around &= (F.col("inside") == 0) & (F.col("pages") >= STEADY) & (F.col("plain") * SHARE <= F.col("pages"))
+    slots = slots.select("part", "token", F.when(around, F.col("most")).when((F.col("inside") > 0) | (F.col("plain") > 0), 0).alias("beside"))
+    tokens = found.select("part", F.inline("template")).select("part", "token", "steady")
+    both = tokens.join(slots, ["part", "token"], "full")
+    return stored(both.groupBy("part").agg(F.collect_list(F.struct("token", "steady", "beside")).alias("template")), "slots")
+
+
+def _known(template: list) -> tuple[dict[int, bool], dict[int, int]]:
+    return ({t["token"]: t["steady"] for t in template if t["steady"] is not None}, {t["token"]: t["beside"] for t in template if t["beside"] is not None})
+
+
+def _slots(page: Page, known: tuple[dict[int, bool], dict[int, int]]) -> tuple:
+    """Text of the article's slots, without template text and parts around the article, and the number of slots that hold it."""
+    steady, beside = known
+    blocks = _slotted(page, steady)
+    kept = MAIN if any(text is not None and region == MAIN for _, region, text in page.items) else PLAIN
+    count = Counter(slot for slot, region, _ in blocks if region == kept)
+    taken = [(slot, text) for slot, region, text in blocks if region == kept and slot in beside and count[slot] > beside[slot]]
+    return "\n".join(text for _, text in taken), len({slot for slot, _ in taken})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -324,7 +367,7 @@ def extract(pages: DataFrame) -> DataFrame:
     sidebars, notices, adverts, forms, scripts, styles and comments are left out, by element or by
     the words of class, id and role; so is template text, that stands once, in place, on every one of
     at least ``STEADY`` distinct pages of a host. A page without ``article`` or ``main`` gives all that stands
-    outside such parts.
+    outside such parts, but for slots that hold text beside the article on the other pages of its host.
 
     Defined results: null or empty html gives an empty text; a null url, or one without a host, is one more host; text
     without markup is one block; unclosed elements end with the element around them, and an article starts anew even
@@ -335,6 +378,7 @@ def extract(pages: DataFrame) -> DataFrame:
     hosts = stored(known.groupBy("host").agg(F.approx_count_distinct(F.xxhash64("html")).alias("n")), "hosts")
     # the empty name is shared by hosts of few pages
     parts = known.join(hosts, "host").withColumn("part", F.when(F.col("n") >= FEW, F.col("host")).otherwise("")).drop("host", "n")
-    found = templates(parts.select("part", "html"))
-    out = _per_page(parts.join(found, "part", "left"), "text string, n_slots int", _slots, ["page_id", "url"], _steady)
+    own = parts.select("part", "html")
+    found = article_slots(own, templates(own))
+    out = _per_page(parts.join(found, "part", "left"), "text string, n_slots int", _slots, ["page_id", "url"], _known)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_slots")

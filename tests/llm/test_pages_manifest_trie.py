@@ -98,6 +98,21 @@ def test_article_and_template_text(spark):
         assert got[n]["n_chars"] == len(got[n]["text"]) and got[n]["n_slots"] > 0
 
 
+def test_slots_of_the_host_decide(spark):
+    """No text without a template, and none from a slot beside the article of the host's other pages; a page with more in it keeps its text."""
+    rows = [(n, f"http://a/{n}", f"<body><nav>n</nav><p>Posted by {n}</p><article><p>text {n}</p></article></body>") for n in range(30)]
+    odd = [(50, "http://a/50", "<body><nav>n</nav><p>Posted by 50</p></body>"), (51, "http://a/51", "<body><nav>n</nav><p>long</p><p>read</p></body>"),
+           (52, "http://b/52", "<body><nav>n</nav><p>Posted by 52</p></body>")]
+    pages = pages_of(spark, rows + odd)
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+    assert got == {**{n: f"text {n}" for n, _, _ in rows}, 50: "", 51: "long\nread", 52: "Posted by 52"}
+    page = html_template.Page(rows[0][2])
+    assert html_template._slots(page, html_template._known([])) == ("", 0)
+    part = pages.where("page_id < 30").selectExpr("'a' AS part", "html")
+    [found] = html_template.article_slots(part, html_template.templates(part)).collect()
+    assert html_template._slots(page, html_template._known(found["template"])) == ("text 0", 1)
+
+
 def test_few_pages_and_copies_keep_their_text(spark):
     same = PAGE.format(n=1)
     rows = [(1, "http://a/1", same), (1, "http://a/1", same), (2, "http://a/2", same)] + [(10 + k, "http://b/1", same.replace("T 1", f"T {k}")) for k in range(30)]
