@@ -51,23 +51,24 @@ def lcc_xy(lon: Column, lat: Column, params: dict = LCC_MEXICO) -> tuple[Column,
 def lcc_lonlat(x: Column, y: Column, params: dict = LCC_MEXICO) -> tuple[Column, Column]:
     """The inverse: longitude and latitude in degrees.
 
-    The latitude is iterated as an expression over a fixed list of seven steps; each gains two digits or
+    The latitude is iterated as an expression over a fixed list of seven steps after the first; each gains two digits or
     more, so that the last change is far below a micrometre.
     """
     n, scale, rho0, ecc = _lcc_parameters(params)
     east, south = x - params["false_easting"], rho0 - (y - params["false_northing"])
     t = F.pow(F.sqrt(east * east + south * south) / (params["a"] * scale), F.lit(1 / n))
 
-    def better(phi: Column, _) -> Column:
+    def better(phi: Column, t: Column) -> Column:
         es = ecc * F.sin(phi)
         return math.pi / 2 - 2 * F.atan(t * F.pow((1 - es) / (1 + es), F.lit(ecc / 2)))
 
-    phi = F.aggregate(F.sequence(F.lit(1), F.lit(7)), math.pi / 2 - 2 * F.atan(t), better)
+    # the step from zero is that of a sphere; as elements of a list, t is computed once
+    phi = F.aggregate(F.array_repeat(t, 8), F.lit(0.0), better)
     return params["lon0"] + F.degrees(F.atan2(east, south)) / n, F.degrees(phi)
 
 
-def moved_box(west: Column, south: Column, east: Column, north: Column, move, points: int = 21) -> Column:
-    """Bounds (min_x, min_y, max_x, max_y) of a box after ``move`` (x, y), with so many points put into each edge.
+def moved_edges(west: Column, south: Column, east: Column, north: Column, move, points: int = 21) -> Column:
+    """Points of a box's edges after ``move`` (x, y), with so many put into each edge; ``ring_box`` gives their bounds.
 
     The edges of a box become curves, so its corners alone would not do.
     """
@@ -81,7 +82,7 @@ def moved_box(west: Column, south: Column, east: Column, north: Column, move, po
         a, b = move(v["x"], v["y"])
         return F.struct(a.alias("x"), b.alias("y"))
 
-    return ring_box(F.transform(F.flatten(F.transform(share, edge)), placed))
+    return F.transform(F.flatten(F.transform(share, edge)), placed)
 
 
 def lcc_ring(ring: Column, params: dict = LCC_MEXICO) -> Column:

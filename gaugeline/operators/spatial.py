@@ -6,12 +6,14 @@ A polygon has one ``ring``, or ``rings`` with holes and parts (see ``functions.g
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import lcc_lonlat, lcc_ring, lcc_shape, lcc_xy, moved_box, ring_area, ring_box, shape_area, shape_box, within_ring, within_shape
+from ..functions.geo import lcc_lonlat, lcc_ring, lcc_shape, lcc_xy, moved_edges, ring_area, ring_box, shape_area, shape_box, within_ring, within_shape
+from ..session import cut_lineage, stored
 
 
 def bbox_from_latlon(df: DataFrame, margin_deg: float = 0.15, by: tuple[str, ...] = (),
@@ -41,6 +43,8 @@ def in_named_boxes(df: DataFrame, boxes: list[tuple], lat: str = "latitud", lon:
 # --- point in polygon -------------------------------------------------------------
 
 _FINEST = 20
+# Rows are dealt to tasks by their number where each means much work: adaptive coalescing goes by the few bytes of a row.
+_BOXES_PER_TASK = 1000     # a box has some hundred points to be moved
 
 
 def _cell_size(level) -> Column:
@@ -105,15 +109,21 @@ def to_geographic(df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
 _DEGREES, _METRES = ("min_lon", "min_lat", "max_lon", "max_lat"), ("min_x", "min_y", "max_x", "max_y")
 
 
+def _moved(boxes: DataFrame, bounds: tuple[str, ...], move) -> DataFrame:
+    """Boxes with ``_m``, their bounds after ``move``; points of the edges are moved once, and boxes dealt to tasks by their number."""
+    boxes = cut_lineage(boxes)
+    dealt = boxes.repartition(ceil(boxes.count() / _BOXES_PER_TASK) or 1)
+    return dealt.withColumn("_points", moved_edges(*map(F.col, bounds), move)).withColumn("_m", ring_box(F.col("_points")))
+
+
 def metric_bounds(boxes: DataFrame) -> DataFrame:
     """Adds min_x, min_y, max_x, max_y in metres to boxes in degrees."""
-    return boxes.withColumn("_m", moved_box(*map(F.col, _DEGREES), lcc_xy)).select(*boxes.columns, "_m.*")
+    return _moved(boxes, _DEGREES, lcc_xy).select(*boxes.columns, "_m.*")
 
 
 def geographic_bounds(boxes: DataFrame) -> DataFrame:
     """Adds min_lon, min_lat, max_lon, max_lat to boxes in metres."""
-    moved = boxes.withColumn("_m", moved_box(*map(F.col, _METRES), lcc_lonlat))
-    return moved.select(*boxes.columns, *[F.col(f"_m.{a}").alias(b) for a, b in zip(_METRES, _DEGREES, strict=True)])
+    return _moved(boxes, _METRES, lcc_lonlat).select(*boxes.columns, *[F.col(f"_m.{a}").alias(b) for a, b in zip(_METRES, _DEGREES, strict=True)])
 
 
 def with_area(basins: DataFrame, geographic: bool = True) -> DataFrame:
@@ -157,7 +167,7 @@ def tiles_for_boxes(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
 
         return leveled.withColumn("_cx", F.explode(span("lon"))).withColumn("_cy", F.explode(span("lat")))
 
-    t, b = sized(tiles, "_t_"), sized(boxes, "_b_")
+    t, b = stored(sized(tiles, "_t_"), "tiles"), stored(sized(boxes, "_b_"), "boxes")
     used = {p: df.agg(F.collect_set(f"{p}own")).scalar() for p, df in (("_t_", t), ("_b_", b))}   # at most 21 numbers each
     pairs = on_cells(t, "_t_", used["_b_"]).join(on_cells(b, "_b_", used["_t_"]), ["_level", "_cx", "_cy"])
     low_x = F.greatest("_t_min_lon", "_b_min_lon")

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.operators import calendar, features, gaps, neighbours, quality, raster
+from gaugeline.operators import calendar, features, gaps, neighbours, quality, raster, spatial
 from gaugeline.plans import canonical, feature_table, report_metrics, selection
 from gaugeline.sources import catalog_csv, series_csv, tables
 
@@ -171,6 +171,16 @@ def test_near_stations_are_dealt_by_count(spark, monkeypatch):
     assert "(clave, 9), REPARTITION_BY_NUM" in re.sub(r"#\d+", "", plan) and near.count() == 3 * 401
 
 
+def test_boxes_are_moved_once_and_dealt_by_count(spark, monkeypatch):
+    """A box is few bytes and much work: tasks hold a bounded number, and the points of its edges are moved once, not for each bound."""
+    monkeypatch.setattr(spatial, "_BOXES_PER_TASK", 50)
+    x, y = 1_500_000.0 + F.col("id") * 1000, 900_000.0 + F.col("id") * 500
+    boxes = spark.range(401).select("id", x.alias("min_x"), y.alias("min_y"), (x + 1e5).alias("max_x"), (y + 1e5).alias("max_y"))
+    moved = spatial.geographic_bounds(boxes)
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(9), REPARTITION_BY_NUM" in plan and plan.count("ATAN2") == 1 and moved.count() == 401
+
+
 def test_table_by_station_needs_no_exchange(spark, tmp_path):
     """The stored layout serves windows, groups and joins by station, also in a session that only declares it."""
     df = spark.range(4000).select((F.col("id") % 40).cast("string").alias("clave_estacion"),
