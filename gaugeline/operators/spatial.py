@@ -12,8 +12,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import lcc_lonlat, lcc_ring, lcc_shape, lcc_xy, moved_edges, ring_area, ring_box, shape_area, shape_box, within_ring, within_shape
-from ..session import cut_lineage, stored
+from ..functions.geo import (_edges, lcc_lonlat, lcc_ring, lcc_shape, lcc_xy, moved_edges, ring_area, ring_box, shape_area, shape_box, shape_edges,
+                             within_edges)
+from ..session import cut_lineage, join_small, stored
 
 
 def bbox_from_latlon(df: DataFrame, margin_deg: float = 0.15, by: tuple[str, ...] = (),
@@ -45,38 +46,46 @@ def in_named_boxes(df: DataFrame, boxes: list[tuple], lat: str = "latitud", lon:
 _FINEST = 20
 # Rows are dealt to tasks by their number where each means much work: adaptive coalescing goes by the few bytes of a row.
 _BOXES_PER_TASK = 1000     # a box has some hundred points to be moved
+_SHAPES_PER_TASK = 200     # a shape is tested against all places in its box
 
 
 def _cell_size(level) -> Column:
     return F.lit(360.0) / F.pow(F.lit(2.0), level)
 
 
-def _covering(basins: DataFrame) -> DataFrame:
-    """Each polygon on the cells of its own level, chosen so that at most 4 by 4 cover its box."""
-    boxed = basins.withColumn("_box", shape_box(F.col("rings")) if "rings" in basins.columns else ring_box(F.col("ring")))
-    extent = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"), F.lit(1e-6))
-    level = F.greatest(F.least(F.floor(F.log2(1080.0 / extent)), F.lit(_FINEST)), F.lit(0)).cast("int")
-    sized = boxed.withColumn("_level", level)
+def _covering(shapes: DataFrame) -> DataFrame:
+    """Each shape on the cells of its own level, chosen so that at most 4 by 4 cover its box."""
 
     def span(low: str, high: str) -> Column:
         s = _cell_size(F.col("_level"))
         return F.sequence(F.floor(F.col(f"_box.{low}") / s), F.floor(F.col(f"_box.{high}") / s))
 
-    return (sized.withColumn("_cx", F.explode(span("min_x", "max_x")))
+    return (shapes.withColumn("_cx", F.explode(span("min_x", "max_x")))
             .withColumn("_cy", F.explode(span("min_y", "max_y"))))
 
 
+def _shapes(named: DataFrame, form: str) -> DataFrame:
+    """Distinct polygons by their digest ``_shape``, with edges, box and level."""
+    shapes = named.dropDuplicates(["_shape"]).select("_shape", form)
+    shapes = stored(shapes.withColumn("_box", shape_box(F.col(form)) if form == "rings" else ring_box(F.col(form)))
+                    .withColumn(form, shape_edges(F.col(form)) if form == "rings" else _edges(F.col(form))), "shapes")
+    extent = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"), F.lit(1e-6))
+    level = F.greatest(F.least(F.floor(F.log2(1080.0 / extent)), F.lit(_FINEST)), F.lit(0)).cast("int")
+    return shapes.select("_shape", F.col(form).alias("_edges"), "_box", level.alias("_level"))
+
+
 def assign_basin(stations: DataFrame, basins: DataFrame, basin_cols=("region_hidrologica", "cuenca"),
                  lat: str = "latitud", lon: str = "longitud") -> DataFrame:
     """Left join of stations with the polygons that contain them; several hits give several rows.
 
     Polygons and positions meet on grid cells, large polygons on coarse cells and small
     ones on fine cells, so a dense area does not pair all its points with all its
-    polygons. Positions are matched once, however many stations share them.
+    polygons. Positions are matched once, however many stations share them, and so are polygons of equal rings.
     """
     cols = [c for c in basin_cols if c in basins.columns]
     form = "rings" if "rings" in basins.columns else "ring"
-    shapes = _covering(basins.select(*[F.col(c).alias(f"_b_{c}") for c in cols], form))
+    named = basins.select(*[F.col(c).alias(f"_b_{c}") for c in cols], form, F.sha2(F.to_json(form), 256).alias("_shape"))
+    shapes = _shapes(named, form)
     levels = shapes.agg(F.collect_set("_level")).scalar()   # at most 21 numbers
     places = (stations.select(F.col(lon).alias("_x"), F.col(lat).alias("_y"))
               .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).distinct())
@@ -84,11 +93,14 @@ def assign_basin(stations: DataFrame, basins: DataFrame, basin_cols=("region_hid
              .withColumn("_cx", F.floor(F.col("_x") / _cell_size(F.col("_level"))))
              .withColumn("_cy", F.floor(F.col("_y") / _cell_size(F.col("_level")))))
     x, y = F.col("_x"), F.col("_y")
-    hits = (keyed.join(shapes, ["_level", "_cx", "_cy"])
-            .where(x.between(F.col("_box.min_x"), F.col("_box.max_x"))
-                   & y.between(F.col("_box.min_y"), F.col("_box.max_y")))
-            .where(within_shape(x, y, F.col("rings")) if form == "rings" else within_ring(x, y, F.col("ring")))
-            .select("_x", "_y", *[f"_b_{c}" for c in cols]))
+    dealt = shapes.repartition(ceil(shapes.count() / _SHAPES_PER_TASK) or 1, "_shape")
+    # the size on cells is not known from the polygons' bytes, so few places are sent to them and never they to the places
+    inside = (join_small(_covering(dealt).hint("merge"), keyed, ["_level", "_cx", "_cy"])
+              .where(x.between(F.col("_box.min_x"), F.col("_box.max_x"))
+                     & y.between(F.col("_box.min_y"), F.col("_box.max_y")))
+              .where(within_edges(x, y, F.col("_edges")))
+              .select("_x", "_y", "_shape"))
+    hits = join_small(inside, named.drop(form), "_shape").drop("_shape")
     kept = stations.select(*[c for c in stations.columns if c not in cols])
     return (kept.join(hits, (kept[lon] == hits["_x"]) & (kept[lat] == hits["_y"]), "left").drop("_x", "_y")
             .withColumnsRenamed({f"_b_{c}": c for c in cols}))

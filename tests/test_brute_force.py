@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -273,6 +274,24 @@ def test_assign_basin_with_sizes_and_overlaps(spark):
     assert got == sorted(want)
 
 
+def test_equal_polygons_are_tested_once(spark, monkeypatch):
+    """Polygons of equal rings meet the places once, in tasks of a bounded number, and all of them get the hits."""
+    monkeypatch.setattr(spatial, "_SHAPES_PER_TASK", 4)
+    rings = [(f"b{i}", [[(x, 20.0), (x + 2, 20.0), (x + 2, 22.0), (x, 22.0)], [(x + .5, 20.5), (x + 1.5, 20.5), (x + 1.5, 21.5), (x + .5, 21.5)]])
+             for i in range(60) for x in [-110.0 + i % 12]] + [("none", None)]
+    basins = spark.createDataFrame(rings, "cuenca string, rings array<array<struct<x double, y double>>>")
+    stations = spark.createDataFrame([(f"s{i}", -111.07 + (i % 50) * .3, 20.25 + (i % 3) * .6) for i in range(150)] + [("lost", None, None)],
+                                     "clave string, longitud double, latitud double")
+    found = spatial.assign_basin(stations, basins)
+    want = []
+    for k, px, py in [tuple(r) for r in stations.collect()]:
+        hits = [n for n, r in rings if r and px is not None and sum(q[0][0] < px < q[2][0] and q[0][1] < py < q[2][1] for q in r) == 1]
+        want += [(k, n) for n in hits] or [(k, None)]
+    assert sorted(map(str, want)) == sorted(str((r.clave, r.cuenca)) for r in found.collect()) and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_shape#\d+, 4\), REPARTITION_BY_NUM", plan)    # 12 distinct ones and a null
+
+
 # --- grids ---------------------------------------------------------------------------------
 
 
